@@ -81,8 +81,12 @@ def _to_byte(value: Column) -> Column:
     return F.floor(value + 0.5).cast("int")
 
 
+def _unit(t) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(t)))
+
+
 def clamp8(value: Column) -> Column:
-    return F.when(value <= 0, 0).when(value >= 255, 255).otherwise(_to_byte(value))
+    return _to_byte(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value)))
 
 
 def multiply(base: Rgba, tint: Rgba) -> Rgba:
@@ -91,9 +95,9 @@ def multiply(base: Rgba, tint: Rgba) -> Rgba:
 
 
 def lerp(a: Rgba, b: Rgba, t) -> Rgba:
-    t = col(t)
-    blend = lambda p, q: F.when(t <= 0, p).when(t >= 1, q).otherwise(_to_byte(p + (q - p) * t))
-    return Rgba(*[blend(p, q) for p, q in zip(a, b)])
+    """Blend; ``t`` is clamped once, which also makes both ends exact."""
+    w = _unit(t)
+    return Rgba(*[_to_byte(p + (q - p) * w) for p, q in zip(a, b)])
 
 
 def scale(c: Rgba, factor) -> Rgba:
@@ -104,12 +108,10 @@ def scale(c: Rgba, factor) -> Rgba:
 def alpha_over(top: Rgba, under: Rgba) -> Rgba:
     """Source-over compositing with the top colour's own alpha."""
     w = top.a / F.lit(255.0)
-    mix = lambda t, u: _to_byte(t * w + u * (1 - w))
-    blended = Rgba(
-        *[mix(t, u) for t, u in zip(top[:3], under[:3])],
+    return Rgba(
+        *[_to_byte(t * w + u * (1 - w)) for t, u in zip(top[:3], under[:3])],
         F.floor(F.least(F.lit(255.0), top.a + under.a * (1 - w) + 0.5)).cast("int"),
     )
-    return pick(top.a <= 0, under, pick(top.a >= 255, top, blended))
 
 
 def desaturate(c: Rgba, amount: float) -> Rgba:
@@ -120,11 +122,9 @@ def desaturate(c: Rgba, amount: float) -> Rgba:
 def apply_tint(base: Rgba, tint, grass: Rgba, foliage: Rgba, water: Rgba) -> Rgba:
     """Recolour by the biome channel that the block's tint names."""
     t = col(tint)
-    return pick(
-        t == "grass",
-        multiply(base, grass),
-        pick(t.isin("foliage", "dry"), multiply(base, foliage), pick(t == "water", multiply(base, water), base)),
-    )
+    white = F.lit(255)
+    shade = lambda g, f, w: F.when(t == "grass", g).when(t.isin("foliage", "dry"), f).when(t == "water", w).otherwise(white)
+    return multiply(base, Rgba(*[shade(g, f, w) for g, f, w in zip(grass, foliage, water)]))
 
 
 def water_over(floor: Rgba, water: Rgba, depth, max_depth: float = 28.0) -> Rgba:
@@ -149,14 +149,12 @@ def light_style(block_light) -> Rgba:
 
 def gradient(stops, t) -> Rgba:
     """Sample an evenly spaced ramp at ``t`` in [0, 1]."""
-    t = col(t)
     last = len(stops) - 1
-    pos = t * float(last)
-    i = F.least(F.greatest(F.floor(pos).cast("int"), F.lit(0)), F.lit(last - 1))
+    pos = _unit(t) * float(last)
+    i = F.least(F.floor(pos).cast("int"), F.lit(last - 1))
     table = F.array(*[F.array(*[F.lit(int(v)) for v in s]) for s in stops])
     at = lambda k: Rgba(*[F.element_at(F.element_at(table, k + 1), n) for n in (1, 2, 3, 4)])
-    inner = lerp(at(i), at(i + 1), pos - i)
-    return pick(t <= 0, rgba(stops[0]), pick(t >= 1, rgba(stops[-1]), inner))
+    return lerp(at(i), at(i + 1), pos - i)
 
 
 def height_percent(y, low, high) -> Column:
@@ -170,7 +168,7 @@ def ore_style(terrain: Rgba, best, score) -> Rgba:
     table = F.array(*[F.array(*[F.lit(int(v)) for v in s]) for s in ORE_COLORS])
     ore = Rgba(*[F.element_at(F.element_at(table, index + 1), n) for n in (1, 2, 3, 4)])
     strength = F.least(F.lit(1.0), col(score) / F.lit(ORE_FULL_SCORE))
-    return pick(col(score) == 0, base, lerp(base, ore, strength))
+    return lerp(base, ore, strength)
 
 
 def parse_hex(text) -> Column:

@@ -1,8 +1,8 @@
 """Dimension tables: block palettes, biome tints, and how rows find them.
 
-A palette has at most 65 536 rows because block ids are 16-bit by contract;
-:func:`checked_broadcast` verifies such a bound before hinting a broadcast and
-otherwise leaves the join to the optimizer.
+A palette has at most 65 536 rows, because block ids are 16-bit by contract. Read
+it from a written table: Spark then knows its size, and its own size check turns
+every palette join into a broadcast. No join here is hinted.
 """
 
 from __future__ import annotations
@@ -12,19 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import color, names
 
-MAX_PALETTE_ROWS = 65_536
-
 PALETTE_COLUMNS = (
     "id", "name", "r", "g", "b", "a", "tint", "water", "transparent",
     "height", "grassy", "decoration", "occludes", "known",
 )
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_PALETTE_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side stays within ``max_rows``."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def last_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Keep, whole, the row of each key that comes last in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(o) if isinstance(o, str) else o for o in order])
@@ -98,7 +91,7 @@ def extend_palette(palette: DataFrame, seen: DataFrame, classifier: DataFrame |
 
 def encode_names(rows: DataFrame, table: DataFrame, name: str, as_id: str) -> DataFrame:
     """Swap a name column for the id of the same name in a dimension table."""
-    ids = checked_broadcast(table.select(F.col("name").alias(name), F.col("id").alias(as_id)))
+    ids = table.select(F.col("name").alias(name), F.col("id").alias(as_id))
     return rows.join(ids, name, "left").drop(name)
 
 

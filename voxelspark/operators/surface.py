@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.grid import block_to_chunk, floor_div
-from .lookups import checked_broadcast
+from ..functions.grid import block_to_chunk, chunk_range, floor_div, in_bounds
 
 KEYS = ("dimension", "x", "z")
 Y_BIAS = 2048  # elevations are 16-bit in the world format but within +-2048 in practice
@@ -29,7 +28,7 @@ def with_block_flags(voxels: DataFrame, palette: DataFrame) -> DataFrame:
         kind.alias("ore_kind"),
         names.ore_points(kind).alias("ore_points"),
     )
-    return voxels.join(checked_broadcast(flags), "block_id")
+    return voxels.join(flags, "block_id")
 
 
 def is_ground() -> Column:
@@ -43,7 +42,7 @@ def is_decoration() -> Column:
 def below_ceiling(voxels: DataFrame, dimensions: DataFrame) -> DataFrame:
     """In roofed dimensions, drop everything from the build limit up."""
     roof = dimensions.filter("has_ceiling").select("dimension", (F.col("max_y") - 1).alias("_roof"))
-    j = voxels.join(checked_broadcast(roof, 10_000), "dimension", "left")
+    j = voxels.join(roof, "dimension", "left")
     return j.filter(F.col("_roof").isNull() | (F.col("y") <= F.col("_roof"))).drop("_roof")
 
 
@@ -204,8 +203,6 @@ def window_columns(columns: DataFrame, windows: DataFrame, errors: DataFrame | N
     ``windows`` has ``window_id, dimension, min_x, min_z, max_x, max_z``. A missing
     chunk contributes nothing; unreadable ones are counted in ``chunk_errors``.
     """
-    from ..functions.grid import chunk_range, in_bounds
-
     bounds = ("min_x", "min_z", "max_x", "max_z")
     x0, z0, x1, z1 = chunk_range(bounds)
     keyed = (
@@ -246,7 +243,7 @@ def occupancy(voxels: DataFrame, palette: DataFrame) -> DataFrame:
     v = with_block_flags(voxels, palette)
     solid = ~F.col("transparent") | F.col("decoration")
     words = v.groupBy(*KEYS, floor_div("y", 16).alias("section_y")).agg(
-        F.bit_or(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.pmod("y", F.lit(16))).cast("int")).alias("word"),
+        F.bit_or(F.pow(F.lit(2), F.pmod("y", F.lit(16))).cast("int")).alias("word"),
         F.bool_or(solid).alias("_solid"),
     )
     words = words.withColumns({"chunk_x": block_to_chunk("x"), "chunk_z": block_to_chunk("z")})

@@ -16,6 +16,7 @@ def build_session(app: str = "voxelspark", cores: str = "*", partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("VOXELSPARK_DRIVER_MEMORY", "12g"))

@@ -81,7 +81,7 @@ define(
 define(
     "o_depths",
     ("o_spans",),
-    "SELECT dimension,chunk_x,chunk_z, CAST(least(64,greatest(8,coalesce(max(span),0)+16)) AS INTEGER) AS depth FROM o_spans GROUP BY 1,2,3",
+    "SELECT dimension,chunk_x,chunk_z, CAST(least(20,greatest(4,coalesce(max(span),0)+2)) AS INTEGER) AS depth FROM o_spans GROUP BY 1,2,3",
 )
 define(
     "o_slabs",
@@ -96,12 +96,17 @@ def spans(spark, sf):
 
 
 def depths(spark, sf):
-    return surface.slab_depths(spans(spark, sf))
+    return slab_depths(spans(spark, sf))
+
+
+def slab_depths(s):
+    """Shallow slabs, so that extraction has something to cut in a 50-block world."""
+    return surface.slab_depths(s, below_ground=2, min_depth=4, max_depth=20)
 
 
 def slabs(spark, sf):
     s = spans(spark, sf)
-    return surface.extract_slabs(fx.voxels(spark, sf), s, surface.slab_depths(s))
+    return surface.extract_slabs(fx.voxels(spark, sf), s, slab_depths(s))
 
 
 def q_window(spark, sf):

@@ -2,7 +2,8 @@
 
 Each view exists twice: as a DataFrame (Spark side) and as a SQL text (oracle
 side). The world grows with the tables: every 15 000 orders open another
-128 x 128 block patch, 64 patches to a row of the map.
+128 x 128 block patch, 64 patches to a row of the map; every fifth patch lies in
+another dimension.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def voxels(spark: SparkSession, sf: str) -> DataFrame:
     v = (
         table(spark, sf, "lineitem")
         .groupBy(
-            F.lit(DIM).alias("dimension"),
+            F.when(patch % 5 < 4, DIM).otherwise("view").alias("dimension"),
             x.cast("int").alias("x"),
             F.col("l_quantity").cast("int").alias("y"),
             z.cast("int").alias("z"),
@@ -301,7 +302,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_dims": ((), f"SELECT * FROM (VALUES {DIM_VALUES}) t({DIM_COLS})"),
     "fx_v0": (
         (),
-        f"SELECT '{DIM}' AS dimension, {_X} AS x, CAST(l_quantity AS INTEGER) AS y, {_Z} AS z, "
+        f"SELECT CASE WHEN CAST(floor(l_orderkey/{ORDERS_PER_PATCH}.0) AS BIGINT)%5<4 THEN '{DIM}' ELSE 'view' END AS dimension, {_X} AS x, CAST(l_quantity AS INTEGER) AS y, {_Z} AS z, "
         "CAST(MIN((l_suppkey*7+l_linenumber)%12) AS INTEGER) AS block_id FROM lineitem GROUP BY 1,2,3,4",
     ),
     "fx_voxels": (
