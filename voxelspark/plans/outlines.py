@@ -83,29 +83,34 @@ def extent_to_chunks(extents: DataFrame, camera: str = iso.DEFAULT_CAMERA, block
     )
 
 
+# How far selection walls sink below the lowest ground, and their least height.
+WALL_UNDERCUT = 3
+WALL_LEAST = 6
+
+
 def selection_walls(selected: DataFrame, levels: DataFrame, fallback_y: int = 63) -> DataFrame:
-    """Top, front and side faces of selected chunks as south-east view polygons.
+    """One box per selection: a shared top, walls only where the selection ends.
 
-    ``levels`` gives ``ground_y`` per chunk. Each wall reaches down only to the
-    ground of the selected chunk next to it, or to the chunk's own base.
+    ``selected`` has ``selection_id, dimension, chunk_x, chunk_z``; ``levels`` gives
+    ``ground_y`` per chunk. The top is the highest member's ground, the bottom lies
+    below the lowest member's.
     """
     on = ["dimension", "chunk_x", "chunk_z"]
-    rows = selected.join(levels, on, "left").withColumn("top_y", F.coalesce("ground_y", F.lit(fallback_y)) + 1)
+    rows = selected.join(levels, on, "left").withColumn("_y", F.coalesce("ground_y", F.lit(fallback_y)) + 1)
+    band = rows.groupBy("selection_id").agg(F.max("_y").alias("top_y"), F.min("_y").alias("_low"))
+    band = band.withColumn("bottom_y", F.least(F.col("_low") - WALL_UNDERCUT, F.col("top_y") - WALL_LEAST)).drop("_low")
     near = with_neighbours(
-        rows.select(*on, "top_y"),
-        {"front_y": ("chunk_z", 1, "top_y"), "side_y": ("chunk_x", 1, "top_y")},
+        selected,
+        {"_front": ("chunk_z", 1, F.lit(True)), "_side": ("chunk_x", 1, F.lit(True))},
+        keys=("selection_id", "dimension"),
         axes=("chunk_x", "chunk_z"),
     )
-    return near.withColumns(
-        {
-            "front_bottom": F.least(F.col("top_y"), F.coalesce("front_y", F.col("top_y") - CHUNK_BLOCKS)),
-            "side_bottom": F.least(F.col("top_y"), F.coalesce("side_y", F.col("top_y") - CHUNK_BLOCKS)),
-        }
-    ).drop("front_y", "side_y")
+    walls = near.withColumns({"front_wall": F.col("_front").isNull(), "side_wall": F.col("_side").isNull()})
+    return walls.drop("_front", "_side").join(band, "selection_id")
 
 
 def wall_faces(walls: DataFrame, camera: str = iso.DEFAULT_CAMERA) -> DataFrame:
-    """The three faces of each box as rings in map axes."""
+    """Top and exposed side faces of each box as rings in map axes."""
     s = CHUNK_BLOCKS
     x0, z0 = F.col("chunk_x") * s, F.col("chunk_z") * s
     x1, z1 = x0 + s, z0 + s
@@ -114,10 +119,10 @@ def wall_faces(walls: DataFrame, camera: str = iso.DEFAULT_CAMERA) -> DataFrame:
         u, v = iso.project(x, col(y), z, camera)
         return F.struct(u.alias("x"), (-v).alias("y"))
 
-    t, f, d = "top_y", "front_bottom", "side_bottom"
+    t, d = "top_y", "bottom_y"
     return walls.select(
         "*",
         F.array(at(x0, t, z0), at(x1, t, z0), at(x1, t, z1), at(x0, t, z1)).alias("top"),
-        F.array(at(x0, t, z1), at(x1, t, z1), at(x1, f, z1), at(x0, f, z1)).alias("front"),
-        F.array(at(x1, t, z0), at(x1, t, z1), at(x1, d, z1), at(x1, d, z0)).alias("side"),
+        F.when(F.col("front_wall"), F.array(at(x0, t, z1), at(x1, t, z1), at(x1, d, z1), at(x0, d, z1))).alias("front"),
+        F.when(F.col("side_wall"), F.array(at(x1, t, z0), at(x1, t, z1), at(x1, d, z1), at(x1, d, z0))).alias("side"),
     )

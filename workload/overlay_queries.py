@@ -17,8 +17,8 @@ define("o_listed", ("fx_claim_chunks",), "SELECT DISTINCT area_id FROM fx_claim_
 define(
     "o_requests",
     (),
-    "SELECT o_orderkey AS request_id, 'overworld' AS dimension, CAST(floor((o_orderkey*7919%9001)/10.0) AS INTEGER)-450+i AS chunk_x, "
-    "CAST(o_custkey*31%801 AS INTEGER)-400 AS chunk_z FROM orders, (VALUES (0),(1),(2)) t(i)",
+    "SELECT o_orderkey AS request_id, 'overworld' AS dimension, CAST(floor((o_orderkey*7919%3001)/10.0) AS INTEGER)-150+i AS chunk_x, "
+    "CAST(o_custkey*31%301 AS INTEGER)-150 AS chunk_z FROM orders, (VALUES (0),(1),(2)) t(i)",
 )
 define(
     "o_conflicts",
@@ -42,8 +42,8 @@ def requests(spark, sf):
     base = o.select(
         F.col("o_orderkey").alias("request_id"),
         F.lit(fx.DIM).alias("dimension"),
-        (F.floor((F.col("o_orderkey") * 7919 % 9001) / 10).cast("int") - 450).alias("cx"),
-        ((F.col("o_custkey") * 31 % 801).cast("int") - 400).alias("chunk_z"),
+        (F.floor((F.col("o_orderkey") * 7919 % 3001) / 10).cast("int") - 150).alias("cx"),
+        ((F.col("o_custkey") * 31 % 301).cast("int") - 150).alias("chunk_z"),
     )
     return base.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
         "request_id", "dimension", (F.col("cx") + F.col("i")).alias("chunk_x"), "chunk_z"

@@ -182,10 +182,11 @@ def areas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claim_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk lists of the even-numbered areas; the others are plain rectangles."""
     return (
         table(spark, sf, "orders")
         .select(
-            F.col("o_custkey").alias("area_id"),
+            (F.col("o_custkey") - F.col("o_custkey") % 2).alias("area_id"),
             F.lit(DIM).alias("dimension"),
             (F.col("o_orderkey") % 64 - 32).cast("int").alias("chunk_x"),
             ((F.col("o_orderkey") * 7) % 64 - 32).cast("int").alias("chunk_z"),
@@ -340,7 +341,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "fx_claim_chunks": (
         (),
-        f"SELECT DISTINCT o_custkey AS area_id, '{DIM}' AS dimension, CAST(o_orderkey%64-32 AS INTEGER) AS chunk_x, "
+        f"SELECT DISTINCT o_custkey-o_custkey%2 AS area_id, '{DIM}' AS dimension, CAST(o_orderkey%64-32 AS INTEGER) AS chunk_x, "
         "CAST((o_orderkey*7)%64-32 AS INTEGER) AS chunk_z FROM orders",
     ),
     "fx_viewports": (
