@@ -89,9 +89,9 @@ def sample(track: DataFrame, step_ms: int, transition_ms: int = 900, stale_ms: i
     w = Window.partitionBy("player").orderBy("at", "event_id")
     until = F.least(F.coalesce(F.lead("at").over(w), F.col("at") + stale_ms), F.col("at") + stale_ms)
     first = F.ceil(F.col("at") / step_ms).cast("long")
-    last = F.ceil(until / step_ms).cast("long") - 1
+    last = F.ceil(F.col("_until") / step_ms).cast("long") - 1
     ticks = F.when(last >= first, F.sequence(first, last))
-    rows = track.withColumn("tick", F.explode(ticks))
+    rows = track.withColumn("_until", until).withColumn("tick", F.explode(ticks))
     k = ease_out((F.col("tick") * step_ms - F.col("at")) / float(transition_ms))
     glide = lambda n: F.col(f"from_{n}") + (F.col(n) - F.col(f"from_{n}")) * k
     turn = F.pmod(F.col("from_rotation") + shortest_turn("from_rotation", "rotation") * k, F.lit(360.0))

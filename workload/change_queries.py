@@ -134,7 +134,7 @@ def track(spark, sf):
 
 def q_track(spark, sf):
     f4 = lambda c: F.floor(F.col(c) * 1000 + 0.3).cast("long").alias(c)
-    return track(spark, sf).select("event_id", "player", "x", f4("from_x"), f4("from_z"), f4("from_rotation"))
+    return track(spark, sf).select("event_id", "player", "x", f4("from_x"), f4("from_z"), F.pmod(f4("from_rotation"), F.lit(360_000)).alias("from_rotation"))
 
 
 def q_samples(spark, sf):
@@ -219,17 +219,17 @@ _EASE = lambda t: f"(1-pow(1-greatest(0.0e0,least(1.0e0,{t})),3))"
 define(
     "o_updates",
     ("fx_positions",),
-    "SELECT *,epoch_us(ts)/1000.0e0 AS at,row_number() OVER (PARTITION BY player ORDER BY ts,event_id) AS rn FROM fx_positions",
+    "SELECT *,epoch_us(ts)/1000.0e0 AS t_ms,row_number() OVER (PARTITION BY player ORDER BY ts,event_id) AS rn FROM fx_positions",
 )
 _TURN = lambda a, b: f"(CASE WHEN ({b})-({a})+180-360*floor((({b})-({a})+180)/360)-180=-180 THEN 180.0e0 ELSE ({b})-({a})+180-360*floor((({b})-({a})+180)/360)-180 END)"
 _MOD = lambda v: f"(({v})-360*floor(({v})/360))"
-_GLIDE = lambda n: f"t.from_{n}+(t.{n}-t.from_{n})*{_EASE(f'(u.at-t.at)/{TRANSITION_MS}.0e0')}"
+_GLIDE = lambda n: f"t.from_{n}+(t.{n}-t.from_{n})*{_EASE(f'(u.t_ms-t.t_ms)/{TRANSITION_MS}.0e0')}"
 define(
     "o_track",
     ("o_updates",),
-    "SELECT event_id,player,rn,at,x,z,rotation,x AS from_x,z AS from_z,rotation AS from_rotation FROM o_updates WHERE rn=1 UNION ALL "
-    f"SELECT u.event_id,u.player,u.rn,u.at,u.x,u.z,u.rotation,CASE WHEN u.at-t.at>{STALE_MS} THEN u.x ELSE {_GLIDE('x')} END,CASE WHEN u.at-t.at>{STALE_MS} THEN u.z ELSE {_GLIDE('z')} END,"
-    f"CASE WHEN u.at-t.at>{STALE_MS} THEN u.rotation ELSE {_MOD('t.from_rotation+' + _TURN('t.from_rotation', 't.rotation') + '*' + _EASE(f'(u.at-t.at)/{TRANSITION_MS}.0e0'))} END "
+    "SELECT event_id,player,rn,t_ms,x,z,rotation,x AS from_x,z AS from_z,rotation AS from_rotation FROM o_updates WHERE rn=1 UNION ALL "
+    f"SELECT u.event_id,u.player,u.rn,u.t_ms,u.x,u.z,u.rotation,CASE WHEN u.t_ms-t.t_ms>{STALE_MS} THEN u.x ELSE {_GLIDE('x')} END,CASE WHEN u.t_ms-t.t_ms>{STALE_MS} THEN u.z ELSE {_GLIDE('z')} END,"
+    f"CASE WHEN u.t_ms-t.t_ms>{STALE_MS} THEN u.rotation ELSE {_MOD('t.from_rotation+' + _TURN('t.from_rotation', 't.rotation') + '*' + _EASE(f'(u.t_ms-t.t_ms)/{TRANSITION_MS}.0e0'))} END "
     "FROM o_track t JOIN o_updates u ON u.player=t.player AND u.rn=t.rn+1",
 )
 _HALF = "floor(CASE WHEN border>0 THEN border ELSE 4000 END/2.0)"
@@ -280,14 +280,14 @@ ORACLE = {
     ),
     "w9_track_segments": oracle(
         "o_track",
-        "SELECT event_id,player,x,CAST(floor(from_x*1000+0.3e0) AS BIGINT) AS from_x,CAST(floor(from_z*1000+0.3e0) AS BIGINT) AS from_z,CAST(floor(from_rotation*1000+0.3e0) AS BIGINT) AS from_rotation FROM o_track",
+        "SELECT event_id,player,x,CAST(floor(from_x*1000+0.3e0) AS BIGINT) AS from_x,CAST(floor(from_z*1000+0.3e0) AS BIGINT) AS from_z,CAST(floor(from_rotation*1000+0.3e0) AS BIGINT)%360000 AS from_rotation FROM o_track",
         recursive=True,
     ),
     "w9_track_samples": oracle(
         "o_track",
-        f", g AS (SELECT *,least(coalesce(lead(at) OVER (PARTITION BY player ORDER BY rn),at+{STALE_MS}),at+{STALE_MS}) AS until FROM o_track), "
-        "s AS (SELECT *,unnest(range(CAST(ceil(at/3600000) AS BIGINT),CAST(ceil(until/3600000) AS BIGINT))) AS tick FROM g) "
-        f"SELECT player,count(*) AS samples,min(tick) AS first_tick,CAST(floor(max(from_x+(x-from_x)*{_EASE(f'(tick*3600000-at)/{TRANSITION_MS}.0e0')})*1000+0.3e0) AS BIGINT) AS max_x FROM s GROUP BY 1",
+        f", g AS (SELECT *,least(coalesce(lead(t_ms) OVER (PARTITION BY player ORDER BY rn),t_ms+{STALE_MS}),t_ms+{STALE_MS}) AS until FROM o_track), "
+        "s AS (SELECT *,unnest(range(CAST(ceil(t_ms/3600000) AS BIGINT),CAST(ceil(until/3600000) AS BIGINT))) AS tick FROM g) "
+        f"SELECT player,count(*) AS samples,min(tick) AS first_tick,CAST(floor(max(from_x+(x-from_x)*{_EASE(f'(tick*3600000-t_ms)/{TRANSITION_MS}.0e0')})*1000+0.3e0) AS BIGINT) AS max_x FROM s GROUP BY 1",
         recursive=True,
     ),
     "s6_batch_validation": oracle(
