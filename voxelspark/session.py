@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "voxelspark", cores: str = "*", partitions: int | None = None) -> SparkSession:
@@ -26,17 +25,3 @@ def build_session(app: str = "voxelspark", cores: str = "*", partitions: int | N
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder that the cluster names.
-
-    Only when the session names none, as in local tests, a scratch folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir", None
-        )
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
