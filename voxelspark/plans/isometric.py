@@ -197,24 +197,24 @@ def voxel_view(
     plants = v.filter(F.col("decoration") & (F.col("y") == cut)).select(
         *on, F.col("block_id").alias("plant_id"), F.col("light").alias("plant_light")
     )
-    solid = v.filter(~F.col("decoration")).join(plants, on, "left")
+    planted = v.join(plants, on, "left")
     draw_top = cut - F.col("plant_id").isNotNull().cast("int")
-    solid = solid.withColumn("is_top", F.col("y") == draw_top)
-    solid = solid.withColumn("decoration_id", F.when(F.col("is_top") & F.col("top_face"), F.col("plant_id")))
+    planted = planted.withColumn("is_top", F.col("y") == draw_top)
+    planted = planted.withColumn("decoration_id", F.when(F.col("is_top") & F.col("top_face"), F.col("plant_id")))
 
     # Column facts: biome and water for colour, north and west for relief, walls for the skirt.
     facts = with_exposure(columns, camera, skirt).select(
         *on, "biome_id", "ry", "north", "west", "left_y", "right_y", "height", "water", "water_y",
         "block_light", "ore_best", "ore_score", F.col("block_id").alias("ground_id"), F.lit(True).alias("present"),
     )
-    rows = solid.withColumnRenamed("light", "voxel_light").join(facts, on)
+    rows = planted.withColumnRenamed("light", "voxel_light").join(facts, on)
     rows = _voxel_colors(rows, palette, biomes, dimensions, style, options)
 
     a, b = iso.rotate("x", "z", camera)
     plane = (a + b).cast("long") * RANK_Y
     side_px = F.greatest(F.lit(1), F.floor(F.col("block_height") * ppu + 0.5).cast("int"))
     y0 = F.floor(((a + b) * 0.5 - (F.col("y") + F.col("block_height"))) * ppu + 0.5).cast("int")
-    shown = F.col("top_face") | F.col("left_face") | F.col("right_face")
+    shown = ~F.col("decoration") & (F.col("top_face") | F.col("left_face") | F.col("right_face"))
     faces = rows.filter(shown).select(
         "dimension", "top", "base", ((a - b - 1) * ppu).alias("_x0"), y0.alias("_y0"), "top_face",
         F.when(F.col("left_face"), side_px).otherwise(0).alias("_l"), F.when(F.col("right_face"), side_px).otherwise(0).alias("_r"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxelspark.functions import grid
@@ -162,7 +165,6 @@ def q_walls(spark, sf):
 def q_events(spark, sf):
     """Payload rows of moves and chunk updates for subscribed clients."""
     moves = jobs.player_events(fx.positions(spark, sf), fx.dimensions(spark))
-    t, d = bumps(spark, sf)
     chunks = fx.marks(spark, sf).filter("chunk_z < 3")
     rev = affected(spark, sf).withColumn("revision", F.col("tile_x") * 1000 + F.col("tile_y"))
     updates = jobs.chunk_events(changes.tiles_of_chunks(chunks, 4, 4), rev)
@@ -171,7 +173,31 @@ def q_events(spark, sf):
         F.col("n_name").alias("client"), F.element_at(F.array(*[F.lit(x) for x in ("", "click", "error", "signup")]), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("dimension")
     )
     feed = jobs.subscribed(moves.unionByName(updates).unionByName(features), clients)
-    return feed.groupBy("client", "type").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("data", F.lit("")))).alias("size"))
+    return feed.groupBy("client", "type").agg(F.count("*").alias("n"), F.count("data").alias("payloads"))
+
+
+def scratch(spark) -> str:
+    """A fresh folder in the shared checkpoint location, or a local one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+
+
+def q_stream(spark, sf):
+    """The events table read as a stream; sessions closed by the watermark."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    k = F.get_json_object("props", "$.k").cast("int")
+    stream = events.select(
+        F.col("event_type").alias("dimension"), F.floor(F.col("value") / 16.0).cast("int").alias("chunk_x"), F.floor(k / 16.0).cast("int").alias("chunk_z"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    out = scratch(spark)
+    run = (
+        jobs.settled_stream(stream, SETTLE, "1 day").writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").withColumn("settled_at", F.col("settled_at").cast("timestamp_ntz"))
 
 
 def q_drain(spark, sf):
@@ -183,6 +209,7 @@ QUERIES = {
     "j12_change_detection": lambda s, sf: changes.changed_slots(fx.slots(s, sf, "1997-01-01"), fx.slots(s, sf, "1997-07-01")),
     "t1_dirty_coalescing": settled,
     "t1_drain": q_drain,
+    "t1_dirty_stream": q_stream,
     "t2_chunk_tiles": lambda s, sf: changes.tiles_of_chunks(fx.marks(s, sf), 2, 8),
     "t4_snapshot_sync": lambda s, sf: _snapshot(s, sf),
     "t5_upsert_delete": lambda s, sf: changes.apply_upserts(current_areas(s, sf), batches(s, sf)),
@@ -243,6 +270,9 @@ ORACLE = {
     "t1_drain": oracle(
         "fx_marks", "SELECT dimension,chunk_x,chunk_z,max(ts) AS last_mark FROM fx_marks GROUP BY 1,2,3 HAVING max(ts)<=TIMESTAMP '2024-01-25 00:00:00'-INTERVAL 3 DAY"
     ),
+    "t1_dirty_stream": oracle(
+        "o_settled", "SELECT dimension,chunk_x,chunk_z,settled_at,marks FROM o_settled WHERE settled_at<=(SELECT max(ts)-INTERVAL 1 DAY FROM events)"
+    ),
     "t2_chunk_tiles": oracle("o_chunk_tiles", "SELECT * FROM o_chunk_tiles"),
     "t4_snapshot_sync": oracle(
         "fx_positions",
@@ -258,6 +288,14 @@ ORACLE = {
         "SELECT DISTINCT batch_id,coalesce(b.dimension,a.dimension) AS dimension FROM o_batches b LEFT JOIN fx_areas a ON a.id=b.id AND b.op='delete' WHERE coalesce(b.dimension,a.dimension) IS NOT NULL",
     ),
     "t7_height_band": oracle("o_render", "SELECT dimension,min(ry) AS low,max(ry) AS high,8 AS depth FROM o_render GROUP BY 1"),
+    "t8_event_feed": oracle(
+        "fx_positions fx_dims o_chunk_tiles",
+        ", c AS (SELECT n_name AS client,(['','click','error','signup'])[CAST(n_nationkey%4+1 AS INTEGER)] AS dimension FROM nation), "
+        "e AS (SELECT dimension,'player.move' AS type,1 AS p FROM fx_positions WHERE NOT hidden AND dimension IN (SELECT dimension FROM fx_dims WHERE enabled) "
+        "UNION ALL SELECT dimension,'chunk.updated',1 FROM o_chunk_tiles WHERE zoom=4 AND chunk_z<3 "
+        "UNION ALL SELECT DISTINCT dimension,t,NULL FROM fx_marks,(VALUES ('claim.updated'),('region.updated')) k(t) WHERE chunk_z<3) "
+        "SELECT client,type,count(*) AS n,count(p) AS payloads FROM e JOIN c ON c.dimension='' OR c.dimension=e.dimension GROUP BY 1,2",
+    ),
     "t9_catch_up_feed": oracle("o_effective", "SELECT dimension,mode,zoom,tile_x,tile_y,revision FROM o_effective WHERE override"),
     "t10_stale_expiry": oracle(
         "fx_positions", "SELECT player,max(ts) AS last_seen FROM fx_positions GROUP BY 1 HAVING max(ts)>=TIMESTAMP '2024-01-30 00:00:00'-INTERVAL 12 HOUR"

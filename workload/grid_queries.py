@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelspark.functions import color as C
-from voxelspark.functions import grid, iso, names
+from voxelspark.functions import grid, iso, names, sql
 from voxelspark.operators import requests, surface
 
 from . import sqlcolor as q
@@ -144,6 +144,15 @@ def q_covering(spark, sf):
     )
 
 
+def q_sql_covering(spark, sf):
+    """The same cover through the SQL table function."""
+    sql.register(spark)
+    v = fx.viewports(spark, sf).withColumn("z", F.col("zoom") + 2)
+    return spark.sql(
+        "SELECT v.view_id, v.z AS zoom, t.tile_x, t.tile_y FROM {v} v, LATERAL tiles_covering(v.min_x, v.min_z, v.max_x, v.max_z, v.z) t", v=v
+    )
+
+
 def q_biome_tints(spark, sf):
     g, f, w = names.biome_tints("key")
     return names_norm(spark, sf).select("id", *g.columns("g_"), *f.columns("f_"), *w.columns("w_"))
@@ -180,6 +189,7 @@ QUERIES = {
     ),
     "f4_tile_addressing": q_tiles,
     "f4_tiles_covering": q_covering,
+    "x3_sql_tiles_covering": q_sql_covering,
     "f5_map_axes": lambda s, sf: blocks(s, sf).select("id", *[c.alias(n) for c, n in zip(grid.map_xy("x", "z"), ("map_x", "map_y"))]),
     "f6_normalize_name": lambda s, sf: names_norm(s, sf).select("id", "key"),
     "f7_safe_id": lambda s, sf: fx.raw_names(s, sf).select("id", names.safe_id(F.concat(F.lit(".-"), "name")).alias("token")),
@@ -412,3 +422,5 @@ ORACLE = {
         "SELECT id,zoom,CAST((floor((max_x-1)/sp)-floor(min_x/sp)+1)*(floor((max_z-1)/sp)-floor(min_z/sp)+1) AS BIGINT) AS tiles FROM s",
     ),
 }
+
+ORACLE["x3_sql_tiles_covering"] = ORACLE["f4_tiles_covering"]

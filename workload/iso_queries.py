@@ -80,6 +80,51 @@ define(
     + ",CASE face WHEN 0 THEN top_a ELSE 255 END AS a FROM (SELECT *,row_number() OVER (PARTITION BY dimension,gx,gy ORDER BY x+z DESC) AS rn FROM o_iso_cells) WHERE rn=1",
 )
 
+for _z in (6, 5, 4):
+    _from = "o_iso_pixels" if _z == 6 else f"o_iso_level{_z + 1}"
+    define(
+        f"o_iso_level{_z}",
+        (_from,),
+        f"SELECT dimension,{_z} AS zoom,CAST(floor(gx/2.0) AS INTEGER) AS gx,CAST(floor(gy/2.0) AS INTEGER) AS gy,"
+        + ",".join(f"CAST(floor((sum({c})+(4-count(*))*{f}+2)/4) AS INTEGER) AS {c}" for c, f in zip("rgba", UNEXPLORED))
+        + f" FROM {_from} GROUP BY 1,2,3,4",
+    )
+# Voxel mode: every visible face of every slab voxel, plants painted on the voxel below.
+define(
+    "o_vox",
+    ("o_slabs", "o_faces", "o_tinted", "fx_palette"),
+    "SELECT s.dimension,s.x,s.y,s.z,s.top_y-s.depth+1 AS floor_y,b.decoration AS is_plant,b.water AS wet,b.a AS b_a,CASE WHEN b.height>0 AND b.height<=1 THEN b.height ELSE 1.0e0 END AS h,f.top_face,f.left_face,f.right_face,"
+    "s.y=s.top_y-CASE WHEN pl.id IS NULL THEN 0 ELSE 1 END AS is_top,pl.id AS plant,c.relief,c.depth,"
+    + ",".join(f"{q.tint(f'b.{ch}', ch, 'b.tint', 'c.')} AS v_{ch},{q.tint(f'pl.{ch}', ch, 'pl.tint', 'c.')} AS p_{ch},c.wa_{ch}" for ch in q.RGB)
+    + ",pl.a AS p_a FROM o_slabs s JOIN o_faces f USING (dimension,x,y,z) JOIN fx_palette b ON b.id=s.block_id JOIN o_tinted c ON c.dimension=s.dimension AND c.x=s.x AND c.z=s.z "
+    "LEFT JOIN (SELECT t.dimension,t.x,t.z,p.* FROM o_slabs t JOIN fx_palette p ON p.id=t.block_id AND p.decoration WHERE t.y=t.top_y) pl ON pl.dimension=s.dimension AND pl.x=s.x AND pl.z=s.z",
+)
+define(
+    "o_vox_base",
+    ("o_vox",),
+    "SELECT *," + ",".join(f"CASE WHEN wet THEN {q.water(f'v_{ch}', f'wa_{ch}', 'depth')} ELSE v_{ch} END AS side_{ch}" for ch in q.RGB) + " FROM o_vox",
+)
+define(
+    "o_vox_color",
+    ("o_vox_base",),
+    "SELECT *,"
+    + ",".join(
+        f"(CASE WHEN is_top AND top_face AND plant IS NOT NULL THEN {q.over(f'p_{ch}', lit, 'p_a')} ELSE {lit} END) AS top_{ch}"
+        for ch, lit in ((ch, q.clamp8(f"side_{ch}*CASE WHEN is_top THEN relief ELSE 1.0e0 END")) for ch in q.RGB)
+    )
+    + " FROM o_vox_base",
+)
+define(
+    "o_vox_cells",
+    ("o_vox_color", "o_render"),
+    "SELECT dimension,(x-z-1)*2+i AS gx,y0+j AS gy,rank,CASE WHEN j<=hi THEN 255 ELSE b_a END AS a,"
+    + ",".join(f"CASE WHEN j<=hi THEN top_{ch} ELSE {q.clamp8(f'side_{ch}*CASE WHEN i<2 THEN 0.82e0 ELSE 0.68e0 END')} END AS {ch}" for ch in q.RGB)
+    + " FROM (SELECT *,unnest(range(CASE WHEN tf THEN lo ELSE hi+1 END,hi+1+CAST(CASE WHEN i<2 THEN lw ELSE rw END AS INTEGER))) AS j FROM ("
+    "SELECT *,floor(((x+z)*0.5e0-(y+h))*2+0.5e0) AS y0,top_face AS tf,CASE WHEN left_face THEN greatest(1,floor(h*2+0.5e0)) ELSE 0 END AS lw,CASE WHEN right_face THEN greatest(1,floor(h*2+0.5e0)) ELSE 0 END AS rw,(x+z)*100000+y AS rank FROM o_vox_color WHERE NOT is_plant AND (top_face OR left_face OR right_face) "
+    "UNION ALL SELECT v.*,(v.x+v.z)-(v.y+1)*2,false,CASE WHEN l.ry IS NULL THEN 4 ELSE greatest(0,v.y-l.ry) END*2,CASE WHEN r.ry IS NULL THEN 4 ELSE greatest(0,v.y-r.ry) END*2,(v.x+v.z)*100000+50000 FROM o_vox_color v "
+    "LEFT JOIN o_render l ON l.dimension=v.dimension AND l.x=v.x AND l.z=v.z+1 LEFT JOIN o_render r ON r.dimension=v.dimension AND r.x=v.x+1 AND r.z=v.z WHERE v.y=v.floor_y), (VALUES (0,1,0),(1,0,1),(2,0,1),(3,1,0)) t(i,lo,hi))",
+)
+
 
 def _tables(spark):
     return fx.palette(spark), fx.biomes(spark), fx.dimensions(spark)
@@ -144,6 +189,14 @@ ORACLE = {
         "SELECT dimension,gx,gy,ry FROM (SELECT *,row_number() OVER (PARTITION BY dimension,gx,gy ORDER BY x+z DESC) AS rn FROM (SELECT dimension,x,z,ry,x-z AS gx,x+z-2*ry AS gy FROM o_render)) WHERE rn=1",
     ),
     "r4_height_field_view": oracle("o_iso_pixels", "SELECT * FROM o_iso_pixels"),
+    "r4_isometric_pyramid": oracle(
+        "o_iso_pixels o_iso_level4",
+        "SELECT * FROM o_iso_pixels UNION ALL SELECT * FROM o_iso_level6 UNION ALL SELECT * FROM o_iso_level5 UNION ALL SELECT * FROM o_iso_level4",
+    ),
+    "r6_voxel_view": oracle(
+        "o_vox_cells",
+        "SELECT dimension,7 AS zoom,CAST(gx AS INTEGER) AS gx,CAST(gy AS INTEGER) AS gy,r,g,b,a FROM (SELECT *,row_number() OVER (PARTITION BY dimension,gx,gy ORDER BY rank DESC) AS rn FROM o_vox_cells) WHERE rn=1",
+    ),
     "r5_contributing_columns": oracle(
         "fx_marks o_render",
         # footprint of the tiles that the marked chunks touch at zoom 9 (64 units wide)
