@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.grid import block_to_chunk, chunk_range, floor_div, in_bounds
+from ..functions.grid import block_to_chunk, floor_div, in_bounds
+from .spatial import BOUNDS, rectangle_join
 
 KEYS = ("dimension", "x", "z")
 Y_BIAS = 2048  # elevations are 16-bit in the world format but within +-2048 in practice
@@ -198,28 +199,25 @@ def dimension_y_range(sections: DataFrame) -> DataFrame:
 
 
 def window_columns(columns: DataFrame, windows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Columns of every requested block window, through chunk keys.
+    """Columns of every requested block window, through the chunks that exist.
 
-    ``windows`` has ``window_id, dimension, min_x, min_z, max_x, max_z``. A missing
-    chunk contributes nothing; unreadable ones are counted in ``chunk_errors``.
+    ``windows`` has ``window_id, dimension, min_x, min_z, max_x, max_z``. A window of
+    any size only meets stored chunks, so a missing chunk contributes nothing;
+    unreadable ones are counted in ``chunk_errors``.
     """
-    bounds = ("min_x", "min_z", "max_x", "max_z")
-    x0, z0, x1, z1 = chunk_range(bounds)
-    keyed = (
-        windows.filter((F.col("max_x") > F.col("min_x")) & (F.col("max_z") > F.col("min_z")))
-        .withColumn("chunk_x", F.explode(F.sequence(x0, x1 - 1)))
-        .withColumn("chunk_z", F.explode(F.sequence(z0, z1 - 1)))
-    )
     on = ["dimension", "chunk_x", "chunk_z"]
     cells = columns.withColumns({"chunk_x": block_to_chunk("x"), "chunk_z": block_to_chunk("z")})
-    hit = keyed.join(cells, on).filter(in_bounds("x", "z", *bounds)).drop(*bounds, "chunk_x", "chunk_z")
+
+    def meeting(chunks: DataFrame) -> DataFrame:
+        rect = {n: F.col(c) * 16 + d for n, c, d in zip(BOUNDS, ("chunk_x", "chunk_z") * 2, (0, 0, 16, 16))}
+        pairs = rectangle_join(windows, chunks.select(*on).distinct().withColumns(rect))
+        return pairs.withColumnsRenamed({"r_chunk_x": "chunk_x", "r_chunk_z": "chunk_z"})
+
+    keyed = meeting(cells).select("window_id", *on, *BOUNDS)
+    hit = keyed.join(cells, on).filter(in_bounds("x", "z", *BOUNDS)).drop(*BOUNDS, "chunk_x", "chunk_z")
     if errors is None:
         return hit
-    failed = (
-        keyed.join(errors.select(*on), on)
-        .groupBy("window_id")
-        .agg(F.count("*").alias("chunk_errors"))
-    )
+    failed = meeting(errors).groupBy("window_id").agg(F.count("*").alias("chunk_errors"))
     return hit.join(failed, "window_id", "left").fillna({"chunk_errors": 0})
 
 

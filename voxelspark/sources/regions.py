@@ -51,7 +51,10 @@ def with_region(files: DataFrame) -> DataFrame:
 
 
 def list_regions(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue without contents: ``path, mtime, size, region_x, region_z``."""
+    """Catalogue without contents: ``path, mtime, size, region_x, region_z``.
+
+    The file source leaves out empty files; they hold no chunks.
+    """
     return with_region(_read(spark, path, "r.*.mca").drop("content"))
 
 
