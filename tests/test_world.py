@@ -88,7 +88,7 @@ def test_legacy_layout(spark):
     """Entries across longs, the old nesting, and chunk-wide numeric biomes."""
     index = np.arange(4096) % 5
     names = ["air", "stone", "dirt", "water", "grass_block"]
-    section = {"Y": 2, "Palette": [{"Name": f"minecraft:{n}"} for n in names], "BlockStates": writer.pack(index, 5, 4, crossing=True)}
+    section = {"Y": 2, "Palette": [{"Name": f"minecraft:{n}"} for n in names], "BlockStates": writer.pack(index, 5, 1, crossing=True)}
     root = {"DataVersion": 1976, "Level": {"Status": "full", "Sections": [section], "Biomes": np.full(256, 2, np.int32)}}
     parts = regions.decode_document(regions.tagged.parse(writer.document(root)))
     voxels = [p for p in parts if p["kind"] == "voxel"][0]
