@@ -92,12 +92,27 @@ def _spread(rows: DataFrame, ppu: int, left_px: Column, right_px: Column, top_on
     return cells.withColumn("_face", face).drop("_high", "_first", "_last")
 
 
-def _paint_faces(cells: DataFrame) -> DataFrame:
-    side = lambda f: color.scale(color.load("base"), f)
-    shown = color.pick(
-        F.col("_face") == 0, color.load("top"), color.pick(F.col("_face") == 1, side(LEFT_SHADE), side(RIGHT_SHADE))
+def _face_colors(rows: DataFrame) -> DataFrame:
+    """Packed colours of top, left and right face, once per block, before any cell exists."""
+    base = color.load("base")
+    return rows.withColumns(
+        {
+            "_c0": argb(color.load("top")),
+            "_c1": argb(color.scale(base, F.lit(LEFT_SHADE))),
+            "_c2": argb(color.scale(base, F.lit(RIGHT_SHADE))),
+        }
+    ).drop("top", "base")
+
+
+def _cell_rows(cells: DataFrame) -> DataFrame:
+    shown = F.when(F.col("_face") == 0, F.col("_c0")).when(F.col("_face") == 1, F.col("_c1")).otherwise(F.col("_c2"))
+    return cells.select(
+        "dimension",
+        (F.col("_x0") + F.col("_i")).alias("gx"),
+        (F.col("_y0") + F.col("_j")).alias("gy"),
+        "_rank",
+        shown.alias("_argb"),
     )
-    return cells.withColumn("_argb", argb(shown))
 
 
 def nearest(cells: DataFrame, zoom: int) -> DataFrame:
@@ -119,10 +134,8 @@ def height_field_cells(faces: DataFrame, zoom: int, camera: str = iso.DEFAULT_CA
         "dimension", "left_depth", "right_depth", "top", "base", (a + b).cast("long").alias("_rank"),
         ((a - b - 1) * ppu).alias("_x0"), ((a + b) * (ppu // 2) - (F.col("ry") + 1) * ppu).alias("_y0"),
     )
-    cells = _spread(rows, ppu, F.col("left_depth") * ppu, F.col("right_depth") * ppu, F.lit(True))
-    return _paint_faces(cells).select(
-        "dimension", (F.col("_x0") + F.col("_i")).alias("gx"), (F.col("_y0") + F.col("_j")).alias("gy"), "_rank", "_argb"
-    )
+    rows = _face_colors(rows)
+    return _cell_rows(_spread(rows, ppu, F.col("left_depth") * ppu, F.col("right_depth") * ppu, F.lit(True)))
 
 
 def height_field_view(
@@ -150,14 +163,17 @@ def with_block_shape(voxels: DataFrame, palette: DataFrame) -> DataFrame:
     return voxels.join(shape, "block_id")
 
 
-def face_exposure(slabs: DataFrame, palette: DataFrame, camera: str = iso.DEFAULT_CAMERA) -> DataFrame:
+def face_exposure(
+    slabs: DataFrame, palette: DataFrame, camera: str = iso.DEFAULT_CAMERA, also: dict[str, tuple] = {}
+) -> DataFrame:
     """Visible faces of each slab voxel: hidden only by a known full-height occluder.
 
-    Voxels outside a slab are unknown and hide nothing, as do partial blocks.
+    Voxels outside a slab are unknown and hide nothing, as do partial blocks. ``also``
+    names further neighbour values to bring along in the same shuffle.
     """
     v = with_block_shape(slabs, palette)
     (la, ls), (ra, rs) = iso.neighbour_step("b", camera), iso.neighbour_step("a", camera)
-    near = {"_up": ("y", 1, "hides"), "_left": (la, ls, "hides"), "_right": (ra, rs, "hides")}
+    near = {"_up": ("y", 1, "hides"), "_left": (la, ls, "hides"), "_right": (ra, rs, "hides"), **also}
     v = with_neighbours(v, near, axes=("x", "y", "z"), blocked=("x", "z"), block=64)
     seen = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     v = v.withColumns({"top_face": seen("_up"), "left_face": seen("_left"), "right_face": seen("_right")})
@@ -188,49 +204,50 @@ def voxel_view(
     lies above the slice draw nothing.
     """
     ppu = 1 << (zoom - BASE_ZOOM)
-    v = sliced(slabs, slice_y)
-    v = face_exposure(v, palette, camera)
-    v = v.withColumn("_floor", F.col("top_y") - F.col("depth") + 1)
+    above = {
+        "plant_id": ("y", 1, F.when(F.col("decoration"), F.col("block_id"))),
+        "plant_light": ("y", 1, "light"),
+    }
+    v = face_exposure(sliced(slabs, slice_y), palette, camera, above)
     cut = F.col("top_y") if slice_y is None else F.least(F.col("top_y"), F.lit(slice_y))
     # The plant on top of a column, if its top voxel is one, is painted on the voxel below.
-    on = ["dimension", "x", "z"]
-    plants = v.filter(F.col("decoration") & (F.col("y") == cut)).select(
-        *on, F.col("block_id").alias("plant_id"), F.col("light").alias("plant_light")
-    )
-    planted = v.join(plants, on, "left")
-    draw_top = cut - F.col("plant_id").isNotNull().cast("int")
-    planted = planted.withColumn("is_top", F.col("y") == draw_top)
-    planted = planted.withColumn("decoration_id", F.when(F.col("is_top") & F.col("top_face"), F.col("plant_id")))
+    planted = F.col("plant_id").isNotNull() & (F.col("y") + 1 == cut)
+    v = v.withColumns(
+        {
+            "_floor": F.col("top_y") - F.col("depth") + 1,
+            "is_top": planted | (~F.col("decoration") & (F.col("y") == cut)),
+            "decoration_id": F.when(planted & F.col("top_face"), F.col("plant_id")),
+            "_shown": ~F.col("decoration") & (F.col("top_face") | F.col("left_face") | F.col("right_face")),
+        }
+    ).withColumn("_lowest", F.col("y") == F.col("_floor"))
+    v = v.filter(F.col("_shown") | F.col("_lowest")).withColumnRenamed("light", "voxel_light")
 
     # Column facts: biome and water for colour, north and west for relief, walls for the skirt.
+    on = ["dimension", "x", "z"]
     facts = with_exposure(columns, camera, skirt).select(
         *on, "biome_id", "ry", "north", "west", "left_y", "right_y", "height", "water", "water_y",
         "block_light", "ore_best", "ore_score", F.col("block_id").alias("ground_id"), F.lit(True).alias("present"),
     )
-    rows = planted.withColumnRenamed("light", "voxel_light").join(facts, on)
-    rows = _voxel_colors(rows, palette, biomes, dimensions, style, options)
+    rows = _face_colors(_voxel_colors(v.join(facts, on), palette, biomes, dimensions, style, options))
 
     a, b = iso.rotate("x", "z", camera)
-    plane = (a + b).cast("long") * RANK_Y
+    plane = (a + b).cast("long") * RANK_Y + F.col("y") + 2048
     side_px = F.greatest(F.lit(1), F.floor(F.col("block_height") * ppu + 0.5).cast("int"))
     y0 = F.floor(((a + b) * 0.5 - (F.col("y") + F.col("block_height"))) * ppu + 0.5).cast("int")
-    shown = ~F.col("decoration") & (F.col("top_face") | F.col("left_face") | F.col("right_face"))
-    faces = rows.filter(shown).select(
-        "dimension", "top", "base", ((a - b - 1) * ppu).alias("_x0"), y0.alias("_y0"), "top_face",
-        F.when(F.col("left_face"), side_px).otherwise(0).alias("_l"), F.when(F.col("right_face"), side_px).otherwise(0).alias("_r"),
-        (plane + F.col("y") + 2048).alias("_rank"),
-    )
-    depth = lambda n: exposed_depth("_floor", n, skirt) * ppu
-    basement = rows.filter(F.col("y") == F.col("_floor")).select(
-        "dimension", "top", "base", ((a - b - 1) * ppu).alias("_x0"),
-        ((a + b) * (ppu // 2) - (F.col("_floor") + 1) * ppu).cast("int").alias("_y0"), F.lit(False).alias("top_face"),
-        depth("left_y").alias("_l"), depth("right_y").alias("_r"), (plane + 4096 + F.col("y") + 2048).alias("_rank"),
-    )
-    cells = _spread(faces.unionByName(basement), ppu, F.col("_l"), F.col("_r"), F.col("top_face"))
-    cells = _paint_faces(cells).select(
-        "dimension", (F.col("_x0") + F.col("_i")).alias("gx"), (F.col("_y0") + F.col("_j")).alias("gy"), "_rank", "_argb"
+    part = lambda top, y, left, right, rank: F.struct(
+        top.alias("_on"), y.alias("_y0"), left.cast("int").alias("_l"), right.cast("int").alias("_r"), rank.alias("_rank")
     )
-    return nearest(cells, zoom)
+    wall = lambda name: F.when(F.col(name), side_px).otherwise(0)
+    depth = lambda name: exposed_depth("_floor", name, skirt) * ppu
+    body = part(F.col("top_face"), y0, wall("left_face"), wall("right_face"), plane)
+    basement = part(
+        F.lit(False), ((a + b) * (ppu // 2) - (F.col("_floor") + 1) * ppu).cast("int"), depth("left_y"), depth("right_y"), plane + 4096
+    )
+    both = F.filter(F.array(F.when(F.col("_shown"), body), F.when(F.col("_lowest"), basement)), lambda p: p.isNotNull())
+    drawn = rows.select(
+        "dimension", "_c0", "_c1", "_c2", ((a - b - 1) * ppu).alias("_x0"), F.explode(both).alias("_p")
+    ).select("dimension", "_c0", "_c1", "_c2", "_x0", "_p.*")
+    return nearest(_cell_rows(_spread(drawn, ppu, F.col("_l"), F.col("_r"), F.col("_on"))), zoom)
 
 
 def _voxel_colors(

@@ -15,6 +15,8 @@ def build_session(app: str = "voxelspark", cores: str = "*", partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Colour expressions are long; above this size the JVM would not compile the fused method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
