@@ -82,10 +82,10 @@ def with_fallback(seen: DataFrame, palette: DataFrame, classifier: DataFrame | N
 def extend_palette(palette: DataFrame, seen: DataFrame, classifier: DataFrame | None = None) -> DataFrame:
     """The palette plus one guessed row, with a fresh id, per unmapped name."""
     new = with_fallback(seen, palette, classifier).filter(~F.col("known"))
-    top = palette.agg(F.max("id").alias("_top"))
+    top = palette.agg(F.max("id")).scalar()
     # Unmapped names are distinct identifiers bounded by the 16-bit id space.
     ranked = new.withColumn("_n", F.row_number().over(Window.orderBy("name")))
-    new = ranked.crossJoin(top).withColumn("id", F.col("_n") + F.coalesce("_top", F.lit(0)))
+    new = ranked.withColumn("id", F.col("_n") + F.coalesce(top, F.lit(0)))
     return palette.select(*PALETTE_COLUMNS).unionByName(new.select(*PALETTE_COLUMNS))
 
 

@@ -63,7 +63,7 @@ def rectangle_join(
 
     def meet(low: DataFrame, low_bounds, own: str, high: DataFrame, high_bounds, top: str, strict: bool) -> DataFrame:
         """Pairs at the level of ``high``; ``low`` is lifted to every such level."""
-        levels = high.groupBy(F.col(top).alias("_to")).agg(F.first(F.lit(1)).alias("_one")).select("_to")
+        levels = high.select(F.col(top).alias("_to")).distinct()
         fits = F.col("_to") > F.col(own) if strict else F.col("_to") >= F.col(own)
         # At most nineteen distinct levels exist, whatever the tables hold.
         lifted = low.join(F.broadcast(levels), fits)

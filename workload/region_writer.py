@@ -113,13 +113,13 @@ def region_table(voxels: DataFrame, palette: DataFrame, biomes: DataFrame) -> Da
         "dimension", F.shiftright("x", 4).alias("cx"), F.shiftright("z", 4).alias("cz"), "x", "y", "z", "name", "biome"
     )
 
-    def encode(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dimension": [key[0]], "cx": [key[1]], "cz": [key[2]], "doc": [chunk_document(pdf)]})
 
     docs = keyed.groupBy("dimension", "cx", "cz").applyInPandas(encode, "dimension string, cx int, cz int, doc binary")
     docs = docs.withColumns({"rx": F.shiftright("cx", 5), "rz": F.shiftright("cz", 5)})
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # One chunk in eight is stored with gzip instead.
         pdf = pdf.sort_values(["cx", "cz"])
         spots = list(zip(pdf["cx"], pdf["cz"]))
