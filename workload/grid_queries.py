@@ -49,7 +49,14 @@ define(
     + ", (id%140)/100.0e0-0.2e0 AS t, CAST(id%16 AS INTEGER) AS light, CAST(id%40 AS INTEGER) AS depth, "
     "CAST(id%11 AS INTEGER) AS kind, CAST(id%25 AS INTEGER) AS score FROM fx_blocks",
 )
-P, S = C.load("p"), C.load("s")
+
+
+def P():
+    return C.load("p")
+
+
+def S():
+    return C.load("s")
 
 
 def q_bounds(spark, sf):
@@ -159,7 +166,7 @@ def q_biome_tints(spark, sf):
 
 
 def q_hex(spark, sf):
-    df = rgb_rows(spark, sf).withColumn("hex", C.format_hex(P))
+    df = rgb_rows(spark, sf).withColumn("hex", C.format_hex(P()))
     short = F.concat(F.lit(" #"), F.substring("hex", 2, 1), F.substring("hex", 4, 1), F.substring("hex", 6, 1))
     eight = F.concat(F.upper(F.substring("hex", 2, 6)), F.lpad(F.hex(F.col("p.a")), 2, "0"))
     df = df.withColumns({"three": C.parse_hex(short), "six": C.parse_hex("hex"), "eight": C.parse_hex(eight), "bad": C.parse_hex(F.concat("hex", F.lit("x")))})
@@ -197,13 +204,13 @@ QUERIES = {
     "f9_hex_color": q_hex,
     "f10_name_color": lambda s, sf: names_norm(s, sf).select("key").distinct().withColumn("h", C.name_hash("key"))
     .select("key", *C.name_color("h").columns()),
-    "f11_color_mix": lambda s, sf: _c(rgb_rows(s, sf), *C.multiply(P, S).columns("m_"), *C.lerp(P, S, "t").columns("l_"), *C.scale(P, F.col("t") * 2).columns("s_")),
-    "f12_alpha_over": lambda s, sf: _c(rgb_rows(s, sf), *C.alpha_over(P, S).columns()),
-    "f13_ore_style": lambda s, sf: _c(rgb_rows(s, sf), *C.ore_style(P, "kind", "score").columns(), *C.desaturate(S, 0.88).columns("d_")),
+    "f11_color_mix": lambda s, sf: _c(rgb_rows(s, sf), *C.multiply(P(), S()).columns("m_"), *C.lerp(P(), S(), "t").columns("l_"), *C.scale(P(), F.col("t") * 2).columns("s_")),
+    "f12_alpha_over": lambda s, sf: _c(rgb_rows(s, sf), *C.alpha_over(P(), S()).columns()),
+    "f13_ore_style": lambda s, sf: _c(rgb_rows(s, sf), *C.ore_style(P(), "kind", "score").columns(), *C.desaturate(S(), 0.88).columns("d_")),
     "f14_light_style": lambda s, sf: _c(rgb_rows(s, sf), *C.light_style("light").columns()),
     "f15_light_factor": lambda s, sf: _c(rgb_rows(s, sf), C.light_factor("light").alias("factor")),
     "f16_height_gradient": lambda s, sf: _c(rgb_rows(s, sf), *C.gradient(C.HEIGHT_RAMP, "t").columns()),
-    "f17_water_color": lambda s, sf: _c(rgb_rows(s, sf), *C.water_over(P, S, "depth").columns()[:3]),
+    "f17_water_color": lambda s, sf: _c(rgb_rows(s, sf), *C.water_over(P(), S(), "depth").columns()[:3]),
     "f18_classify_ore": lambda s, sf: names_norm(s, sf).select("id", names.classify_ore("key").alias("kind"), names.ore_points(names.classify_ore("name")).alias("points")),
     "f19_infer_height": lambda s, sf: names_norm(s, sf).select("id", names.infer_height("key").alias("height")),
     "f20_biome_tints": q_biome_tints,
