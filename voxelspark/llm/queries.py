@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import exact_dedup, simhash_dedup
+from voxelspark.llm import bpe, exact_dedup, simhash_dedup
 from voxelspark.llm.common import table
 
 
@@ -18,9 +18,14 @@ def op8_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame
     return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cuckoo_exact_dedup": op2_cuckoo_exact_dedup,
     "op8_simhash_deletion_variants": op8_simhash_deletion_variants,
+    "op10_bpe_distinct_words": op10_bpe_distinct_words,
 }
 
 ORACLE: dict[str, str] = {
