@@ -211,7 +211,7 @@ def assemble(docs: DataFrame, finish, columns: str, path: str | None = None, buc
 
 def encode(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """``doc_id`` and ``ids``, the token ids of the whole text."""
-    return assemble(docs, lambda ids: (ids.astype(np.int32).tolist(),), "ids array<int>", path, **options)
+    return assemble(docs, lambda ids: (ids.astype(np.int32),), "ids array<int>", path, **options)
 
 
 def piece_table(spark, path: str | None = None) -> DataFrame:
@@ -249,6 +249,17 @@ def digests(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     return assemble(docs, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", path, **options)
 
 
+def tokens(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """doc_id, n_tokens and ids of every whole text, with the digest of the text decoded again."""
+    path = path or vocabulary()
+
+    def finish(ids: np.ndarray):
+        text = b"".join(map(pieces(path).__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return len(ids), ids.astype(np.int32), hashlib.sha256(text.encode()).hexdigest()
+
+    return assemble(docs, finish, "n_tokens long, ids array<int>, decoded_sha256 string", path, **options)
+
+
 @cache
 def _numbers(path: str) -> list[str]:
     return [str(i) for i in range(len(pieces(path)))]

@@ -200,6 +200,19 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one for each distinct text. The
+    join and the removal of repeated rows share one shuffle, by digest and id, which no group of
+    copies can make uneven."""
+    missing = F.lit(-(2**63))
+    group = groups(written(digests(docs)))
+    stays = group.select(F.col("digest").alias("__text_digest"), F.coalesce("keep_id", missing).alias("__row_id"))
+    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
+    keyed = docs.withColumns({"__text_digest": F.unhex(F.sha2(text, 256)), "__row_id": F.coalesce(F.col("doc_id").cast("long"), missing)})
+    keys = ["__text_digest", "__row_id"]
+    return keyed.join(stays, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+
+
 # ---------------------------------------------------------------- the index as a table
 
 INDEX = "shard int, digest binary, bucket int, slot int, buckets int"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import bpe, exact_dedup, simhash_dedup
+from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, simhash_dedup
 from voxelspark.llm.common import table
 
 
@@ -18,13 +18,24 @@ def op8_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame
     return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and benchmark item; clean documents have no row."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cuckoo_exact_dedup": op2_cuckoo_exact_dedup,
+    "op5_hyperdimensional_language_id": op5_hyperdimensional_language_id,
     "op8_simhash_deletion_variants": op8_simhash_deletion_variants,
+    "op9_cgk_decontamination": op9_cgk_decontamination,
     "op10_bpe_distinct_words": op10_bpe_distinct_words,
 }
 

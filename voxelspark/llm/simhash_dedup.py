@@ -188,3 +188,13 @@ def near_groups(docs: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFr
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs`` that stay: in each group of near duplicates, the one with the smallest
+    id. Rows without an id share one fate."""
+    missing = F.lit(-(2**63))
+    found = near_groups(docs, bits, limit).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = found.select(F.coalesce(F.col("doc_id").cast("long"), missing).alias("__row_id"))
+    keyed = docs.withColumn("__row_id", F.coalesce(F.col("doc_id").cast("long"), missing))
+    return keyed.join(stays, "__row_id", "left_semi").drop("__row_id")
