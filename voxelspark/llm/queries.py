@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, simhash_dedup
+from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, lm_scoring, simhash_dedup
 from voxelspark.llm.common import table
 
 
+def op1_gated_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gated_lm_scoring": op1_gated_lm_scoring,
     "op2_cuckoo_exact_dedup": op2_cuckoo_exact_dedup,
     "op5_hyperdimensional_language_id": op5_hyperdimensional_language_id,
     "op8_simhash_deletion_variants": op8_simhash_deletion_variants,
