@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, lm_scoring, simhash_dedup
+from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, lm_scoring, simhash_dedup, toxicity, url_filter
 from voxelspark.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op2_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_markov_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,9 @@ def op10_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gated_lm_scoring": op1_gated_lm_scoring,
     "op2_cuckoo_exact_dedup": op2_cuckoo_exact_dedup,
+    "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op5_hyperdimensional_language_id": op5_hyperdimensional_language_id,
+    "op7_markov_url_filter": op7_markov_url_filter,
     "op8_simhash_deletion_variants": op8_simhash_deletion_variants,
     "op9_cgk_decontamination": op9_cgk_decontamination,
     "op10_bpe_distinct_words": op10_bpe_distinct_words,
