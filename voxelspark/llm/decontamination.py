@@ -82,7 +82,9 @@ class Index:
             # Walks that would leave the item are no part of it: the window after it differs.
             padded = np.concatenate([self.items[i], np.zeros(1, np.uint64)])
             signature, last = walk(padded, repetition, steps, samples)
-            good = np.flatnonzero(last[:-1] < len(self.items[i]))
+            # Nor do walks count that stand on a few words all the time.
+            length = last[:-1] - np.arange(len(self.items[i]))
+            good = np.flatnonzero((last[:-1] < len(self.items[i])) & (length >= min(steps // 3, 4)))
             rows.append((signature[good], np.full(len(good), i), good))
         signature, item, place = (np.concatenate(c) for c in zip(*rows))
         order = np.argsort(signature, kind="stable")
@@ -146,7 +148,7 @@ def matches(index: Index, words: np.ndarray, first: np.ndarray) -> list[tuple[in
                 continue
             seen.add((doc, i, start // max(1, allowed)))
             a, b = max(lo, start - 2 * allowed), min(hi, start + len(item) + 2 * allowed)
-            if b - a < len(item) - allowed:
+            if b - a < len(item) - allowed or np.isin(item, words[a:b]).sum() < len(item) - allowed:
                 continue
             distance, left, right = edit_distance(item, words[a:b])
             if distance <= allowed:
