@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, lm_scoring, simhash_dedup, toxicity, url_filter
+from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, lm_scoring, pii, simhash_dedup, toxicity, url_filter
 from voxelspark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gated_lm_scoring": op1_gated_lm_scoring,
     "op2_cuckoo_exact_dedup": op2_cuckoo_exact_dedup,
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
+    "op4_boosted_pii": op4_boosted_pii,
     "op5_hyperdimensional_language_id": op5_hyperdimensional_language_id,
     "op7_markov_url_filter": op7_markov_url_filter,
     "op8_simhash_deletion_variants": op8_simhash_deletion_variants,
