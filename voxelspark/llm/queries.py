@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelspark.llm import bpe, decontamination, exact_dedup, language_id, lm_scoring, pii, simhash_dedup, toxicity, url_filter
+from voxelspark.llm import bpe, decontamination, exact_dedup, html_extraction, language_id, lm_scoring, pii, simhash_dedup, toxicity, url_filter
 from voxelspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_tree_model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_markov_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op4_boosted_pii": op4_boosted_pii,
     "op5_hyperdimensional_language_id": op5_hyperdimensional_language_id,
+    "op6_tree_model_extraction": op6_tree_model_extraction,
     "op7_markov_url_filter": op7_markov_url_filter,
     "op8_simhash_deletion_variants": op8_simhash_deletion_variants,
     "op9_cgk_decontamination": op9_cgk_decontamination,
