@@ -167,7 +167,7 @@ def _assembled(path: str, finish, names: list[str]):
     """One block: its words' ids joined to their places; ``finish`` makes the columns of a row."""
     width = 2 if len(pieces(path)) <= 65536 else 4
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lists = pdf[pdf.bucket >= 0].drop_duplicates("bucket").sort_values("bucket")
         rows: list[tuple] = []
         # Blocks of one name hold the same documents, repeated; each copy has its own rows.

@@ -36,7 +36,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def fold(doc_id: Column | str, n: int) -> Column:
     """``crc32`` of the id as text, modulo ``n``; a null id counts as the empty text."""
-    return (F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % n).cast("int")
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % n).cast("int")
 
 
 def chunks(values: list, sizes, limit: int):

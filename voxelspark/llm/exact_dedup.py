@@ -250,7 +250,7 @@ def apply_changes(index: DataFrame | None, changes: DataFrame, shards: int) -> D
     last = changes.groupBy("digest").agg(F.max_by("live", "seq").alias("live"))
     index = spark.createDataFrame([], INDEX) if index is None else index
 
-    def change(key, stored: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
+    def change(key: tuple, stored: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
         shard = _loaded(stored)
         if len(news):
             keys, live = np.frombuffer(b"".join(news.digest), np.uint8).reshape(-1, 32), news.live.to_numpy(bool)
@@ -265,7 +265,7 @@ def apply_changes(index: DataFrame | None, changes: DataFrame, shards: int) -> D
 def probe(index: DataFrame, found: DataFrame, shards: int) -> DataFrame:
     """``digest`` and ``known`` for each distinct digest: in the filter, and verified there."""
 
-    def look(key, stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def look(key: tuple, stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return pd.DataFrame({"digest": [], "known": []})
         keys = np.frombuffer(b"".join(asked.digest), np.uint8).reshape(-1, 32)
