@@ -19,15 +19,18 @@ REGION = ["dimension", "region_x", "region_z"]
 TILE = ["dimension", "mode", "zoom", "tile_x", "tile_y"]
 
 
-def changed_slots(before: DataFrame, now: DataFrame) -> DataFrame:
+def changed_slots(before: DataFrame, now: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """Chunk slots that are new or carry a later stamp than in the last snapshot.
 
     A region never seen before is a baseline and reports nothing. Both sides have
     ``dimension, region_x, region_z, slot, stamp``; where both carry ``mtime``, a
-    region whose file is not newer is skipped.
+    region whose file is not newer is skipped. ``regions`` lists the regions seen before
+    (with ``mtime`` where that counts), those without any chunk too; by default those of
+    ``before``.
     """
-    with_time = "mtime" in before.columns and "mtime" in now.columns
-    seen = before.groupBy(*REGION).agg(*([F.max("mtime").alias("_mtime")] if with_time else [F.count("*").alias("_n")]))
+    known = before if regions is None else regions
+    with_time = "mtime" in known.columns and "mtime" in now.columns
+    seen = known.groupBy(*REGION).agg(*([F.max("mtime").alias("_mtime")] if with_time else [F.count("*").alias("_n")]))
     fresh = now.join(seen, REGION)
     if with_time:
         fresh = fresh.filter(F.col("mtime") > F.col("_mtime"))
@@ -111,14 +114,13 @@ def work_items(tiles: DataFrame, styles: list[str], variants: list[str] = [""])
     )
 
 
-def number_in_order(rows: DataFrame, group: str, order: list[str], start: int, parts: int = 64) -> DataFrame:
-    """Consecutive numbers from ``start + 1`` by ``group``, then a spread of ``order``.
+def number_in_order(rows: DataFrame, group: str, order: list[str], start: int) -> DataFrame:
+    """Consecutive numbers from ``start + 1`` by ``group``, then by ``order``.
 
-    Only per-bucket counts are ever summed in one place; rows are numbered within
-    small buckets, so a single huge group still spreads over ``parts`` tasks.
+    Rows are numbered among those that differ in the last column of ``order`` alone; only
+    the counts of these runs (for tiles, one a column of tiles) are summed in one place.
     """
-    spread = F.pmod(F.col(order[-2]) * 31 + F.col(order[-1]), F.lit(parts))
-    rows = rows.withColumn("_part", spread)
+    rows = rows.withColumn("_part", F.struct(*order[:-1]))
     sizes = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     totals = sizes.groupBy(group).agg(F.sum("_n").alias("_total"))
     before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
@@ -126,7 +128,7 @@ def number_in_order(rows: DataFrame, group: str, order: list[str], start: int, p
     inside = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     offsets = sizes.join(totals, group).select(group, "_part", (F.col("_base") + F.col("_off")).alias("_off"))
-    w = Window.partitionBy(group, "_part").orderBy(*order)
+    w = Window.partitionBy(group, "_part").orderBy(order[-1])
     return (
         rows.join(offsets, [group, "_part"])
         .withColumn("revision", F.lit(start) + F.col("_off") + F.row_number().over(w))
@@ -183,10 +185,17 @@ def apply_upserts(current: DataFrame, batches: DataFrame, key: str = "id") -> Da
 
 
 def touched_dimensions(current: DataFrame, batches: DataFrame, key: str = "id") -> DataFrame:
-    """Dimensions each batch touches, through its upserts or the rows it removes."""
-    up = batches.filter("op = 'upsert'").select("batch_id", "dimension")
-    gone = batches.filter("op = 'delete'").select("batch_id", key).join(current.select(key, "dimension"), key)
-    return up.unionByName(gone.select("batch_id", "dimension")).distinct()
+    """Dimensions each batch touches, through its upserts or the rows it removes.
+
+    A removal touches the dimension that its row has by then: that of the operation before
+    it, where a batch's removals follow its upserts. A row that is gone has none.
+    """
+    base = current.select(key, "dimension", F.lit(-1).cast("long").alias("batch_id"), F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"))
+    every = base.unionByName(batches.select(*base.columns))
+    w = Window.partitionBy(key).orderBy("batch_id", F.col("op") == "delete", "seq")
+    before = F.when(F.lag("op").over(w) == "upsert", F.lag("dimension").over(w))
+    touched = every.withColumn("dimension", F.when(F.col("op") == "delete", before).otherwise(F.col("dimension")))
+    return touched.filter("batch_id >= 0 and dimension is not null").select("batch_id", "dimension").distinct()
 
 
 def live_entities(updates: DataFrame, key: str, now: Column, stale: str = "30 seconds") -> DataFrame:

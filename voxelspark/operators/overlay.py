@@ -239,9 +239,11 @@ def search(
     """Ranked substring search; the first matching field of a row decides its score.
 
     Score is -1 for an exact match, else the offset. Ties go by name, then type and
-    id. Players are never filtered by dimension, but hidden ones do not appear.
+    id. Players are never filtered by dimension, but hidden ones do not appear. A blank
+    term finds nothing; a limit of zero or less is the default one.
     """
     needle = term.strip().lower()
+    limit = limit if limit > 0 else 20
     here = lambda df: df if dimension is None else df.filter(F.col("dimension") == dimension)
 
     def scored(rows: DataFrame, fields: list[str], **out: Column) -> DataFrame:
@@ -253,7 +255,7 @@ def search(
                 for f in fields
             ]
         )
-        rows = rows.withColumn("score", score).filter(F.col("score").isNotNull())
+        rows = rows.withColumn("score", score).filter(F.col("score").isNotNull() & F.lit(needle != ""))
         return rows.select(*[c.alias(n) for n, c in out.items()], "dimension", "score")
 
     found = []

@@ -16,10 +16,14 @@ from .spatial import BOUNDS, rectangle_join
 
 KEYS = ("dimension", "x", "z")
 Y_BIAS = 2048  # elevations are 16-bit in the world format but within +-2048 in practice
+NO_ID = (1 << 16) - 1  # stands for a missing block or biome inside a packed long
 
 
 def with_block_flags(voxels: DataFrame, palette: DataFrame) -> DataFrame:
-    """Attach the surface rules of each block; names are read once per palette row."""
+    """Attach the surface rules of each block; names are read once per palette row.
+
+    A block that the palette does not know is solid ground without ores.
+    """
     kind = names.classify_ore("name")
     flags = palette.select(
         F.col("id").alias("block_id"),
@@ -29,7 +33,8 @@ def with_block_flags(voxels: DataFrame, palette: DataFrame) -> DataFrame:
         kind.alias("ore_kind"),
         names.ore_points(kind).alias("ore_points"),
     )
-    return voxels.join(flags, "block_id")
+    unknown = {"water": False, "transparent": False, "decoration": False, "ore_points": 0}
+    return voxels.join(flags, "block_id", "left").fillna(unknown)
 
 
 def is_ground() -> Column:
@@ -47,6 +52,20 @@ def below_ceiling(voxels: DataFrame, dimensions: DataFrame) -> DataFrame:
     return j.filter(F.col("_roof").isNull() | (F.col("y") <= F.col("_roof"))).drop("_roof")
 
 
+def _within(value: Column, bits: int, what: str) -> Column:
+    """The value, or an error if it does not fit: a packed field never wraps."""
+    text = F.concat(F.lit(f"{what} outside 0..{(1 << bits) - 1}: "), value.cast("string"))
+    return F.when((value < 0) | (value >= 1 << bits), F.raise_error(text).cast("long")).otherwise(value.cast("long"))
+
+
+def _id(name: str) -> Column:
+    return F.coalesce(_within(F.col(name), 16, name), F.lit(NO_ID).cast("long"))
+
+
+def _real_id(packed: str, low: int) -> Column:
+    return F.nullif(_bits(packed, low, 16), F.lit(NO_ID))
+
+
 def _pack(*fields: tuple[Column | str, int]) -> Column:
     """Fields from most to least significant, in one long, so that max() compares
     them in order and the aggregate stays a fixed-width hash aggregate."""
@@ -79,16 +98,19 @@ def surface_scan(
     v = with_block_flags(voxels, palette)
     if dimensions is not None:
         v = below_ceiling(v, dimensions)
-    height = F.col("y") + Y_BIAS
-    ground = _pack((height, 12), ("block_id", 16), ("light_above", 4), ("block_light_above", 4), ("biome_id", 16))
+    height = _within(F.col("y") + Y_BIAS, 12, "elevation above -2048")
+    light = F.coalesce(F.col("light_above"), F.lit(15))
+    block_light = F.coalesce(F.col("block_light_above"), F.lit(0))
+    block, biome = _id("block_id"), _id("biome_id")
+    ground = _pack((height, 12), (block, 16), (light, 4), (block_light, 4), (biome, 16))
     base = v.groupBy(*KEYS).agg(
         F.max(F.when(is_ground(), ground)).alias("_ground"),
-        F.max(F.when(F.col("water"), _pack((height, 12), ("block_id", 16), ("biome_id", 16)))).alias("_water"),
+        F.max(F.when(F.col("water"), _pack((height, 12), (block, 16), (biome, 16)))).alias("_water"),
         F.max("ore_kind").alias("ore_best"),
         F.least(F.lit(255), F.sum("ore_points")).cast("int").alias("ore_score"),
     )
     base = base.filter(F.col("_ground").isNotNull() | F.col("_water").isNotNull())
-    plants = v.filter(is_decoration()).select(*KEYS, _pack((height, 12), ("block_id", 16)).alias("_plant"))
+    plants = v.filter(is_decoration()).select(*KEYS, _pack((height, 12), (block, 16)).alias("_plant"))
     ground_y = F.shiftright("_ground", 40)
     above = F.shiftright("_plant", 16) > ground_y
     cols = (
@@ -107,9 +129,9 @@ def surface_scan(
         *KEYS,
         either(ground_height, F.col("floor_y")).alias("height"),
         F.when(wet, water_y).alias("water_y"),
-        either(_bits("_ground", 24, 16), _bits("_water", 16, 16)).alias("block_id"),
-        F.when(dry, _bits("_plant", 0, 16)).alias("decoration_id"),
-        either(_bits("_ground", 0, 16), _bits("_water", 0, 16)).alias("biome_id"),
+        either(_real_id("_ground", 24), _real_id("_water", 16)).alias("block_id"),
+        F.when(dry, _real_id("_plant", 0)).alias("decoration_id"),
+        either(_real_id("_ground", 0), _real_id("_water", 0)).alias("biome_id"),
         either(_bits("_ground", 20, 4), F.lit(15)).alias("light"),
         either(_bits("_ground", 16, 4), F.lit(0)).alias("block_light"),
         "ore_best",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import col
+from ..functions.names import safe_id
 
 _POINTS = "array<struct<x:double,z:double>>"
 _CHUNKS = "array<struct<x:int,z:int>>"
@@ -74,12 +75,31 @@ def invalid_rows(batch: DataFrame, dimensions: DataFrame, key: str = "id") -> Da
     return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_known")
 
 
-def batch_verdicts(items: DataFrame, dimensions: DataFrame, key: str = "id", most: int = MAX_INGEST_ITEMS) -> DataFrame:
-    """Accept or reject each ``batch_id`` as a whole: one bad row rejects it."""
+def resolved_dimension(dimension, known: DataFrame, default: str | None = None) -> Column:
+    """A request's dimension as a known one: empty is the default, other spellings go by their
+    safe form. ``known`` is the short list of configured dimensions."""
+    raw = F.coalesce(col(dimension), F.lit(""))
+    raw = F.when(raw == "", F.lit(default)).otherwise(raw)
+    out = F.lit(None).cast("string")
+    for name in sorted(r["dimension"] for r in known.select("dimension").distinct().collect()):
+        out = F.when((raw == name) | (safe_id(raw) == safe_id(F.lit(name))), F.lit(name)).otherwise(out)
+    return out
+
+
+def batch_verdicts(
+    items: DataFrame, dimensions: DataFrame, key: str = "id", most: int = MAX_INGEST_ITEMS, default: str | None = None
+) -> DataFrame:
+    """Accept or reject each ``batch_id`` as a whole: one bad row rejects it.
+
+    With a column ``op``, removals (``delete``) count towards the limit but need neither a
+    dimension nor, as unknown ids are simply absent, a known id.
+    """
     known = dimensions.select("dimension", F.lit(True).alias("_known"))
     bad = (F.coalesce(F.col(key).cast("string"), F.lit("")) == "") | F.col("_known").isNull()
+    if "op" in items.columns:
+        bad &= F.coalesce(F.col("op"), F.lit("upsert")) != "delete"
     return (
-        items.join(known, "dimension", "left")
+        items.withColumn("dimension", resolved_dimension("dimension", dimensions, default)).join(known, "dimension", "left")
         .groupBy("batch_id")
         .agg(F.count("*").alias("items"), F.count_if(bad).alias("bad"))
         .withColumn("accepted", (F.col("bad") == 0) & (F.col("items") <= most))

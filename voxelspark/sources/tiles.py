@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.grid import TILE_PIXELS, x_shard
 from ..functions.names import safe_id
@@ -35,10 +41,54 @@ def pack_tiles(tiled: DataFrame, fill: tuple, size: int = TILE_PIXELS) -> DataFr
     return whole.select(*TILE_KEYS, F.unhex(text).alias("rgba"))
 
 
+def stored_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The rows at ``path`` in a known schema, or None before the first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+@contextmanager
+def staged(rows: DataFrame, path: str) -> Iterator[DataFrame]:
+    """``rows`` as a table next to ``path`` that is gone afterwards."""
+    spark, place = rows.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    rows.write.parquet(place)
+    try:
+        yield spark.read.schema(rows.schema).parquet(place)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def merge_partitions(rows: DataFrame, replaced: DataFrame, path: str, partitions: list[str], keys: list[str]) -> None:
+    """Replace the stored rows under the given keys and keep all others.
+
+    ``replaced`` holds the ``partitions`` and ``keys`` of every row that goes; ``rows`` come
+    in. Only touched partitions are written anew, with what they held besides. The result
+    is staged next to ``path`` first, so that nothing is overwritten while it is read; writing
+    the same rows again changes nothing.
+    """
+    spark = rows.sparkSession
+    where = list(dict.fromkeys([*partitions, *keys]))
+    replaced = replaced.select(*where).distinct()
+    shards = replaced.select(*partitions).unionByName(rows.select(*partitions)).distinct()
+    found = stored_rows(spark, path, rows.schema)
+    if found is not None:
+        kept = found.join(shards, partitions, "left_semi").join(replaced, where, "left_anti")
+        rows = rows.unionByName(kept.select(*rows.columns))
+    with staged(rows, path) as found:
+        found.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            *partitions
+        ).parquet(path)
+
+
 def write_tiles(
     tiles: DataFrame, path: str, mode: str = "top", style: str = "terrain", variant: str = ""
 ) -> None:
-    """Replace exactly the stored partitions that ``tiles`` covers.
+    """Store or replace exactly the given tiles; other tiles of their shards stay.
 
     Every attribute that changes the picture is part of the partition key.
     """
@@ -51,6 +101,4 @@ def write_tiles(
             "x_shard": x_shard("tile_x"),
         }
     )
-    rows.repartition(*STORE_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *STORE_KEYS
-    ).parquet(path)
+    merge_partitions(rows, rows, path, list(STORE_KEYS), ["tile_x", "tile_y"])

@@ -25,17 +25,23 @@ def region_directories(files: DataFrame) -> DataFrame:
     return files.groupBy(folder.alias("directory")).agg(F.count("*").alias("regions"), F.sum("size").alias("bytes"))
 
 
-def discover(directories: DataFrame, world: str, overrides: dict[str, str] = {}) -> DataFrame:
+NAMES = {OVERWORLD: "Overworld", NETHER: "Nether", THE_END: "The End"}
+
+
+def discover(directories: DataFrame, world: str, overrides: dict[str, str] = {}, level_name: str = "") -> DataFrame:
     """Dimension of each region directory of the world at path ``world``.
 
     Four layouts are recognised: inside the world folder, in sibling folders with a
     dimension suffix, and namespaced folders in either place. The first rule that
-    names an id wins it; an explicit override beats them all.
+    names an id wins it; an explicit override beats them all. The main dimension bears the
+    level's name; a dimension named by an override has no preset heights or roof. Paths are
+    compared as text, whatever characters they hold.
     """
     w = world.rstrip("/")
     d = F.col("directory")
-    named = lambda root: F.regexp_extract(d, f"^{root}/([^/]+)/([^/]+)/region$", 1)
-    path = lambda root: F.regexp_extract(d, f"^{root}/([^/]+)/([^/]+)/region$", 2)
+    below = lambda root: F.when(d.startswith(f"{root}/"), F.substring(d, len(root) + 2, 1 << 20)).otherwise("")
+    named = lambda root: F.regexp_extract(below(root), "^([^/]+)/([^/]+)/region$", 1)
+    path = lambda root: F.regexp_extract(below(root), "^([^/]+)/([^/]+)/region$", 2)
     rules: list[tuple[Column, Column]] = [
         (d == f"{w}/region", F.lit(OVERWORLD)),
         (d == f"{w}/DIM-1/region", F.lit(NETHER)),
@@ -47,7 +53,8 @@ def discover(directories: DataFrame, world: str, overrides: dict[str, str] = {})
         rules.append((named(root) != "", F.concat(named(root), F.lit(":"), path(root))))
     found = []
     for rank, (match, name) in enumerate(rules):
-        found.append(directories.filter(match).select("*", name.alias("dimension"), F.lit(-rank).alias("_rank")))
+        hit = directories.filter(match).select("*", name.alias("dimension"), F.lit(-rank).alias("_rank"))
+        found.append(hit.filter(~F.col("dimension").isin(*overrides)) if overrides else hit)
     for name, folder in overrides.items():
         base = folder.rstrip("/")
         inner = (d == f"{base}/region").cast("int")
@@ -55,11 +62,17 @@ def discover(directories: DataFrame, world: str, overrides: dict[str, str] = {})
         found.append(hit.select("*", F.lit(name).alias("dimension"), (inner + 1).alias("_rank")))
     rows = last_wins(reduce(DataFrame.unionByName, found), ["dimension"], ["_rank"]).drop("_rank")
     pick = lambda n, default: reduce(
-        lambda c, kv: F.when(F.col("dimension") == kv[0], F.lit(kv[1][n])).otherwise(c), DEFAULTS.items(), F.lit(default)
+        lambda c, kv: F.when(F.col("dimension") == kv[0], F.lit(kv[1][n])).otherwise(c),
+        [kv for kv in DEFAULTS.items() if kv[0] not in overrides],
+        F.lit(default),
     )
+    title = pretty_name("dimension")
+    for name, text in (NAMES | ({OVERWORLD: level_name} if level_name else {})).items():
+        if name not in overrides:
+            title = F.when(F.col("dimension") == name, F.lit(text)).otherwise(title)
     return rows.withColumns(
         {
-            "name": pretty_name("dimension"),
+            "name": title,
             "min_y": pick(0, -64),
             "max_y": pick(1, 320),
             "has_ceiling": pick(2, False),

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.grid import x_shard
 from ..operators import changes
 from ..plans import pyramid
+from ..sources.overlays import batch_verdicts
+from ..sources.tiles import merge_partitions, staged, stored_rows
 
 SNAPSHOT = "dimension string, region_x int, region_z int, slot int, stamp bigint, epoch bigint"
 
@@ -34,13 +37,18 @@ def height_band_stream(observed: DataFrame) -> DataFrame:
     )
 
 
-def write_snapshots(updates: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Each micro-batch replaces the stored snapshot as a whole."""
+def write_snapshots(updates: DataFrame, path: str, checkpoint: str, key: str | None = None, **options) -> StreamingQuery:
+    """Each micro-batch replaces the stored snapshot as a whole.
+
+    A snapshot of nobody comes as one row of its ``batch_id`` whose ``key`` is null; it
+    clears the table.
+    """
 
     def replace(batch: DataFrame, epoch: int) -> None:
         last = batch.agg(F.max("batch_id").alias("_last"))
         rows = batch.join(last, F.col("batch_id") == F.col("_last"), "left_semi")
         if not rows.isEmpty():
+            rows = rows if key is None else rows.filter(F.col(key).isNotNull())
             rows.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "static"
             ).parquet(path)
@@ -57,15 +65,32 @@ def ingest(
     key: str = "id",
     **options,
 ) -> StreamingQuery:
-    """Validated ingest: whole batches are appended or quarantined."""
-    from ..sources.overlays import batch_verdicts
+    """Validated ingest: whole batches are stored or quarantined.
+
+    A batch may arrive over several micro-batches. Its verdict is taken anew over all rows
+    that have come, so what was stored of it moves to the quarantine when a bad row follows. The
+    quarantine is written first: a replay finds every row in one place at least.
+    """
 
     def route(batch: DataFrame, epoch: int) -> None:
-        verdict = batch_verdicts(batch, dimensions, key).select("batch_id", "accepted")
-        rows = batch.join(verdict, "batch_id").withColumn("epoch", F.lit(epoch))
-        for path, good in ((accepted_path, True), (rejected_path, False)):
-            part = rows.filter(F.col("accepted") == good).drop("accepted")
-            part.write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(path)
+        spark = batch.sparkSession
+        new = batch.withColumns(
+            {"epoch": F.lit(epoch).cast("long"), "batch_shard": F.pmod(F.xxhash64("batch_id"), F.lit(64)).cast("int")}
+        )
+        ids = new.select("batch_id").distinct()
+        rows, barred = new, ids.limit(0)
+        for path in (rejected_path, accepted_path):
+            old = stored_rows(spark, path, new.schema)
+            if old is not None:
+                # A batch that is in quarantine is there as a whole.
+                old = old.filter(F.col("epoch") != epoch).join(ids, "batch_id", "left_semi").join(barred, "batch_id", "left_anti")
+                rows, barred = rows.unionByName(old.select(*new.columns)), old.select("batch_id").distinct()
+        verdict = batch_verdicts(rows, dimensions, key).select("batch_id", "accepted")
+        with staged(rows.join(verdict, "batch_id"), rejected_path) as known:
+            every = known.select("batch_shard", "batch_id")
+            for path, good in ((rejected_path, False), (accepted_path, True)):
+                part = known.filter(F.col("accepted") == good).select(*new.columns)
+                merge_partitions(part, every, path, ["batch_shard"], ["batch_id"])
 
     return _start(items, route, checkpoint, **options)
 
@@ -84,7 +109,8 @@ def rebuild_tiles(
 
     ``base_pixels_of(tiles)`` returns base-zoom pixels of the given tile keys.
     Each level is written before the next is read, deepest first, and replaces
-    exactly the partitions of its dirty tiles.
+    exactly its dirty tiles; a dirty tile without pixels keeps one row without colour
+    (see :func:`read_levels`). Directories are shards of tiles, never single tiles.
     """
 
     def rebuild(batch: DataFrame, epoch: int) -> None:
@@ -93,10 +119,10 @@ def rebuild_tiles(
         )
         spark = batch.sparkSession
         base = base_pixels_of(dirty.filter(F.col("zoom") == base_zoom))
-        _write_level(base, levels_path)
+        _write_level(base, dirty.filter(F.col("zoom") == base_zoom), levels_path)
         for zoom in range(base_zoom - 1, min_zoom - 1, -1):
             want = dirty.filter(F.col("zoom") == zoom)
-            below = spark.read.parquet(levels_path).filter(F.col("zoom") == zoom + 1)
+            below = read_levels(spark, levels_path).filter(F.col("zoom") == zoom + 1)
             parents = below.withColumns(
                 {"_px": F.shiftright("tile_x", 1), "_py": F.shiftright("tile_y", 1)}
             ).join(
@@ -104,18 +130,27 @@ def rebuild_tiles(
                 ["dimension", "_px", "_py"],
                 "left_semi",
             )
-            _write_level(pyramid.composite(parents.select("dimension", "zoom", "gx", "gy", *pyramid.CHANNELS), fill), levels_path)
+            above = pyramid.composite(parents.select("dimension", "zoom", "gx", "gy", *pyramid.CHANNELS), fill)
+            _write_level(above, want, levels_path)
 
     return _start(marks, rebuild, checkpoint, **options)
 
 
-def _write_level(pixels: DataFrame, path: str) -> None:
-    rows = pixels.withColumns(
-        {"tile_x": F.shiftright("gx", 9), "tile_y": F.shiftright("gy", 9)}
-    )
-    rows.repartition("dimension", "zoom", "tile_x", "tile_y").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("dimension", "zoom", "tile_x", "tile_y").parquet(path)
+def read_levels(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels of all stored levels."""
+    return spark.read.parquet(path).filter(F.col(pyramid.CHANNELS[0]).isNotNull())
+
+
+def _write_level(pixels: DataFrame, dirty: DataFrame, path: str) -> None:
+    keys = ["dimension", "zoom", "x_shard", "tile_x", "tile_y"]
+    rows = pixels.select("dimension", F.col("zoom").cast("int").alias("zoom"), "gx", "gy", *pyramid.CHANNELS)
+    rows = rows.withColumns({"tile_x": F.shiftright("gx", 9), "tile_y": F.shiftright("gy", 9)}).withColumn("x_shard", x_shard("tile_x"))
+    replaced = dirty.withColumn("x_shard", x_shard("tile_x")).select(*keys)
+    corners = {"gx": F.shiftleft("tile_x", 9), "gy": F.shiftleft("tile_y", 9)}
+    gone = replaced.join(rows.select(*keys).distinct(), keys, "left_anti").withColumns(corners)
+    kinds = {c: rows.schema[c].dataType for c in rows.columns}
+    gone = gone.select(*[F.lit(None).cast(k).alias(c) if c in pyramid.CHANNELS else F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    merge_partitions(rows.unionByName(gone), replaced, path, ["dimension", "zoom", "x_shard"], ["tile_x", "tile_y"])
 
 
 def watch_world(slots: DataFrame, snapshot_path: str, out_path: str, checkpoint: str, **options) -> StreamingQuery:

@@ -109,8 +109,7 @@ def q_revisions(spark, sf):
 
 
 def q_ingest(spark, sf):
-    items = batches(spark, sf).filter("op = 'upsert'")
-    return overlays.batch_verdicts(items, fx.dimensions(spark))
+    return overlays.batch_verdicts(batches(spark, sf), fx.dimensions(spark))
 
 
 def q_storage_keys(spark, sf):
@@ -285,7 +284,10 @@ ORACLE = {
     ),
     "t5_touched_dimensions": oracle(
         "fx_areas o_batches",
-        "SELECT DISTINCT batch_id,coalesce(b.dimension,a.dimension) AS dimension FROM o_batches b LEFT JOIN fx_areas a ON a.id=b.id AND b.op='delete' WHERE coalesce(b.dimension,a.dimension) IS NOT NULL",
+        ", o AS (SELECT id,dimension,batch_id,seq,op,CASE op WHEN 'delete' THEN 1 ELSE 0 END AS d FROM o_batches UNION ALL SELECT id,dimension,-1,0,'upsert',0 FROM fx_areas) "
+        "SELECT DISTINCT batch_id,dimension FROM (SELECT b.batch_id,CASE WHEN b.op='upsert' THEN b.dimension ELSE "
+        "(SELECT CASE WHEN p.op='upsert' THEN p.dimension END FROM o p WHERE p.id=b.id AND (p.batch_id,p.d,p.seq)<(b.batch_id,b.d,b.seq) ORDER BY p.batch_id DESC,p.d DESC,p.seq DESC LIMIT 1) END AS dimension "
+        "FROM o b WHERE b.batch_id>=0) WHERE dimension IS NOT NULL",
     ),
     "t7_height_band": oracle("o_render", "SELECT dimension,min(ry) AS low,max(ry) AS high,8 AS depth FROM o_render GROUP BY 1"),
     "t8_event_feed": oracle(
@@ -314,7 +316,7 @@ ORACLE = {
     ),
     "w8_revision_sequence": oracle(
         "o_affected",
-        "SELECT dimension,mode,zoom,tile_x,tile_y,CAST(1000000+row_number() OVER (ORDER BY dimension,(((tile_x*31+tile_y)%64)+64)%64,mode,zoom,tile_x,tile_y) AS BIGINT) AS revision FROM o_affected",
+        "SELECT dimension,mode,zoom,tile_x,tile_y,CAST(1000000+row_number() OVER (ORDER BY dimension,mode,zoom,tile_x,tile_y) AS BIGINT) AS revision FROM o_affected",
     ),
     "w9_track_segments": oracle(
         "o_track",
@@ -330,7 +332,7 @@ ORACLE = {
     ),
     "s6_batch_validation": oracle(
         "o_batches fx_dims",
-        "SELECT batch_id,count(*) AS items,count(*) FILTER (dimension NOT IN (SELECT dimension FROM fx_dims)) AS bad,count(*) FILTER (dimension NOT IN (SELECT dimension FROM fx_dims))=0 AND count(*)<=20000 AS accepted FROM o_batches WHERE op='upsert' GROUP BY 1",
+        ", b AS (SELECT *,op='upsert' AND dimension NOT IN (SELECT dimension FROM fx_dims) AS wrong FROM o_batches) SELECT batch_id,count(*) AS items,count(*) FILTER (wrong) AS bad,count(*) FILTER (wrong)=0 AND count(*)<=20000 AS accepted FROM b GROUP BY 1",
     ),
     "s8_tile_keys": oracle(
         "fx_blocks",

@@ -218,8 +218,8 @@ ORACLE = {
     "s9_dimension_discovery": oracle(
         "o_files",
         f", d AS (SELECT {_DIR} AS directory,count(*) AS regions,CAST(sum(size) AS BIGINT) AS bytes FROM o_files GROUP BY 1), "
-        "r AS (SELECT * FROM (VALUES ('/srv/w/region','minecraft:overworld','Overworld',-64,320,false,0),('/srv/w/DIM-1/region','minecraft:the_nether','The Nether',0,128,true,0),('/srv/w/DIM1/region','minecraft:the_end','The End',0,256,false,0),"
-        "('/srv/w_nether/DIM-1/region','minecraft:the_nether','The Nether',0,128,true,3),('/srv/w_the_end/DIM1/region','minecraft:the_end','The End',0,256,false,4),('/srv/w/dimensions/mod/deep_dark/region','mod:deep_dark','Deep Dark',-64,320,false,5),"
+        "r AS (SELECT * FROM (VALUES ('/srv/w/region','minecraft:overworld','Overworld',-64,320,false,0),('/srv/w/DIM-1/region','minecraft:the_nether','Nether',0,128,true,0),('/srv/w/DIM1/region','minecraft:the_end','The End',0,256,false,0),"
+        "('/srv/w_nether/DIM-1/region','minecraft:the_nether','Nether',0,128,true,3),('/srv/w_the_end/DIM1/region','minecraft:the_end','The End',0,256,false,4),('/srv/w/dimensions/mod/deep_dark/region','mod:deep_dark','Deep Dark',-64,320,false,5),"
         "('/srv/w_dimensions/mod/deep_dark/region','mod:deep_dark','Deep Dark',-64,320,false,6),('/srv/w_dimensions/sky/isles/region','sky:isles','Isles',-64,320,false,6),('/other/moon','mod:moon','Moon',-64,320,false,0)) t(directory,dimension,name,min_y,max_y,has_ceiling,rank)) "
         "SELECT directory,regions,bytes,dimension,name,min_y,max_y,has_ceiling FROM (SELECT d.*,r.dimension,r.name,r.min_y,r.max_y,r.has_ceiling,row_number() OVER (PARTITION BY dimension ORDER BY rank) AS rn FROM d JOIN r USING (directory)) WHERE rn=1",
     ),
