@@ -33,7 +33,7 @@ def with_block_flags(voxels: DataFrame, palette: DataFrame) -> DataFrame:
         kind.alias("ore_kind"),
         names.ore_points(kind).alias("ore_points"),
     )
-    unknown = {"water": False, "transparent": False, "decoration": False, "ore_points": 0}
+    unknown = {"water": False, "transparent": False, "decoration": False, "ore_kind": 0, "ore_points": 0}
     return voxels.join(flags, "block_id", "left").fillna(unknown)
 
 

@@ -13,7 +13,7 @@ from ..functions import color, iso
 from ..functions.color import Rgba
 from ..functions.grid import BASE_ZOOM
 from ..operators.neighbours import with_neighbours
-from ..operators.surface import render_y, water_depth, window_columns
+from ..operators.surface import render_y, slab_depth_limit, water_depth, window_columns
 from .style import (
     StyleOptions,
     attach_palettes,
@@ -201,7 +201,7 @@ def voxel_view(
     """Isometric pixels of real voxels: visible faces, partial heights, plants on top.
 
     ``slabs`` carries ``top_y`` and ``depth`` of its column. Columns whose whole slab
-    lies above the slice draw nothing.
+    lies above the slice draw nothing; columns without a slab are drawn as height field.
     """
     ppu = 1 << (zoom - BASE_ZOOM)
     above = {
@@ -224,7 +224,8 @@ def voxel_view(
 
     # Column facts: biome and water for colour, north and west for relief, walls for the skirt.
     on = ["dimension", "x", "z"]
-    facts = with_exposure(columns, camera, skirt).select(
+    exposed = with_exposure(columns, camera, skirt)
+    facts = exposed.select(
         *on, "biome_id", "ry", "north", "west", "left_y", "right_y", "height", "water", "water_y",
         "block_light", "ore_best", "ore_score", F.col("block_id").alias("ground_id"), F.lit(True).alias("present"),
     )
@@ -247,7 +248,10 @@ def voxel_view(
     drawn = rows.select(
         "dimension", "_c0", "_c1", "_c2", ((a - b - 1) * ppu).alias("_x0"), F.explode(both).alias("_p")
     ).select("dimension", "_c0", "_c1", "_c2", "_x0", "_p.*")
-    return nearest(_cell_rows(_spread(drawn, ppu, F.col("_l"), F.col("_r"), F.col("_on"))), zoom)
+    cells = _cell_rows(_spread(drawn, ppu, F.col("_l"), F.col("_r"), F.col("_on")))
+    bare = face_colors(exposed.join(slabs.filter("depth > 0").select(*on), on, "left_anti"), palette, biomes, dimensions, style, options)
+    flat = height_field_cells(bare, zoom, camera).withColumn("_rank", F.col("_rank") * RANK_Y + 2048)
+    return nearest(cells.unionByName(flat), zoom)
 
 
 def _voxel_colors(
@@ -293,14 +297,17 @@ def contributing_columns(
     band: DataFrame,
     camera: str = iso.DEFAULT_CAMERA,
     slice_y: int | None = None,
+    slab_ceiling: int | None = None,
 ) -> DataFrame:
     """Columns that could paint into each isometric tile, tightened by the height band.
 
     ``tiles`` has ``tile_id, dimension, zoom, tile_x, tile_y``; ``band`` comes from
-    :func:`~voxelspark.operators.surface.height_band`.
+    :func:`~voxelspark.operators.surface.height_band`. For voxel tiles give the largest
+    slab depth as ``slab_ceiling``: the band then reaches down to the slabs' floor.
     """
     high = F.col("band_high") if slice_y is None else F.least(F.col("band_high"), F.lit(slice_y))
-    t = tiles.join(band.select("dimension", "band_low", high.alias("_high")), "dimension")
+    low = F.col("band_low") if slab_ceiling is None else F.col("band_low") - slab_depth_limit("depth", slab_ceiling)
+    t = tiles.join(band.select("dimension", low.alias("band_low"), high.alias("_high")), "dimension")
     t = t.withColumn("_high", F.greatest("_high", "band_low"))
     box = iso.world_footprint(iso.tile_bounds("tile_x", "tile_y", "zoom"), F.col("band_low"), F.col("_high"), camera)
     grow = (-1, -1, 1, 1)

@@ -59,8 +59,11 @@ def staged(rows: DataFrame, path: str) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(rows.schema).parquet(place)
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(place)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, spark._jvm.org.apache.hadoop.fs.Path(place))
+
+
+def _delete(spark: SparkSession, folder) -> None:
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def merge_partitions(rows: DataFrame, replaced: DataFrame, path: str, partitions: list[str], keys: list[str]) -> None:
@@ -79,10 +82,19 @@ def merge_partitions(rows: DataFrame, replaced: DataFrame, path: str, partitions
     if found is not None:
         kept = found.join(shards, partitions, "left_semi").join(replaced, where, "left_anti")
         rows = rows.unionByName(kept.select(*rows.columns))
-    with staged(rows, path) as found:
-        found.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    emptied: list[str] = []
+    with staged(rows, path) as merged:
+        if found is not None:
+            # An overwrite leaves partitions alone that get no row; those of the touched ones go.
+            folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
+            old = found.select(*partitions, folder).join(shards, partitions, "left_semi")
+            gone = old.join(merged.select(*partitions).distinct(), partitions, "left_anti")
+            emptied = [r["folder"] for r in gone.select("folder").distinct().collect()]
+        merged.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             *partitions
         ).parquet(path)
+    for folder in emptied:
+        _delete(spark, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder)))
 
 
 def write_tiles(
