@@ -5,6 +5,10 @@ up, that is at least as large as the rectangle, so it touches at most four cells
 its own level. A pair of rectangles meets at the larger of their two levels, in the
 cell that holds the low corner of their intersection: each match is found once, and
 no result needs deduplicating. A huge area costs four rows like any other.
+
+A cell of a high level can hold a large part of all small rectangles. From ``SALTED_LEVEL`` on,
+the smaller rectangles are therefore spread over ``SALTS`` parts of their cell, and the few
+large ones are copied to each part.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from ..functions.grid import bounds_intersect
 BOUNDS = ("min_x", "min_z", "max_x", "max_z")
 FIRST_LEVEL = 9  # 512 blocks
 LAST_LEVEL = 27  # beyond any world
+SALTED_LEVEL = 13  # 8192 blocks
+SALTS = 32
 
 
 def _level(b: list[Column]) -> Column:
@@ -58,7 +64,7 @@ def rectangle_join(
     full = lambda b: (b[2] > b[0]) & (b[3] > b[1])
     left = left.filter(full(lb)).withColumn("_own", _level(lb))
     right = right.filter(full(rb)).withColumn("_other", _level(rb))
-    on = [*keys, "_level", "_cx", "_cz"]
+    on = [*keys, "_level", "_cx", "_cz", "_part"]
     first = (F.greatest(lb[0], rb[0]), F.greatest(lb[1], rb[1]))
 
     def meet(low: DataFrame, low_bounds, own: str, high: DataFrame, high_bounds, top: str, strict: bool) -> DataFrame:
@@ -67,8 +73,10 @@ def rectangle_join(
         fits = F.col("_to") > F.col(own) if strict else F.col("_to") >= F.col(own)
         # At most nineteen distinct levels exist, whatever the tables hold.
         lifted = low.join(F.broadcast(levels), fits)
-        a = _cells(lifted, low_bounds, F.col("_to")).drop("_to")
-        b = _cells(high, high_bounds, F.col(top))
+        hot = F.col("_level") >= SALTED_LEVEL
+        spread, all_parts = F.pmod(F.xxhash64(*low_bounds), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
+        a = _cells(lifted, low_bounds, F.col("_to")).drop("_to").withColumn("_part", F.when(hot, spread).otherwise(0))
+        b = _cells(high, high_bounds, F.col(top)).withColumn("_part", F.explode(F.when(hot, all_parts).otherwise(F.array(F.lit(0)))))
         pairs = a.join(b, on) if low is left else b.join(a, on)
         once = (F.col("_cx") == _cell(first[0], F.col("_level"))) & (F.col("_cz") == _cell(first[1], F.col("_level")))
         return pairs.filter(bounds_intersect(lb, rb) & once)
