@@ -25,7 +25,7 @@ from voxelspark.llm import common
 from voxelspark.llm.common import PUNCTUATION, WHITE, chunks, encoded, fold, mix
 
 BITS = 20
-SAMPLE = 12_000
+SAMPLE = 24_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 0.0
 POSITIVE = 3.0  # weight of a toxic row: these are about one in ten
