@@ -11,6 +11,10 @@ Shuffled are the word lists of blocks, their ids, and the blocks' places; never
 A block holds ``BLOCK`` bytes of text, or one longer document. The number of encoding buckets
 follows the session's shuffle partitions.
 
+The documents are read twice, for the lists and for the places, and must come in the same order
+both times, as from files; documents out of a shuffle are to be written first (if blocks differ,
+that is an error, never a wrong row).
+
 Nulls: a null text counts as empty and has no ids. Repeated rows are encoded as they stand.
 """
 
@@ -170,6 +174,9 @@ def _assembled(path: str, finish, names: list[str]):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lists = pdf[pdf.bucket >= 0].drop_duplicates("bucket").sort_values("bucket")
         rows: list[tuple] = []
+        listed = sum(int.from_bytes(count, "little") for count in lists["head"])
+        if not (pdf.bucket == -1).any() or any(json.loads(h)[0] != listed for h in pdf.loc[pdf.bucket == -1, "head"]):
+            raise ValueError("two readings of the documents differ in their blocks; write the documents first")
         # Blocks of one name hold the same documents, repeated; each copy has its own rows.
         for blob, head in pdf.loc[pdf.bucket == -1, ["data", "head"]].itertuples(index=False):
             words, docs = json.loads(head)

@@ -9,7 +9,7 @@ characters, words before it). A candidate that meets a base span of its kind is
 it, any other one against it; what sets the base patterns apart (the plus sign, the ending of a
 mail name) is no feature, so that a candidate that only lacks that is judged like them. A kind's threshold is the lowest score that keeps the
 precision at ``PRECISION`` on the fifth of the documents that the trees have not seen; selected
-candidates that meet neither a base span nor a selected one of an earlier kind are added.
+candidates that meet no base span of any kind are added (those of two kinds may overlap).
 
 Everything is DataFrame expressions. Positions come from the gaps between the matches, so a text
 is never exploded. Only counts of feature tuples (each feature has a few values; below
@@ -48,22 +48,40 @@ CONTEXT = (r"(?i)tel|phone|call|fax|mobil", r"(?i)card|visa|credit|pay", r"(?i)m
 FEATURES = ("digits", "separators", "bracket", "luhn", "small", "groups", "left", "right", "context")
 PRECISION = 0.95
 TREES, RATE = 16, 0.3
-SPAN = "array<struct<s:int,e:int,m:string>>"
+SPAN = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
+AROUND = 24
+PART = 256
 
 
-def spans(text: Column, pattern: str, when: Column) -> Column:
-    """All matches with start and end in code points: the gaps and the matches laid end to end."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+def pieces(text: Column, pattern: str, when: Column) -> Column:
+    """The matches ``m`` with the gaps before (``g``) and after (``n``) each, and a last gap alone."""
+    gaps = F.split(text, pattern, -1)
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("n"))
+    return F.when(when, found).otherwise(F.array().cast("array<struct<m:string,g:string,n:string>>"))
+
+
+def laid_out(found: Column) -> Column:
+    """Start and end of each match in code points, gaps and matches laid end to end.
+
+    The matches are placed in parts of ``PART``, each from the summed length before it, so that a
+    text of a hundred thousand matches is still placed in about linear time.
+    """
+    size = lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["p"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        row = F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))
-        return F.struct(end.alias("p"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], row)).alias("out"))
+        start, end = acc["p"] + F.length(x["g"]), acc["p"] + size(x)
+        row = F.struct(
+            start.alias("s"), end.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(AROUND)).alias("before"), F.left(x["n"], F.lit(AROUND)).alias("after")
+        )
+        return F.struct(end.alias("p"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+
+    def part(k: Column) -> Column:
+        before = F.aggregate(F.slice(found, 1, k * PART), F.lit(0), lambda acc, x: acc + size(x))
+        first = F.struct(before.alias("p"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(F.slice(found, k * PART + 1, F.lit(PART)), first, step, lambda acc: acc["out"])
 
-    none = F.array().cast(SPAN)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("p"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(when, found).otherwise(none)
+    parts = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PART).cast("int"))
+    return F.when(F.size(found) > 1, F.flatten(F.transform(parts, part))).otherwise(F.array().cast(SPAN))
 
 
 def digits(m: Column) -> Column:
@@ -88,37 +106,41 @@ def checked(kind: str, found: Column) -> Column:
     return F.filter(found, lambda x: valid(kind, x["m"]))
 
 
-def overlaps(a: Column, others: Column) -> Column:
-    return F.exists(others, lambda b: (a["s"] < b["e"]) & (b["s"] < a["e"]))
+def meets(kind: str, x: Column) -> Column:
+    """Whether a base span of the kind overlaps a candidate: more are found in the candidate and
+    its surroundings together than in the surroundings alone."""
+
+    def count(text: Column) -> Column:
+        return F.size(F.filter(F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0)), lambda m: valid(kind, m)))
+
+    return count(F.concat(x["before"], x["m"], x["after"])) > count(x["before"]) + count(x["after"])
 
 
 def based(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and per kind the base spans ``b_kind`` and the candidates ``w_kind``."""
+    """doc_id, and per kind the base spans ``b_kind`` and the candidates ``w_kind``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"mail": F.col("text").rlike(HINT["email"]), "number": F.col("text").rlike(HINT["ip"])})
     plus = F.contains("text", F.lit("+"))
     hints = {"email": F.col("mail"), "ip": F.col("number"), "card": F.col("number"), "phone": F.col("number")}
-    for kind in KINDS:
-        when = hints[kind] & plus if kind == "phone" else hints[kind]
-        rows = rows.withColumn(f"b_{kind}", checked(kind, spans(F.col("text"), BASE[kind], when)))
-    for kind in KINDS:
-        rows = rows.withColumn(f"w_{kind}", spans(F.col("text"), WIDE[kind], hints[kind]))
-    return rows.drop("mail", "number")
+    found = {f"b_{k}": pieces(F.col("text"), BASE[k], hints[k] & plus if k == "phone" else hints[k]) for k in KINDS}
+    found |= {f"w_{k}": pieces(F.col("text"), WIDE[k], hints[k]) for k in KINDS}
+    rows = rows.select("doc_id", *[c.alias(name) for name, c in found.items()])
+    rows = rows.select("doc_id", *[laid_out(F.col(name)).alias(name) for name in found])
+    return rows.withColumns({f"b_{k}": checked(k, F.col(f"b_{k}")) for k in KINDS})
 
 
 def described(kind: str) -> Column:
-    """The candidates of a kind with their features, and ``y``: whether one meets a base span."""
+    """The candidates of a kind with their features, ``y``: whether one meets a base span of the
+    kind, and ``any``: of any kind."""
 
     def side(char: Column) -> Column:
         return F.when(char.rlike(r"^[\p{L}\p{N}]"), 1).when(char.rlike(r"^\S"), 2).otherwise(0)
 
     def row(x: Column) -> Column:
         m, number = x["m"], digits(x["m"])
-        before = F.substring(F.col("text"), F.greatest(F.lit(1), x["s"] - 23), F.least(F.lit(24), x["s"]))
-        left = F.when(x["s"] > 0, F.substring(F.col("text"), x["s"], F.lit(1))).otherwise("")
         topic = F.lit(0)
         for i, words in enumerate(CONTEXT, 1):
-            topic = F.when(before.rlike(words), i).otherwise(topic)
+            topic = F.when(x["before"].rlike(words), i).otherwise(topic)
         values = {
             "digits": F.least(F.length(number), F.lit(24)),
             "separators": F.least(F.length(F.regexp_replace(m, r"[\p{L}\p{N}]", "")), F.lit(6)),
@@ -126,13 +148,16 @@ def described(kind: str) -> Column:
             "luhn": F.when(F.length(number) > 1, F.coalesce(F.call_function("luhn_check", number).cast("int"), F.lit(0))).otherwise(0),
             "small": small_parts(m).cast("int"),
             "groups": F.least(F.size(F.split(m, "[^0-9]+")), F.lit(6)),
-            "left": side(left),
-            "right": side(F.substring(F.col("text"), x["e"] + 1, F.lit(1))),
+            "left": side(F.right(x["before"], F.lit(1))),
+            "right": side(F.left(x["after"], F.lit(1))),
             "context": topic,
         }
+        own = meets(kind, x)
+        other = [meets(k, x) for k in KINDS if k != kind]
         return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), overlaps(x, F.col(f"b_{kind}")).cast("int").alias("y"), *[values[f].cast("int").alias(f) for f in FEATURES]
-        )
+            x["s"].alias("s"), x["e"].alias("e"), own.cast("int").alias("y"), (own | other[0] | other[1] | other[2]).cast("int").alias("any"),
+            *[values[f].cast("int").alias(f) for f in FEATURES],
+        )
 
     return F.transform(f"w_{kind}", row)
 
@@ -232,7 +257,7 @@ def _selected(kind: str, model) -> Column:
         score = F.lit(bias)
         for tree in trees:
             score = score + F.lit(RATE) * _expression(tree, x)
-        return (score >= F.lit(least - 1e-9)) & (x["y"] == 0)
+        return (score >= F.lit(least - 1e-9)) & (x["any"] == 0)
 
     picked = F.filter(described(kind), chosen)
     return F.transform(picked, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
@@ -243,11 +268,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = based(docs)
     models = learn(rows)
     plain = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    taken = F.concat(*[plain(f"b_{kind}") for kind in KINDS])
-    rows = rows.withColumn("taken", taken)
-    for kind in KINDS:
-        rows = rows.withColumn(f"a_{kind}", F.filter(_selected(kind, models[kind]), lambda x: ~overlaps(x, F.col("taken"))))
-        rows = rows.withColumn("taken", F.concat("taken", f"a_{kind}"))
+    rows = rows.withColumns({f"a_{kind}": _selected(kind, models[kind]) for kind in KINDS})
 
     def named(kind: str, c: Column) -> Column:
         return F.transform(c, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))

@@ -10,8 +10,8 @@ The classifier is fitted on at most ``SAMPLE`` labelled rows (those with the sma
 the id; a documented bound), in one task and ``EPOCHS`` passes. All documents are scored whole.
 
 Nulls: a null text is empty; an empty text has the score of the bias. Rows whose label is null
-teach nothing; of several labels of an id the largest counts. Without labels every score is 0.5
-less the prior, i.e. the bias of no evidence (predicted 0).
+teach nothing; of several labels of an id the largest counts. Without any labelled row every score
+is the same, below 0.01.
 """
 
 from __future__ import annotations
@@ -112,12 +112,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = S
             for own, label, _ in seen:
                 model.step(own, label)
         at, w, bias = model.model()
+        bias = bias if seen else -5.0
         yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([w.tolist()], pa.list_(pa.float32())), pa.array([bias])], ["at", "w", "bias"])
 
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").repartition(1)
     row = found.mapInArrow(run, "at array<int>, w array<float>, bias double").collect()
     if not row:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), -5.0
     return np.array(row[0]["at"], np.int32), np.array(row[0]["w"], np.float32), row[0]["bias"]
 
 
