@@ -244,7 +244,8 @@ def test_language_ignores_the_held_out_fold(docs):
     assert "xx" not in language_id.learn(other)
 
 
-def test_lm_base_and_gain(docs, texts):
+@pytest.mark.parametrize("known", [1 << 18, 300, 0])
+def test_lm_base_and_gain(docs, texts, known):
     import collections
     import math
 
@@ -254,12 +255,12 @@ def test_lm_base_and_gain(docs, texts):
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
     c = collections.Counter(w for i, t in texts.items() if not out[i] for w in words(t))
     n, v = sum(c.values()), len(c)
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, known=known, vocabulary=200).collect()}
     for i, t in texts.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(words(t)), sum(c[w] > 0 for w in words(t)), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(t)), rel=1e-9)
-    assert sum(got[i]["score"] - got[i]["base_score"] for i in texts if not out[i]) > 0
+    assert known == 0 or sum(got[i]["score"] - got[i]["base_score"] for i in texts if not out[i]) > 0
 
 
 def test_network_is_a_distribution_and_carries_its_state():

@@ -99,8 +99,8 @@ def hashed_words(texts: list[bytes], gaps: np.ndarray = WHITE, flags: np.ndarray
         h = np.zeros(0, np.uint64)
         return (h, first) + ((h.astype(np.uint8), h.astype(np.int64)) if flags is not None else ())
     length = ends - starts
-    place = np.arange(len(raw), dtype=np.int64)[~gap]
-    place -= np.repeat(starts, length)
+    place = np.arange(len(raw), dtype=np.int32)[~gap]
+    place -= np.repeat(starts.astype(np.int32), length)
     powers = np.cumprod(np.full(int(length.max()), _POWER, np.uint64))
     inner = np.concatenate(([0], np.cumsum(length)[:-1]))
     h = mix(np.add.reduceat(_BYTE[low[~gap]] * powers[place], inner))
