@@ -1,32 +1,36 @@
 """Registered queries beside their SQL, on the smallest tables."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import __spark_entry__ as entry
 import pytest
 from workload.compare import check, oracle_connection
 
-# A cross-section that keeps the suite short; the compare module runs all of them.
-SAMPLE = (
-    "a1_surface_scan", "a5_slab_depth", "a8_height_band", "a9_chunk_ground_level", "a12_mip_levels", "a22_effective_revision",
-    "f4_tile_addressing", "f10_name_color", "j3_window_assembly", "j4_neighbour_lookup", "j5_areas_in_viewport",
-    "j6_points_in_rectangles", "j7_claim_conflicts", "j9_face_exposure", "j10_height_rays", "j11_voxel_rays", "j12_change_detection",
-    "j16_inherited_model", "l1_ranked_search", "l3_bounded_result", "p12_world_border", "r1_ore_color", "r3_pyramid",
-    "r4_height_field_view", "r6_voxel_view", "r7_packed_tiles", "r8_sweep_plan", "s3_chunk_decode", "s4_block_palette",
-    "t1_dirty_coalescing", "t5_upsert_delete", "u2_affected_tiles", "w8_revision_sequence", "w9_track_segments",
-)
+THREADS = 6
 
 
 @pytest.fixture(scope="module")
-def con(sf):
-    return oracle_connection(sf)
+def results(spark, sf):
+    """Every registered query with SQL beside it, a few at a time; a thread has its own DuckDB."""
+    own = threading.local()
+
+    def run(name):
+        if not hasattr(own, "con"):
+            own.con = oracle_connection(sf)
+        return check(spark, own.con, sf, name, entry.queries()[name], entry.oracle_sql()[name])
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        yield {name: pool.submit(run, name) for name in entry.oracle_sql()}
 
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", SAMPLE)
-def test_query_matches_sql(spark, sf, con, name):
-    result = check(spark, con, sf, name, entry.queries()[name], entry.oracle_sql()[name])
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_query_matches_sql(results, name):
+    result = results[name].result()
     assert result.startswith("ok"), result
 
 

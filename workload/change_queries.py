@@ -164,9 +164,9 @@ def q_walls(spark, sf):
 def q_events(spark, sf):
     """Payload rows of moves and chunk updates for subscribed clients."""
     moves = jobs.player_events(fx.positions(spark, sf), fx.dimensions(spark))
-    chunks = fx.marks(spark, sf).filter("chunk_z < 3")
+    chunks = fx.marks(spark, sf)
     rev = affected(spark, sf).withColumn("revision", F.col("tile_x") * 1000 + F.col("tile_y"))
-    updates = jobs.chunk_events(changes.tiles_of_chunks(chunks, 4, 4), rev)
+    updates = jobs.chunk_events(changes.tiles_of_chunks(chunks, 2, 8), rev)
     features = jobs.feature_events(chunks, ["claim", "region"])
     clients = fx.table(spark, sf, "nation").select(
         F.col("n_name").alias("client"), F.element_at(F.array(*[F.lit(x) for x in ("", "click", "error", "signup")]), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("dimension")
@@ -294,8 +294,8 @@ ORACLE = {
         "fx_positions fx_dims o_chunk_tiles",
         ", c AS (SELECT n_name AS client,(['','click','error','signup'])[CAST(n_nationkey%4+1 AS INTEGER)] AS dimension FROM nation), "
         "e AS (SELECT dimension,'player.move' AS type,1 AS p FROM fx_positions WHERE NOT hidden AND dimension IN (SELECT dimension FROM fx_dims WHERE enabled) "
-        "UNION ALL SELECT dimension,'chunk.updated',1 FROM o_chunk_tiles WHERE zoom=4 AND chunk_z<3 "
-        "UNION ALL SELECT DISTINCT dimension,t,NULL FROM fx_marks,(VALUES ('claim.updated'),('region.updated')) k(t) WHERE chunk_z<3) "
+        "UNION ALL SELECT dimension,'chunk.updated',1 FROM o_chunk_tiles "
+        "UNION ALL SELECT DISTINCT dimension,t,NULL FROM fx_marks,(VALUES ('claim.updated'),('region.updated')) k(t)) "
         "SELECT client,type,count(*) AS n,count(p) AS payloads FROM e JOIN c ON c.dimension='' OR c.dimension=e.dimension GROUP BY 1,2",
     ),
     "t9_catch_up_feed": oracle("o_effective", "SELECT dimension,mode,zoom,tile_x,tile_y,revision FROM o_effective WHERE override"),

@@ -79,8 +79,8 @@ def shapes(spark, sf):
 def q_unclaim(spark, sf):
     removed = fx.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
         F.lit(fx.DIM).alias("dimension"), (F.col("o_orderkey") % 64 - 32).cast("int").alias("chunk_x"),
-        ((F.col("o_orderkey") * 7) % 64 - 32).cast("int").alias("chunk_z"), (F.col("o_custkey") % 2).alias("side"),
-    ).filter("side = 0 and chunk_x < 8").drop("side").distinct()
+        ((F.col("o_orderkey") * 7) % 64 - 32).cast("int").alias("chunk_z"),
+    ).distinct()
     left = overlay.unclaim(fx.claim_chunks(spark, sf), fx.areas(spark, sf), removed)
     return overlay.chunk_boxes(left)
 
@@ -202,7 +202,7 @@ ORACLE = {
     ),
     "j8_unclaim": oracle(
         "fx_claim_chunks fx_areas",
-        ", r AS (SELECT DISTINCT o_orderkey%64-32 AS cx,(o_orderkey*7)%64-32 AS cz FROM orders WHERE o_orderstatus='F' AND o_custkey%2=0 AND o_orderkey%64-32<8) "
+        ", r AS (SELECT DISTINCT o_orderkey%64-32 AS cx,(o_orderkey*7)%64-32 AS cz FROM orders WHERE o_orderstatus='F') "
         "SELECT area_id,CAST(min(chunk_x)*16 AS INTEGER) AS min_x,CAST(min(chunk_z)*16 AS INTEGER) AS min_z,CAST(max(chunk_x)*16+16 AS INTEGER) AS max_x,CAST(max(chunk_z)*16+16 AS INTEGER) AS max_z,count(*) AS chunks "
         "FROM fx_claim_chunks c WHERE NOT (EXISTS (SELECT 1 FROM fx_areas a WHERE a.id=c.area_id AND a.kind='claim') AND EXISTS (SELECT 1 FROM r WHERE r.cx=c.chunk_x AND r.cz=c.chunk_z)) GROUP BY 1",
     ),

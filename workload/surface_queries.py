@@ -111,7 +111,7 @@ def slabs(spark, sf):
 
 def q_window(spark, sf):
     w = fx.viewports(spark, sf).withColumnRenamed("view_id", "window_id").drop("zoom")
-    errors = fx.claim_chunks(spark, sf).filter("chunk_x = chunk_z").select("dimension", "chunk_x", "chunk_z").distinct()
+    errors = fx.claim_chunks(spark, sf).select("dimension", "chunk_x", "chunk_z").distinct()
     hit = surface.window_columns(columns(spark, sf), w, errors)
     return hit.groupBy("window_id").agg(
         F.count("*").alias("n"), F.sum("height").alias("height"), F.max("chunk_errors").alias("chunk_errors")
@@ -236,7 +236,7 @@ ORACLE = {
     ),
     "j3_window_assembly": oracle(
         "fx_viewports o_columns fx_claim_chunks",
-        ", e AS (SELECT DISTINCT chunk_x,chunk_z FROM fx_claim_chunks WHERE chunk_x=chunk_z) "
+        ", e AS (SELECT DISTINCT chunk_x,chunk_z FROM fx_claim_chunks) "
         "SELECT v.view_id AS window_id, count(*) AS n, CAST(sum(c.height) AS BIGINT) AS height, "
         "(SELECT count(*) FROM e WHERE e.chunk_x>=floor(any_value(v.min_x)/16.0) AND e.chunk_x<=floor((any_value(v.max_x)-1)/16.0) "
         "AND e.chunk_z>=floor(any_value(v.min_z)/16.0) AND e.chunk_z<=floor((any_value(v.max_z)-1)/16.0)) AS chunk_errors "
