@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from voxelspark.functions import iso
 from voxelspark.operators import changes, overlay, surface
 from voxelspark.plans import isometric, pyramid
-from voxelspark.sources import overlays, tiles, worlds
+from voxelspark.sources import overlays, regions, tiles, worlds
 from voxelspark.streaming import jobs
 from workload import views as fx
 
@@ -94,6 +94,13 @@ def test_numbers_follow_the_order(spark):
     assert sorted(r.revision for r in got) == list(range(101, 113))
 
 
+def test_short_region_file_is_an_error_row(spark):
+    rows = [("d", 2, -1, "r.2.-1.mca", bytearray(100), 100), ("d", 0, 0, "r.0.0.mca", bytearray(0), 0)]
+    files = spark.createDataFrame(rows, "dimension string, region_x int, region_z int, path string, content binary, size long")
+    got = regions.error_rows(regions.decode_chunks(regions.chunk_payloads(files))).collect()
+    assert [tuple(r) for r in got] == [("d", 64, -32, "file too short for a header")]
+
+
 def test_blank_search_finds_nothing(spark):
     markers = spark.createDataFrame([("1", "Home", "warp", 0, 0, "d")], "id string, name string, kind string, x int, z int, dimension string")
     assert overlay.search("  ", markers=markers).count() == 0

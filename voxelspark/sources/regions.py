@@ -7,7 +7,6 @@ decoded by an independent call. A bad chunk yields an error row and nothing else
 
 from __future__ import annotations
 
-import gzip
 import zlib
 from collections.abc import Iterator
 
@@ -105,7 +104,8 @@ def header_slots(regions: DataFrame) -> DataFrame:
 def chunk_payloads(regions: DataFrame, external: DataFrame | None = None) -> DataFrame:
     """Compressed chunk documents, or the reason why one cannot be read.
 
-    Slices are taken inside one projection, so file contents are never repeated.
+    Slices are taken inside one projection, so file contents are never repeated. A file
+    shorter than a header is one error row at its region's first chunk.
     """
     content, size = F.col("content"), F.col("size")
     start = lambda s: s["sector"].cast("long") * SECTOR
@@ -152,13 +152,19 @@ def chunk_payloads(regions: DataFrame, external: DataFrame | None = None) -> Dat
             "chunk_z": F.col("region_z") * n + F.floor(F.col("slot") / n).cast("int"),
         }
     )
-    apart = F.col("scheme").bitwiseAND(F.lit(EXTERNAL_FLAG)) != 0
+    short = regions.filter((size > 0) & (size < HEADER)).select(
+        *keep, (F.col("region_x") * n).alias("chunk_x"), (F.col("region_z") * n).alias("chunk_z"), F.lit("file too short for a header").alias("error")
+    )
+    rows = rows.unionByName(short, allowMissingColumns=True)
+    apart = F.coalesce(F.col("scheme").bitwiseAND(F.lit(EXTERNAL_FLAG)) != 0, F.lit(False))
     if external is not None:
         on = [c for c in ("dimension", "chunk_x", "chunk_z") if c in external.columns]
         rows = rows.join(external.select(*on, F.col("content").alias("_far")), on, "left")
         rows = rows.withColumns(
             {
-                "error": F.when(F.col("error").isNull() & apart & F.col("_far").isNull(), F.lit("external file missing")).otherwise(F.col("error")),
+                "error": F.when(F.col("error").isNotNull() | ~apart, F.col("error"))
+                .when(F.col("_far").isNull(), F.lit("external file missing"))
+                .when(F.length("_far") > MAX_PAYLOAD, F.lit("implausible payload length")),
                 "payload": F.when(apart, F.col("_far")).otherwise(F.col("payload")),
             }
         ).drop("_far")
@@ -177,13 +183,13 @@ DECODED = pa.schema(
 
 
 def _inflate(scheme: int, payload: bytes) -> bytes:
-    if scheme == 1:
-        return gzip.decompress(payload)
-    if scheme == 2:
-        d = zlib.decompressobj()
+    if scheme in (1, 2):
+        d = zlib.decompressobj(31 if scheme == 1 else 15)
         data = d.decompress(payload, MAX_INFLATED + 1)
         if len(data) > MAX_INFLATED:
             raise ValueError("chunk inflates beyond the limit")
+        if not d.eof:
+            raise ValueError("compressed chunk ends early")
         return data
     if scheme == 3:
         return payload
@@ -347,7 +353,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(row["error"])
                 parts = decode_document(tagged.parse(_inflate(row["scheme"], row["payload"])))
             except Exception as fault:  # recorded per chunk, never fatal to the job
-                parts = [{"kind": "error", "error": str(fault)[:500]}]
+                parts = [{"kind": "error", "error": str(fault)}]
             for part in parts:
                 yield _rows(part, *where)
 
@@ -363,14 +369,17 @@ def decode_chunks(payloads: DataFrame) -> DataFrame:
 
 
 def write_world(decoded: DataFrame, path: str) -> None:
-    """Decoded rows in one table, partitioned by kind and region, sorted by column."""
+    """Decoded rows in one table, partitioned by region, sorted by kind and column.
+
+    A region that is written again loses all that it held, errors too.
+    """
     rows = decoded.withColumns({"region_x": F.shiftright("chunk_x", 5), "region_z": F.shiftright("chunk_z", 5)})
     (
-        rows.repartition("kind", "dimension", "region_x", "region_z", F.shiftright("chunk_x", 3), F.shiftright("chunk_z", 3))
-        .sortWithinPartitions("kind", "dimension", "region_x", "region_z", "x", "z", "y")
+        rows.repartition("dimension", "region_x", "region_z", F.shiftright("chunk_x", 3), F.shiftright("chunk_z", 3))
+        .sortWithinPartitions("dimension", "region_x", "region_z", "kind", "x", "z", "y")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("kind", "dimension", "region_x", "region_z")
+        .partitionBy("dimension", "region_x", "region_z")
         .parquet(path)
     )
 
