@@ -130,3 +130,19 @@ def test_columns_without_slab_are_drawn(spark):
     half = isometric.voxel_view(own.filter("x < 10"), cols, *tables)
     assert half.count() > isometric.voxel_view(own.filter("x < 10"), cols.filter("x < 10"), *tables).count()
     assert iso.DEFAULT_CAMERA
+
+
+def test_world_watch_with_file_times_and_empty_regions(spark, tmp_path):
+    schema = "dimension string, region_x int, region_z int, slot int, stamp bigint, mtime bigint"
+    src, snap, out, ck = [str(tmp_path / n) for n in ("src", "snap", "out", "ck")]
+    seen = []
+    for rows in (
+        [("d", 0, 0, 1, 10, 100), ("d", 1, 0, None, None, 100)],  # the baseline, one region without chunks
+        [("d", 0, 0, 1, 11, 100), ("d", 1, 0, 0, 5, 101)],  # an old file is skipped; a first chunk counts
+        [("d", 0, 0, 1, 12, 102)],
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.watch_world(spark.readStream.schema(schema).parquet(src), snap, out, ck).awaitTermination()
+        got = spark.read.schema("dimension string, chunk_x int, chunk_z int, stamp bigint, epoch bigint").parquet(out)
+        seen.append({(r.chunk_x, r.chunk_z, r.stamp) for r in got.collect()})
+    assert seen == [set(), {(32, 0, 5)}, {(32, 0, 5), (1, 0, 12)}]
