@@ -44,7 +44,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Words of class, id and role names, by what they tell. The model learns what each group is worth.
 CUES = {
@@ -68,7 +68,7 @@ class Node:
         self.tag, self.parent, self.text, self.links, self.children = tag, parent, 0, 0, 0
         self.hidden = bool(attributes and HIDDEN.search(attributes))
         self.cues = frozenset(
-            CUE_OF[w] for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()) if w in CUE_OF
+            CUE_OF[w] for m in NAMES.finditer(attributes) for w in map(str.lower, WORD.findall(m[1] or m[2] or m[3] or "")) if w in CUE_OF
         ) if attributes else frozenset()
 
 
@@ -173,7 +173,7 @@ def _tag(name: str) -> str:
     return "other"
 
 
-FEATURES = [*(f"tag {t}" for t in TAGS), *(f"cue {c}" for c in CUES), "links", "no links", "short", "long", "very long", "share", "one"]
+FEATURES = [*(f"tag {t}" for t in TAGS), *(f"cue {c}" for c in CUES), "links", "no links", "short", "long", "very long", "share", "plain", "plain text", "under tag", "under cue", "one"]
 PLACE = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -191,14 +191,26 @@ def tree(nodes: list[Node]) -> tuple[list[int], list[int], np.ndarray]:
     block = blocks_of(nodes)
     own = [i for i, b in enumerate(block) if i == b]
     place = {i: k for k, i in enumerate(own)}
-    return own, [-1, *(place[block[nodes[i].parent]] for i in own[1:])], features([nodes[i] for i in own])
+    parents = [-1, *(place[block[nodes[i].parent]] for i in own[1:])]
+    return own, parents, features([nodes[i] for i in own], parents)
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+ASIDE_TAGS = frozenset(("nav", "footer", "aside", "form", "header", "dialog"))
+ASIDE_CUES = frozenset(("menu", "side", "ad", "notice", "comment", "form"))
+
+
+def features(nodes: list[Node], parents: list[int]) -> np.ndarray:
     x = np.zeros((len(nodes), len(FEATURES)))
     whole = max(1, nodes[0].text)
+    # A page that marks no part as its main one.
+    plain = not any(n.tag in ("article", "main", "section") or "main" in n.cues for n in nodes)
     for i, n in enumerate(nodes):
         row = x[i]
+        if not i:
+            continue  # the root is no element
+        above = nodes[parents[i]]
+        row[PLACE["under tag"]] = x[parents[i], PLACE["under tag"]] or above.tag in ASIDE_TAGS
+        row[PLACE["under cue"]] = x[parents[i], PLACE["under cue"]] or bool(above.cues & ASIDE_CUES)
         row[PLACE[f"tag {_tag(n.tag)}"]] = 1
         for c in n.cues:
             row[PLACE[f"cue {c}"]] = 1
@@ -209,6 +221,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[PLACE["long"]] = n.text >= 120
         row[PLACE["very long"]] = n.text >= 600
         row[PLACE["share"]] = n.text / whole
+        row[PLACE["plain"]] = plain
+        row[PLACE["plain text"]] = plain and _tag(n.tag) in ("p", "h", "li", "ul", "blockquote", "pre")
         row[PLACE["one"]] = 1
     return x
 
@@ -252,7 +266,7 @@ class TreeModel:
             node[i] = joint[1] + joint[3]
         return np.array(node), np.array(pairs).reshape(2, 2), z
 
-    def train(self, pages: list[tuple[list[int], np.ndarray, np.ndarray]], steps: int = 160, rate: float = 0.5, decay: float = 1e-4) -> list[float]:
+    def train(self, pages: list[tuple[list[int], np.ndarray, np.ndarray]], steps: int = 300, rate: float = 1.0, decay: float = 1e-5) -> list[float]:
         """Adagrad on the mean log-likelihood per node; ``pages``: parents, features, labels."""
         sums = [np.full_like(self.w, 1e-6), np.full_like(self.edge, 1e-6)]
         total, out = sum(len(p) for p, _, _ in pages), []
@@ -276,18 +290,23 @@ class TreeModel:
 # "~" an element whose children decide (labelled like the page's frame, not content).
 LAYOUTS = (
     "~body(-header(logo) -nav(links) +article(h paras) -footer(small))",
-    "~body(-nav(links) -div.ad(line) +article(h paras) -footer(small))",
-    "~body(-div.header(logo links) ~div.wrapper(+div.content(h paras list) -div.sidebar(links line)) -div.footer(small))",
-    "~body(-header(logo -nav(links)) +main(h paras quote) -aside(line links) -section.comments(remark remark remark) -footer(small links))",
-    "~body(-div.cookie-notice(line) ~div.page(+div.post(h paras) -div.related(links) -div.comments(remark remark)) -footer(small))",
-    "~body(-ul.menu(links) ~div(~div(+div(h paras table))) -form(line) -div.copyright(small))",
-    "~body(-div.alert(para) -nav(links) +main(+article(h paras list) -div.share(links) -div.newsletter(para)) -footer(para small))",
-    "~body(+section(h paras) +section(h paras) -aside.promo(para) -div.advert(para) -footer(small))",
-    "~body(-header(h links) +div.entry-content(paras h paras) -div.author-bio(para) -ol.commentlist(remark remark remark) -form.search(line))",
+    "~body(-nav(links) -div.ad(text) +article(h paras) -footer(text))",
+    "~body(-div.header(logo links) ~div.wrapper(+div.content(h paras list) -div.sidebar(h links line)) -div.footer(h small))",
+    "~body(-header(logo -nav(links)) +main(h paras quote) -aside(h line links) -section.comments(h remark remark remark) -footer(small links))",
+    "~body(-div.cookie-notice(line) ~div.page(+div.post(h paras) -div.related(h links) -div.comments(h remark remark)) -footer(small))",
+    "~body(-ul.menu(links) ~div(~div(+div(h paras text table))) -form(line) -div.copyright(text))",
+    "~body(-div.alert(para) -nav(links) +main(+article(h paras list) -div.share(links) -aside(text) -div.newsletter(para)) -footer(para small))",
+    "~body(+section(h paras) +section(h text) -aside.promo(h para) -div.advert(para) -footer(small))",
+    "~body(-header(h links) +div.entry-content(paras h paras) -div.author-bio(para) -ol.commentlist(h remark remark remark) -form.search(line))",
     "~body(-table(links) ~table(-td(links) +td(h paras)) -p(small))",
     "~body(-aside(links) +article(-header(small) h paras -footer(links)) -section.recommended(line line) -dialog(para))",
     "~body(+div(paras))",
     "~body(h paras)",
+    "~body(-header(logo) +article(h paras -div.ad(line) paras -section.comments(h remark remark remark) -div.related(h links)) -footer(small))",
+    "~body(-nav(links) +main(h paras -aside.sidebar(h links para) -form(line) -div.cookie-banner(para)) -footer(small))",
+    "~body(-div.topnav(links) ~div.container(+div.post-content(h paras -div.advertisement(para) paras -div.share(links) list) -div.comments-area(h remark remark)))",
+    "~body(-header(logo links) ~div.layout(-div.sidebar(h links para h line) +div.story(h paras quote) -div.widget(links)) -div.notice(text) -footer(links small))",
+    "~body(-nav(links) ~section(+article(h paras list -div.comments(h remark remark)) -aside(text)) -div.newsletter-signup(line) -footer(small))",
     "~body(-div.banner(line) -div.breadcrumbs(links) +div.article-body(h para) -div.sponsored(para line) -div.disqus(remark para))",
 )
 PART = re.compile(r"([+\-~]?)([a-z0-9]+)((?:\.[a-z-]+)?)(\(?)|(\))|\s+")
@@ -295,7 +314,9 @@ PART = re.compile(r"([+\-~]?)([a-z0-9]+)((?:\.[a-z-]+)?)(\(?)|(\))|\s+")
 
 def labelled_page(layout: str, rng: np.random.Generator) -> tuple[str, list[int]]:
     """A page of the layout, and the label of every element in order of the starts (root first)."""
-    out, labels, stack = [], [0], [("", 0)]
+    whole = int("+" not in layout)
+    out, labels, stack = [], [whole], [("", whole)]
+    bare = rng.random() < 0.3  # without a body element
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(rng.integers(low, high)))
@@ -346,6 +367,8 @@ def labelled_page(layout: str, rng: np.random.Generator) -> tuple[str, list[int]
                 element("td", words(1, 6), y)
                 out.append("</tr>")
             out.append("</table>")
+        elif kind == "text":
+            out.append(words(3, 40))
         elif kind == "logo":
             element("a", words(1, 3), y)
         else:  # line, small
@@ -353,11 +376,15 @@ def labelled_page(layout: str, rng: np.random.Generator) -> tuple[str, list[int]
 
     for m in PART.finditer(layout):
         if m[5]:
-            out.append(f"</{stack.pop()[0]}>")
+            tag = stack.pop()[0]
+            out.append("" if bare and tag == "body" else f"</{tag}>")
         elif m[2]:
             mark, tag, name, opens = m[1], m[2], m[3][1:], m[4]
             if opens:
-                y = {"+": 1, "-": 0, "~": int("+" not in layout)}[mark]
+                y = {"+": 1, "-": 0, "~": whole}[mark]
+                if bare and tag == "body":
+                    stack.append((tag, y))
+                    continue
                 # Some names are left out, so that they are no more than a hint.
                 out.append(f'<{tag} class="{name}">' if name and rng.random() < 0.85 else f"<{tag}>")
                 labels.append(y)
@@ -368,7 +395,7 @@ def labelled_page(layout: str, rng: np.random.Generator) -> tuple[str, list[int]
 
 
 @cache
-def trained(copies: int = 8, seed: int = 5) -> TreeModel:
+def trained(copies: int = 7, seed: int = 5) -> TreeModel:
     """The model of the labelled pages: ``copies`` of every layout."""
     rng, pages = np.random.default_rng(seed), []
     for layout in LAYOUTS * copies:
