@@ -249,7 +249,10 @@ def voxel_view(
         "dimension", "_c0", "_c1", "_c2", ((a - b - 1) * ppu).alias("_x0"), F.explode(both).alias("_p")
     ).select("dimension", "_c0", "_c1", "_c2", "_x0", "_p.*")
     cells = _cell_rows(_spread(drawn, ppu, F.col("_l"), F.col("_r"), F.col("_on")))
-    bare = face_colors(exposed.join(slabs.filter("depth > 0").select(*on), on, "left_anti"), palette, biomes, dimensions, style, options)
+    stored = slabs.filter("depth > 0 and y = top_y").select(*on)  # one row a column: its top voxel
+    if columns.join(stored, on, "left_anti").select(*on).isEmpty():  # the usual case needs no second branch
+        return nearest(cells, zoom)
+    bare = face_colors(exposed.join(stored, on, "left_anti"), palette, biomes, dimensions, style, options)
     flat = height_field_cells(bare, zoom, camera).withColumn("_rank", F.col("_rank") * RANK_Y + 2048)
     return nearest(cells.unionByName(flat), zoom)
 
