@@ -136,9 +136,13 @@ def matches(index: Index, words: np.ndarray, first: np.ndarray) -> list[tuple[in
     for i, start in found.tolist():
         item = index.items[i]
         allowed = int(index.tolerance * len(item))
-        inside = min(max(start, 0), len(words) - 1)
-        for doc in {int(np.searchsorted(first, p, "right")) - 1 for p in (inside, min(inside + len(item) - 1, len(words) - 1))}:
+        # Every document that the window meets: a trimmed item may fill one between its ends.
+        ends = [min(max(p, 0), len(words) - 1) for p in (start, start + len(item) - 1)]
+        low, high = (int(np.searchsorted(first, p, "right")) - 1 for p in ends)
+        for doc in range(low, high + 1):
             lo, hi = int(first[doc]), int(first[doc + 1])
+            if hi - lo < len(item) - allowed:
+                continue
             if (doc, i) in best and best[doc, i][0] == 0:
                 continue
             if lo <= start and start + len(item) <= hi and np.array_equal(words[start : start + len(item)], item):
