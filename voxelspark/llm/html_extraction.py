@@ -33,17 +33,18 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript iframe svg math object canvas audio video select textarea button head title datalist".split())
+SILENT = frozenset("script style template noscript iframe svg annotation annotation-xml object canvas audio video select textarea button head title datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "math")
+RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg")
 # Elements whose start ends an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+CONCEALS = re.compile(r"hidden|style", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Words of class, id and role names, by what they tell. The model learns what each group is worth.
@@ -61,12 +62,27 @@ CUE_OF = {w: g for g, ws in CUES.items() for w in ws.split()}
 TAGS = ("article", "main", "section", "div", "p", "h", "li", "ul", "nav", "header", "footer", "aside", "form", "td", "table", "blockquote", "pre", "figure", "body", "other")
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element says itself that it is not shown; of a repeated attribute the first counts,
+    of a repeated declaration the last."""
+    if not CONCEALS.search(attributes):
+        return False
+    own: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        own.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style = dict(d.lower().split(":", 1) for d in own.get("style", "").split(";") if ":" in d)
+    style = {k.strip(): v.replace("!important", "").strip() for k, v in style.items()}
+    return style.get("display") == "none" or style.get("visibility") == "hidden"
+
+
 class Node:
     __slots__ = ("tag", "parent", "cues", "text", "links", "hidden", "children")
 
     def __init__(self, tag: str, parent: int, attributes: str):
         self.tag, self.parent, self.text, self.links, self.children = tag, parent, 0, 0, 0
-        self.hidden = bool(attributes and HIDDEN.search(attributes))
+        self.hidden = bool(attributes) and hides(attributes)
         self.cues = frozenset(
             CUE_OF[w] for m in NAMES.finditer(attributes) for w in map(str.lower, WORD.findall(m[1] or m[2] or m[3] or "")) if w in CUE_OF
         ) if attributes else frozenset()
