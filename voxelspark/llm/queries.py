@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import bpe, decontamination, exact_dedup, hard_negatives, html_extraction, language_id, lm_scoring, mixing, pii, simhash_dedup, toxicity, url_filter
+from voxelspark.llm import bpe, decontamination, exact_dedup, hard_negatives, html_extraction, language_id, lm_scoring, mixing, phrases, pii, simhash_dedup, toxicity, url_filter
 from voxelspark.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_deletion_variants": op8_simhash_deletion_variants,
     "op9_cgk_decontamination": op9_cgk_decontamination,
     "op10_bpe_distinct_words": op10_bpe_distinct_words,
+    "op11_phrase_stripes": op11_phrase_stripes,
     "op12_cover_tree_negatives": op12_cover_tree_negatives,
     "op13_hash_threshold_mixing": op13_hash_threshold_mixing,
 }
@@ -84,6 +89,37 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op11_phrase_stripes": r"""
+        WITH p AS (
+            SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang,
+                         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[.,;:!?\x0A-\x0D]')) AS piece
+                  FROM documents)),
+        g AS (
+            SELECT lang, m, w[i : i + m - 1] AS g, count(*) AS a
+            FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 6) AS r(m) WHERE len(w) >= m)
+            GROUP BY ALL),
+        n AS (SELECT lang, sum(a) AS n FROM g WHERE m = 1 GROUP BY lang),
+        c AS (SELECT * FROM g WHERE a >= 100),
+        -- A longer candidate around a phrase that is as frequent has one of a single word more.
+        e AS (
+            SELECT lang, part, max(a) AS most
+            FROM (SELECT lang, a, unnest([g[1 : m - 1], g[2 : m]]) AS part FROM c WHERE m >= 3) GROUP BY ALL),
+        k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c WHERE m >= 2),
+        s AS (
+            SELECT k.lang, array_to_string(k.g, ' ') AS phrase, k.k, k.a, l.a AS l, r.a AS r, n.n,
+                   (1000::HUGEINT * k.a * n.n) // (l.a::HUGEINT * r.a) AS score
+            FROM k JOIN n ON n.lang = k.lang
+            JOIN c l ON l.lang = k.lang AND l.g = k.g[1 : k.k]
+            JOIN c r ON r.lang = k.lang AND r.g = k.g[k.k + 1 : k.m]
+            LEFT JOIN e ON e.lang = k.lang AND e.part = k.g
+            WHERE e.most IS NULL OR e.most < k.a
+            QUALIFY row_number() OVER (PARTITION BY k.lang, k.g ORDER BY score, k.k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
     "op12_cover_tree_negatives": """
         WITH r AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
