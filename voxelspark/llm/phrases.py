@@ -37,8 +37,8 @@ from voxelspark.llm.common import LOWER, chunks, mix, written
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-BLOCK = 2 << 20  # bytes of text in a block, or one longer document
-HELD = 1 << 20  # stripe entries a task adds up before it passes them on
+BLOCK = 1 << 20  # bytes of text in a block, or one longer document
+HELD = 1 << 18  # stripe entries a task adds up before it passes them on
 PARTS = 64
 BITS = 26
 HOT = 10_000
@@ -287,9 +287,10 @@ def phrases(cut_texts: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     are the counts of the first and last k + 1 words."""
     spark = cut_texts.sparkSession
     pairs = F.explode(F.arrays_zip("hashes", "words", "counts")).alias("w")
-    words = cut_texts.select("lang", pairs).groupBy("lang", F.col("w.hashes").alias("h")).agg(F.min("w.words").alias("word"), F.max("w.words").alias("other"), F.sum("w.counts").alias("a"))
-    same = F.when(F.col("word") == F.col("other"), F.col("word")).otherwise(F.raise_error(F.lit("two words share a hash")))
-    words = written(words.select("lang", "h", same.alias("word"), "a"))
+    words = cut_texts.select("lang", pairs).select("lang", F.col("w.hashes").alias("h"), F.col("w.words").alias("word"), F.col("w.counts").alias("a"))
+    words = written(words.groupBy("lang", "h", "word").agg(F.sum("a").alias("a")))
+    if words.groupBy("lang", "h").agg(F.count("*").alias("words")).where("words > 1").limit(1).count():
+        raise ValueError("two words share a hash")
     n = words.groupBy("lang").agg(F.sum("a").alias("n"))
     total = words.agg(F.sum("a").alias("n")).first()["n"] or 0
     nothing = F.lit(None).cast("long")
