@@ -85,6 +85,41 @@ def chunk_document(v: pd.DataFrame, version: int = 3465) -> bytes:
     return document({"DataVersion": version, "Status": "minecraft:full", "sections": sections})
 
 
+def _lights(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block and sky levels of a section by (y, z, x), both from positions alone."""
+    y, z, x = np.indices((16, 16, 16))
+    return (x * 3 + y * 5 + z * 7 + seed) % 16, (x + y * 11 + z * 2 + seed) % 16
+
+
+def old_document(v: pd.DataFrame, version: int = 2230) -> bytes:
+    """One chunk of the older layout: a wrapping level, entries across longs, ids of biomes in
+    one flat array of columns (here plains and swamp by column), light arrays."""
+    sections = []
+    for sy, part in v.groupby(v["y"] // 16):
+        names = ["minecraft:air", *sorted(part["name"].unique())]
+        at = {n: i for i, n in enumerate(names)}
+        cube = np.zeros((16, 16, 16), np.int64)
+        cube[part["y"] % 16, part["z"] % 16, part["x"] % 16] = part["name"].map(at)
+        block, sky = _lights(int(sy))
+        sections.append({"Y": int(sy), "Palette": [{"Name": n} for n in names], "BlockStates": pack(cube.reshape(-1), len(names), crossing=True), "BlockLight": nibbles(block), "SkyLight": nibbles(sky)})
+    z, x = np.indices((16, 16))
+    biomes = np.where((x + z) % 3 == 0, 6, 1).astype(np.uint8).tobytes()
+    return document({"DataVersion": version, "Level": {"Status": "full", "Biomes": biomes, "Sections": sections}})
+
+
+def lit_document(v: pd.DataFrame, version: int = 3465) -> bytes:
+    """A chunk of the present layout with sky light only."""
+    sections = []
+    for sy, part in v.groupby(v["y"] // 16):
+        names = ["minecraft:air", *sorted(part["name"].unique())]
+        at = {n: i for i, n in enumerate(names)}
+        cube = np.zeros((16, 16, 16), np.int64)
+        cube[part["y"] % 16, part["z"] % 16, part["x"] % 16] = part["name"].map(at)
+        states = {"palette": [{"Name": n} for n in names], "data": pack(cube.reshape(-1), len(names))}
+        sections.append({"Y": int(sy), "block_states": states, "biomes": {"palette": ["minecraft:desert"]}, "SkyLight": nibbles(_lights(int(sy))[1])})
+    return document({"DataVersion": version, "Status": "minecraft:full", "sections": sections})
+
+
 def region_file(chunks: dict[tuple[int, int], bytes], schemes: dict | None = None, stamp: int = 1_700_000_000) -> bytes:
     """A whole region file from chunk documents keyed by chunk position."""
     head, body, sector = bytearray(8192), [], 2
@@ -127,3 +162,38 @@ def region_table(voxels: DataFrame, palette: DataFrame, biomes: DataFrame) -> Da
         return pd.DataFrame({"dimension": [key[0]], "path": [f"w/region/r.{key[1]}.{key[2]}.mca"], "size": [len(data)], "content": [data]})
 
     return docs.groupBy("dimension", "rx", "rz").applyInPandas(join, "dimension string, path string, size bigint, content binary")
+
+
+def write_world(voxels: DataFrame, palette: DataFrame, path: str) -> None:
+    """Region files of a voxel table under ``path``, written by the tasks that encode them.
+
+    Chunks by (chunk_x + 2 chunk_z) mod 5: 0 to 2 of the present layout, 3 of the old one, 4 with
+    a payload cut short. Every region also leaves a file of another name, an empty region file
+    and one shorter than a header, 100 and 200 regions away in x.
+    """
+    from voxelspark.sources.region_source import _store
+
+    named = voxels.join(palette.select(F.col("id").alias("block_id"), "name"), "block_id")
+    keyed = named.select("dimension", F.shiftright("x", 4).alias("cx"), F.shiftright("z", 4).alias("cz"), "x", "y", "z", "name")
+
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = (key[1] + 2 * key[2]) % 5
+        doc = old_document(pdf) if kind == 3 else lit_document(pdf)
+        return pd.DataFrame({"dimension": [key[0]], "cx": [key[1]], "cz": [key[2]], "doc": [doc[: len(doc) // 2] if kind == 4 else doc]})
+
+    docs = keyed.groupBy("dimension", "cx", "cz").applyInPandas(encode, "dimension string, cx int, cz int, doc binary")
+    docs = docs.withColumns({"rx": F.shiftright("cx", 5), "rz": F.shiftright("cz", 5)})
+
+    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        store, root = _store(path)
+        folder = f"{root}/{key[0].replace(':', '/')}/region"
+        store.create_dir(folder, recursive=True)
+        chunks = dict(zip(zip(pdf["cx"], pdf["cz"]), pdf["doc"]))
+        data = region_file(chunks, {s: (1, 2, 3)[(s[0] + s[1]) % 3] for s in chunks})
+        x, z = key[1], key[2]
+        for name, body in ((f"r.{x}.{z}.mca", data), (f"r.{x + 100}.{z}.mca", b""), (f"r.{x + 200}.{z}.mca", b"short"), (f"notes.{x}.{z}.txt", b"-")):
+            with store.open_output_stream(f"{folder}/{name}") as out:
+                out.write(body)
+        return pd.DataFrame({"bytes": [len(data)]})
+
+    docs.groupBy("dimension", "rx", "rz").applyInPandas(save, "bytes long").agg(F.sum("bytes")).collect()
