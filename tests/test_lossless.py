@@ -6,7 +6,7 @@ from voxelspark.functions import iso
 from voxelspark.operators import changes, overlay, surface
 from voxelspark.plans import isometric, pyramid
 from voxelspark.sources import overlays, regions, tiles, worlds
-from voxelspark.streaming import jobs
+from voxelspark.streaming import jobs, stateful
 from workload import views as fx
 
 FILL = (20, 22, 26, 255)
@@ -134,7 +134,7 @@ def test_columns_without_slab_are_drawn(spark):
 
 def test_world_watch_with_file_times_and_empty_regions(spark, tmp_path):
     schema = "dimension string, region_x int, region_z int, slot int, stamp bigint, mtime bigint"
-    src, snap, out, ck = [str(tmp_path / n) for n in ("src", "snap", "out", "ck")]
+    src, out, ck = [str(tmp_path / n) for n in ("src", "out", "ck")]
     seen = []
     for rows in (
         [("d", 0, 0, 1, 10, 100), ("d", 1, 0, None, None, 100)],  # the baseline, one region without chunks
@@ -142,7 +142,7 @@ def test_world_watch_with_file_times_and_empty_regions(spark, tmp_path):
         [("d", 0, 0, 1, 12, 102)],
     ):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        jobs.watch_world(spark.readStream.schema(schema).parquet(src), snap, out, ck).awaitTermination()
+        stateful.watch_world(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
         got = spark.read.schema("dimension string, chunk_x int, chunk_z int, stamp bigint, epoch bigint").parquet(out)
         seen.append({(r.chunk_x, r.chunk_z, r.stamp) for r in got.collect()})
     assert seen == [set(), {(32, 0, 5)}, {(32, 0, 5), (1, 0, 12)}]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from voxelspark.operators import changes
 from voxelspark.plans import pyramid
 from voxelspark.sources import tiles
-from voxelspark.streaming import jobs
+from voxelspark.streaming import jobs, stateful
 
 FILL = (20, 22, 26, 255)
 
@@ -65,11 +65,11 @@ def test_settled_stream_equals_batch(spark, sf, tmp_path):
 
 def test_world_watch_reports_only_later_stamps(spark, tmp_path):
     schema = "dimension string, region_x int, region_z int, slot int, stamp bigint"
-    src, snap, out, ck = [str(tmp_path / n) for n in ("src", "snap", "out", "ck")]
+    src, out, ck = [str(tmp_path / n) for n in ("src", "out", "ck")]
     table(spark, src, [("d", 0, 0, 1, 10), ("d", 0, 0, 2, 10)], schema)
 
     def run():
-        jobs.watch_world(spark.readStream.schema(schema).parquet(src), snap, out, ck).awaitTermination()
+        stateful.watch_world(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
         return {(r.chunk_x, r.chunk_z, r.stamp) for r in spark.read.schema("dimension string, chunk_x int, chunk_z int, stamp bigint, epoch bigint").parquet(out).collect()}
 
     assert run() == set()  # a first sighting is the baseline

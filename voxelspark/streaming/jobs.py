@@ -18,8 +18,6 @@ from ..plans import pyramid
 from ..sources.overlays import batch_verdicts
 from ..sources.tiles import merge_partitions, staged, stored_rows
 
-SNAPSHOT = "dimension string, region_x int, region_z int, slot int, stamp bigint, mtime bigint, epoch bigint"
-
 
 def settled_stream(marks: DataFrame, settle: str = "3 seconds", late: str = "0 seconds") -> DataFrame:
     """Chunks that have gone quiet, as a stream in append mode.
@@ -153,37 +151,6 @@ def _write_level(pixels: DataFrame, dirty: DataFrame, path: str) -> None:
     merge_partitions(rows.unionByName(gone), replaced, path, ["dimension", "zoom", "x_shard"], ["tile_x", "tile_y"])
 
 
-def watch_world(slots: DataFrame, snapshot_path: str, out_path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Compare each micro-batch of region headers with the stored snapshot.
-
-    A micro-batch holds the whole headers of the regions it names; a region without chunks is one
-    row whose ``slot`` is null. With a column ``mtime``, files that are not newer are skipped.
-    Each epoch stores the whole state once, so a batch reads one epoch however many there were.
-    """
-    key = [*changes.REGION, "slot"]
-    spark, timed = slots.sparkSession, "mtime" in slots.columns
-    spark.createDataFrame([], SNAPSHOT).write.mode("append").partitionBy("epoch").parquet(snapshot_path)
-
-    def compare(batch: DataFrame, epoch: int) -> None:
-        time = F.max("mtime") if timed else F.lit(None).cast("long")
-        now = batch.groupBy(*key).agg(F.max("stamp").alias("stamp"), time.alias("mtime"))
-        past = batch.sparkSession.read.schema(SNAPSHOT).parquet(snapshot_path).filter(F.col("epoch") < epoch)
-        last = past.agg(F.max("epoch")).first()[0]
-        state = past.filter(F.col("epoch") == (-1 if last is None else last)).drop("epoch")
-        seen = state.groupBy(*changes.REGION).agg(F.max("mtime").alias("mtime"))
-        here = now.filter("slot is not null")
-        found = changes.changed_slots(
-            state.filter("slot is not null").drop("mtime"), here if timed else here.drop("mtime"), seen if timed else seen.drop("mtime")
-        )
-        others = state.join(now.select(*changes.REGION).distinct(), changes.REGION, "left_anti")
-        for rows, path in ((found, out_path), (others.unionByName(now.select(*state.columns)), snapshot_path)):
-            rows.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("epoch").parquet(path)
-
-    return _start(slots, compare, checkpoint, **options)
-
-
 def player_events(players: DataFrame, dimensions: DataFrame) -> DataFrame:
     """``player.move`` rows, one per visible player, for enabled dimensions."""
     enabled = dimensions.filter("enabled").select("dimension")
