@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from voxelspark.functions import iso
 from voxelspark.operators import changes, overlay, surface
 from voxelspark.plans import isometric, pyramid
-from voxelspark.sources import overlays, regions, tiles, worlds
+from voxelspark.sources import overlays, regions, tiles, versioned, worlds
 from voxelspark.streaming import jobs, stateful
 from workload import views as fx
 
@@ -82,8 +82,9 @@ def test_empty_snapshot_clears_the_table(spark, tmp_path):
     src, out, ck = [str(tmp_path / n) for n in ("src", "out", "ck")]
     for rows in ([(1, 10)], [(2, None)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        jobs.write_snapshots(spark.readStream.schema(schema).parquet(src), out, ck, key="player").awaitTermination()
-    assert spark.read.schema(schema).parquet(out).count() == 0
+        versioned.stream_snapshots(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
+    assert versioned.VersionedTable(spark, out, "player").read().count() == 0
+    assert [r.player for r in versioned.VersionedTable(spark, out, "player").read(0).collect()] == [10]
 
 
 def test_numbers_follow_the_order(spark):

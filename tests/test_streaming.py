@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from voxelspark.operators import changes
 from voxelspark.plans import pyramid
-from voxelspark.sources import tiles
+from voxelspark.sources import tiles, versioned
 from voxelspark.streaming import jobs, stateful
 
 FILL = (20, 22, 26, 255)
@@ -133,8 +133,9 @@ def test_latest_snapshot_replaces_players(spark, tmp_path):
     src, out, ck = [str(tmp_path / n) for n in ("src", "out", "ck")]
     for rows in ([(1, 10), (1, 11)], [(2, 11), (2, 12)]):
         table(spark, src, rows, schema)
-        jobs.write_snapshots(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
-    assert {r.player for r in spark.read.parquet(out).collect()} == {11, 12}
+        versioned.stream_snapshots(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
+    kept = versioned.VersionedTable(spark, out, "player")
+    assert {r.player for r in kept.read().collect()} == {11, 12} and {r.player for r in kept.read(0).collect()} == {10, 11}
 
 
 @pytest.mark.parametrize("edge", [1, 2, 5])

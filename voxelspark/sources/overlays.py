@@ -75,15 +75,18 @@ def invalid_rows(batch: DataFrame, dimensions: DataFrame, key: str = "id") -> Da
     return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_known")
 
 
-def resolved_dimension(dimension, known: DataFrame, default: str | None = None) -> Column:
-    """A request's dimension as a known one: empty is the default, other spellings go by their
-    safe form. ``known`` is the short list of configured dimensions."""
-    raw = F.coalesce(col(dimension), F.lit(""))
+def resolved_dimension(items: DataFrame, known: DataFrame, default: str | None = None) -> DataFrame:
+    """``items`` with each request's dimension as a known one, or null: empty is the default, and
+    other spellings go by their safe form, an exact one first. Removals (``op``) name none and keep
+    what they came with."""
+    forms = known.select("dimension").distinct().groupBy(safe_id("dimension").alias("_safe")).agg(F.sort_array(F.collect_set("dimension")).alias("_names"))
+    raw = F.coalesce(F.col("dimension"), F.lit(""))
     raw = F.when(raw == "", F.lit(default)).otherwise(raw)
-    out = F.lit(None).cast("string")
-    for name in sorted(r["dimension"] for r in known.select("dimension").distinct().collect()):
-        out = F.when((raw == name) | (safe_id(raw) == safe_id(F.lit(name))), F.lit(name)).otherwise(out)
-    return out
+    joined = items.withColumn("_raw", raw).withColumn("_safe", safe_id("_raw")).join(forms, "_safe", "left")
+    name = F.when(F.array_contains("_names", F.col("_raw")), F.col("_raw")).otherwise(F.element_at("_names", -1))
+    if "op" in items.columns:
+        name = F.when(F.coalesce(F.col("op"), F.lit("upsert")) == "delete", F.col("dimension")).otherwise(name)
+    return joined.withColumn("dimension", name).select(*items.columns)
 
 
 def batch_verdicts(
@@ -91,21 +94,24 @@ def batch_verdicts(
 ) -> DataFrame:
     """Accept or reject each ``batch_id`` as a whole: one bad row rejects it.
 
+    The dimension is judged as :func:`resolved_dimension` has it.
     With a column ``op``, removals (``delete``) count towards the limit but need neither a
     dimension nor, as unknown ids are simply absent, a known id.
     """
-    known = dimensions.select("dimension", F.lit(True).alias("_known"))
-    bad = (F.coalesce(F.col(key).cast("string"), F.lit("")) == "") | F.col("_known").isNull()
+    bad = (F.coalesce(F.col(key).cast("string"), F.lit("")) == "") | F.col("dimension").isNull()
     if "op" in items.columns:
         bad &= F.coalesce(F.col("op"), F.lit("upsert")) != "delete"
     return (
-        items.withColumn("dimension", resolved_dimension("dimension", dimensions, default)).join(known, "dimension", "left")
+        resolved_dimension(items, dimensions, default)
         .groupBy("batch_id")
         .agg(F.count("*").alias("items"), F.count_if(bad).alias("bad"))
         .withColumn("accepted", (F.col("bad") == 0) & (F.col("items") <= most))
     )
 
 
-def accepted_items(items: DataFrame, dimensions: DataFrame, key: str = "id", most: int = MAX_INGEST_ITEMS) -> DataFrame:
-    good = batch_verdicts(items, dimensions, key, most).filter("accepted").select("batch_id")
-    return items.join(good, "batch_id", "left_semi")
+def accepted_items(
+    items: DataFrame, dimensions: DataFrame, key: str = "id", most: int = MAX_INGEST_ITEMS, default: str | None = None
+) -> DataFrame:
+    """Rows of the accepted batches, in their resolved dimension: what is to be stored."""
+    good = batch_verdicts(items, dimensions, key, most, default).filter("accepted").select("batch_id")
+    return resolved_dimension(items, dimensions, default).join(good, "batch_id", "left_semi").select(*items.columns)

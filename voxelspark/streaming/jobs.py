@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.grid import x_shard
 from ..operators import changes
 from ..plans import pyramid
-from ..sources.overlays import batch_verdicts
+from ..sources.overlays import batch_verdicts, resolved_dimension
 from ..sources.tiles import merge_partitions, staged, stored_rows
 
 
@@ -35,25 +35,6 @@ def height_band_stream(observed: DataFrame) -> DataFrame:
     )
 
 
-def write_snapshots(updates: DataFrame, path: str, checkpoint: str, key: str | None = None, **options) -> StreamingQuery:
-    """Each micro-batch replaces the stored snapshot as a whole.
-
-    A snapshot of nobody comes as one row of its ``batch_id`` whose ``key`` is null; it
-    clears the table.
-    """
-
-    def replace(batch: DataFrame, epoch: int) -> None:
-        last = batch.agg(F.max("batch_id").alias("_last"))
-        rows = batch.join(last, F.col("batch_id") == F.col("_last"), "left_semi")
-        if not rows.isEmpty():
-            rows = rows if key is None else rows.filter(F.col(key).isNotNull())
-            rows.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "static"
-            ).parquet(path)
-
-    return _start(updates, replace, checkpoint, **options)
-
-
 def ingest(
     items: DataFrame,
     dimensions: DataFrame,
@@ -61,10 +42,16 @@ def ingest(
     rejected_path: str,
     checkpoint: str,
     key: str = "id",
+    default: str | None = None,
+    shards: int = 64,
     **options,
 ) -> StreamingQuery:
     """Validated ingest: whole batches are stored or quarantined.
 
+    Accepted rows are stored in their resolved dimension (an empty one is ``default``), those of
+    the quarantine as they came, so that a verdict can be taken again. ``shards`` is the number of
+    directories that batches are spread over; it is fixed for a store.
+
     A batch may arrive over several micro-batches. Its verdict is taken anew over all rows
     that have come, so what was stored of it moves to the quarantine when a bad row follows. The
     quarantine is written first: a replay finds every row in one place at least.
@@ -73,7 +60,7 @@ def ingest(
     def route(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumns(
-            {"epoch": F.lit(epoch).cast("long"), "batch_shard": F.pmod(F.xxhash64("batch_id"), F.lit(64)).cast("int")}
+            {"epoch": F.lit(epoch).cast("long"), "batch_shard": F.pmod(F.xxhash64("batch_id"), F.lit(shards)).cast("int")}
         )
         ids = new.select("batch_id").distinct()
         rows, barred = new, ids.limit(0)
@@ -83,11 +70,12 @@ def ingest(
                 # A batch that is in quarantine is there as a whole.
                 old = old.filter(F.col("epoch") != epoch).join(ids, "batch_id", "left_semi").join(barred, "batch_id", "left_anti")
                 rows, barred = rows.unionByName(old.select(*new.columns)), old.select("batch_id").distinct()
-        verdict = batch_verdicts(rows, dimensions, key).select("batch_id", "accepted")
+        verdict = batch_verdicts(rows, dimensions, key, default=default).select("batch_id", "accepted")
         with staged(rows.join(verdict, "batch_id"), rejected_path) as known:
             every = known.select("batch_shard", "batch_id")
             for path, good in ((rejected_path, False), (accepted_path, True)):
                 part = known.filter(F.col("accepted") == good).select(*new.columns)
+                part = resolved_dimension(part, dimensions, default) if good else part
                 merge_partitions(part, every, path, ["batch_shard"], ["batch_id"])
 
     return _start(items, route, checkpoint, **options)
