@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, names
+from .numbering import numbered
 
 PALETTE_COLUMNS = (
     "id", "name", "r", "g", "b", "a", "tint", "water", "transparent",
@@ -80,12 +81,11 @@ def with_fallback(seen: DataFrame, palette: DataFrame, classifier: DataFrame | N
 
 
 def extend_palette(palette: DataFrame, seen: DataFrame, classifier: DataFrame | None = None) -> DataFrame:
-    """The palette plus one guessed row, with a fresh id, per unmapped name."""
+    """The palette plus one guessed row, with a fresh id, per unmapped name (for ids that outlive
+    this call, see ``sources.registry``)."""
     new = with_fallback(seen, palette, classifier).filter(~F.col("known"))
-    top = palette.agg(F.max("id")).scalar()
-    # Unmapped names are distinct identifiers bounded by the 16-bit id space.
-    ranked = new.withColumn("_n", F.row_number().over(Window.orderBy("name")))
-    new = ranked.withColumn("id", F.col("_n") + F.coalesce(top, F.lit(0)))
+    top = palette.agg(F.max("id").alias("top")).first()["top"]
+    new = numbered(new, ["name"], "id", (top or 0) + 1).withColumn("id", F.col("id").cast("int"))
     return palette.select(*PALETTE_COLUMNS).unionByName(new.select(*PALETTE_COLUMNS))
 
 

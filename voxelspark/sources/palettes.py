@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, names
 from ..operators.lookups import PALETTE_COLUMNS, biome_fallback, last_wins, occludes, resolve_aliases
+from ..operators.numbering import numbered
 
 _BLOCK = (
     "struct<color:string,tint:string,water:boolean,transparent:boolean,height:double,"
@@ -52,9 +53,9 @@ def parse_blocks(documents: DataFrame) -> DataFrame:
     )
     rows = last_wins(resolve_aliases(rows), ["name"], ["layer", "_late"])
     rows = rows.select("*", "c.*", occludes().alias("occludes"), F.lit(True).alias("known"))
-    # Air is always id 0; the rest number in name order. Palettes are 16-bit small.
-    w = Window.orderBy(F.col("name") != names.AIR, "name")
-    return rows.withColumn("id", F.row_number().over(w) - 1).select(*PALETTE_COLUMNS)
+    # Air is always id 0; the rest number in name order.
+    rows = numbered(rows, [F.col("name") != names.AIR, F.col("name")], "id")
+    return rows.withColumn("id", F.col("id").cast("int")).select(*PALETTE_COLUMNS)
 
 
 def parse_biomes(documents: DataFrame) -> DataFrame:
@@ -65,9 +66,9 @@ def parse_biomes(documents: DataFrame) -> DataFrame:
     pick = {n: F.coalesce(given[n], guess[n]) for n in ("grass", "foliage", "water")}
     pick["overlay"] = F.coalesce(given["overlay"], given["grass"], guess["overlay"])
     rows = raw.select("name", *[c.alias(n) for n, c in pick.items()], F.lit(True).alias("known"))
-    w = Window.orderBy(F.col("name") != names.PLAINS, "name")
-    return rows.withColumn("id", F.row_number().over(w) - 1).select(
-        "id", "name", "grass", "foliage", "water", "overlay", "known"
+    rows = numbered(rows, [F.col("name") != names.PLAINS, F.col("name")], "id")
+    return rows.select(
+        F.col("id").cast("int").alias("id"), "name", "grass", "foliage", "water", "overlay", "known"
     )
 
 

@@ -68,8 +68,11 @@ class VersionedTable:
             stream.close()
         return Entry(version=n, **json.loads(text))
 
-    def _commit(self, kind: str, folder: str, token: str, schema: StructType, upto: int = -1) -> int:
-        """The version under which the entry became visible; that of a former try, if it did."""
+    def _commit(self, kind: str, folder: str, token: str, schema: StructType, upto: int = -1, after: int | None = None) -> int | None:
+        """The version under which the entry became visible; that of a former try, if it did.
+
+        With ``after``, only as the very next version; None where another writer was first.
+        """
         body = {"kind": kind, "folder": folder, "upto": upto, "token": token, "schema": schema.json()}
         draft = self._path(f"{self.root}/log/_{uuid.uuid4().hex}")
         out = self._files.create(draft, False)
@@ -84,6 +87,9 @@ class VersionedTable:
                 self._files.delete(draft, False)
                 return mine[0].version
             version = known[-1].version + 1 if known else 0
+            if after is not None and version != after + 1:
+                self._files.delete(draft, False)
+                return None
             if self._rename(draft, self._path(f"{self.root}/log/{version:020d}")):
                 return version
 
@@ -105,10 +111,10 @@ class VersionedTable:
 
     # ------------------------------------------------------------------ writing
 
-    def _write(self, rows: DataFrame, kind: str, token: str, upto: int = -1) -> int:
+    def _write(self, rows: DataFrame, kind: str, token: str, upto: int = -1, after: int | None = None) -> int | None:
         folder = f"data/{token.replace('/', '_')}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.root}/{folder}")
-        return self._commit(kind, folder, token, rows.schema, upto)
+        return self._commit(kind, folder, token, rows.schema, upto, after)
 
     def apply(self, batch: DataFrame, token: str) -> int:
         """Operations (``op``: ``upsert`` or ``delete``) as one version.

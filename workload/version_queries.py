@@ -1,15 +1,17 @@
-"""Ingest into stored and versioned tables, through streams (ids S6, T4, T5)."""
+"""Ingest into stored and versioned tables, through streams, and ids that stay (ids S6, T4, T5, J1, J2)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from voxelspark.shared import new_path
-from voxelspark.sources import versioned
+from voxelspark.sources import registry, versioned
 from voxelspark.streaming import jobs
 
 from . import views as fx
 from .change_queries import batches, current_areas
+from .grid_queries import _hexch, _tint_hex
+from .ingest_queries import known_palette
 from .views import define, oracle
 
 EPOCHS = 3
@@ -69,6 +71,25 @@ def q_snapshots(spark, sf):
     return every[0].unionByName(every[1]).unionByName(every[2])
 
 
+def q_biome_ids(spark, sf):
+    """Biomes registered in two runs, the second over all names; ids of the first stay."""
+    ids = registry.IdRegistry(spark, new_path(spark, "biomes"))
+    ids.adopt(fx.biomes(spark))
+    seen = fx.raw_names(spark, sf)
+    registry.registered_biomes(fx.biomes(spark), seen.filter("id % 3 = 1"), ids)
+    rows = registry.registered_biomes(fx.biomes(spark), seen, ids)
+    return rows.select("id", "name", "known", *[F.col(f"grass.{c}").alias(f"g_{c}") for c in "rgb"])
+
+
+def q_block_ids(spark, sf):
+    """Blocks registered in two runs over a palette without ids of its own, air first."""
+    ids = registry.IdRegistry(spark, new_path(spark, "blocks"), ("minecraft:air",))
+    palette, seen = known_palette(spark, sf), fx.raw_names(spark, sf)
+    registry.registered_blocks(palette.limit(0), seen.filter("id % 2 = 0"), ids)
+    rows = registry.registered_blocks(palette, seen, ids)
+    return rows.filter("id > 0").select("id", "name", "known", "water")
+
+
 define(
     "o_spelled",
     ("o_batches",),
@@ -83,7 +104,19 @@ _AT = lambda name, epoch: (
     f"SELECT id,dimension,name,'{name}' AS version FROM (SELECT *,row_number() OVER (PARTITION BY id ORDER BY epoch DESC,batch_id DESC,d DESC,seq DESC) AS rn FROM o_operations WHERE epoch<={epoch}) WHERE rn=1 AND op='upsert'"
 )
 
-QUERIES = {"s6_stored_rows": q_stored, "t5_upsert_stream": q_upserts, "t4_snapshot_stream": q_snapshots}
+define("o_first_biomes", ("o_keys",), "SELECT DISTINCT key AS name FROM o_keys WHERE id%3=1")
+define("o_first_blocks", ("o_keys",), "SELECT DISTINCT key AS name FROM o_keys WHERE id%2=0")
+
+
+def _numbers(known: str, first: str, start: str) -> str:
+    """Ids of the first run's fresh names, then of the others, by name after ``start``."""
+    fresh = f"(SELECT name FROM o_seen WHERE name NOT IN ({known}))"
+    return (
+        f"SELECT name,CAST({start}+row_number() OVER (ORDER BY name NOT IN (SELECT name FROM {first}),name) AS INTEGER) AS id FROM {fresh}"
+    )
+
+
+QUERIES = {"s6_stored_rows": q_stored, "t5_upsert_stream": q_upserts, "t4_snapshot_stream": q_snapshots, "j2_biome_ids": q_biome_ids, "j1_block_ids": q_block_ids}
 
 ORACLE = {
     "s6_stored_rows": oracle(
@@ -92,6 +125,15 @@ ORACLE = {
         "SELECT batch_id,seq,id,op,CASE WHEN accepted THEN dimension END AS dimension,accepted FROM o_spelled JOIN b USING (batch_id)",
     ),
     "t5_upsert_stream": oracle("o_operations", f"{_AT('latest', EPOCHS - 1)} UNION ALL {_AT('before', 1)}"),
+    "j2_biome_ids": oracle(
+        "o_seen o_first_biomes fx_biomes",
+        f", n AS ({_numbers('SELECT name FROM fx_biomes', 'o_first_biomes', '(SELECT max(id) FROM fx_biomes)')}), t AS (SELECT id,name,{_tint_hex(1).replace('key', 'name')} AS h FROM n) "
+        f"SELECT id,name,false AS known,{','.join(f'{_hexch(chr(104), at)} AS g_{c}' for c, at in zip('rgb', (2, 4, 6)))} FROM t UNION ALL SELECT CAST(id AS INTEGER),name,true,gr_r,gr_g,gr_b FROM fx_biomes",
+    ),
+    "j1_block_ids": oracle(
+        "o_seen o_known o_first_blocks",
+        f", n AS ({_numbers('SELECT NULL WHERE false', 'o_first_blocks', '0')}) SELECT n.id,name,k.id IS NOT NULL AS known,coalesce(k.id%4=0,false) AS water FROM n LEFT JOIN o_known k USING (name)",
+    ),
     "t4_snapshot_stream": oracle(
         "fx_positions",
         ", p AS (SELECT player,floor(epoch(ts)/86400) AS day,least(floor((day(ts)-1)/10.0),2) AS epoch,max(ts) AS ts FROM fx_positions GROUP BY 1,2,3), l AS (SELECT epoch,max(day) AS day FROM p GROUP BY 1) "

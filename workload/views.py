@@ -31,15 +31,10 @@ BLOCKS = (
 )
 
 # id, name, grass, foliage, water, overlay
-BIOMES = (
-    (0, "base:plains", (145, 189, 89), (119, 171, 47), (63, 118, 228), (141, 179, 96)),
-    (1, "base:forest", (121, 192, 90), (89, 174, 48), (63, 118, 228), (5, 102, 33)),
-    (2, "base:desert", (191, 183, 85), (174, 164, 42), (50, 165, 152), (250, 148, 24)),
-    (3, "base:taiga", (134, 183, 131), (104, 164, 100), (40, 112, 130), (11, 102, 89)),
-    (4, "base:swamp", (106, 112, 57), (106, 112, 57), (97, 123, 100), (7, 249, 178)),
-    (5, "base:jungle", (89, 201, 60), (48, 187, 11), (20, 162, 197), (83, 123, 9)),
-    (6, "base:savanna", (191, 183, 85), (174, 164, 42), (44, 139, 156), (189, 178, 95)),
-    (7, "base:ice_spikes", (128, 180, 151), (96, 161, 123), (57, 56, 201), (180, 220, 220)),
+# Invented colours: grass, foliage, water and overlay by number.
+BIOMES = tuple(
+    (n, f"base:{name}", (40 + n * 23, 90 + n * 17, 30 + n * 11), (30 + n * 19, 70 + n * 21, 20 + n * 13), (20 + n * 9, 60 + n * 12, 140 + n * 8), (10 + n * 29, 200 - n * 15, 90 + n * 16))
+    for n, name in enumerate(("plains", "forest", "desert", "taiga", "swamp", "jungle", "savanna", "ice_spikes"))
 )
 ORE_KIND = {7: 2, 8: 9, 9: 7, 10: 1}
 ORE_POINT = {7: 0, 8: 12, 9: 4, 10: 1}
