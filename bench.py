@@ -67,7 +67,10 @@ def main() -> None:
     for family, name, source in ((overlay_queries, "j7_claim_conflicts", areas), (overlay_queries, "l3_bounded_result", views), (change_queries, "w9_track_segments", marks), (asset_queries, "a12_mip_levels", areas)):
         queries[name] = (lambda run=family.QUERIES[name]: run(spark, SF), source)
     seconds, rate = {}, {}
+    only = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n]
     for name, (query, source) in queries.items():
+        if only and name not in only:
+            continue
         times = []
         for run in range(RUNS + 1):
             start = time.perf_counter()

@@ -163,20 +163,45 @@ def with_block_shape(voxels: DataFrame, palette: DataFrame) -> DataFrame:
     return voxels.join(shape, "block_id")
 
 
-def face_exposure(
-    slabs: DataFrame, palette: DataFrame, camera: str = iso.DEFAULT_CAMERA, also: dict[str, tuple] = {}
-) -> DataFrame:
-    """Visible faces of each slab voxel: hidden only by a known full-height occluder.
+def _column_words(slabs: DataFrame, palette: DataFrame, camera: str, extra: dict[str, Column] = {}, also: dict[str, tuple] = {}) -> DataFrame:
+    """One row per column and 64 elevations: its voxels (``_voxels``) and, as bits by elevation,
+    which of them are hidden on top (``_up``), on the left (``_left``) and on the right (``_right``).
 
-    Voxels outside a slab are unknown and hide nothing, as do partial blocks. ``also``
-    names further neighbour values to bring along in the same shuffle.
+    Only these rows are shuffled to blocks and sorted for the neighbours. ``extra`` adds
+    aggregates of a row's voxels, ``also`` values of neighbouring rows.
     """
     v = with_block_shape(slabs, palette)
+    carried = [c for c in v.columns if c not in ("dimension", "x", "z")]
+    bit = F.expr("shiftleft(1L, y & 63)")
+    rows = v.groupBy("dimension", "x", "z", F.shiftright("y", 6).alias("_part")).agg(
+        F.bit_or(F.when(F.col("hides"), bit).otherwise(0)).alias("_word"),
+        F.collect_list(F.struct(*carried)).alias("_voxels"),
+        *[c.alias(n) for n, c in extra.items()],
+    )
     (la, ls), (ra, rs) = iso.neighbour_step("b", camera), iso.neighbour_step("a", camera)
-    near = {"_up": ("y", 1, "hides"), "_left": (la, ls, "hides"), "_right": (ra, rs, "hides"), **also}
-    v = with_neighbours(v, near, axes=("x", "y", "z"), blocked=("x", "z"), block=64)
-    seen = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    v = v.withColumns({"top_face": seen("_up"), "left_face": seen("_left"), "right_face": seen("_right")})
+    near = {"_over": ("_part", 1, "_word"), "_left": (la, ls, "_word"), "_right": (ra, rs, "_word"), **also}
+    rows = with_neighbours(rows, near, axes=("x", "_part", "z"), blocked=("x", "z"), block=64)
+    return rows.withColumns(
+        {
+            "_up": F.expr("shiftrightunsigned(_word, 1) | shiftleft(coalesce(_over, 0L), 63)"),
+            "_left": F.coalesce("_left", F.lit(0).cast("long")),
+            "_right": F.coalesce("_right", F.lit(0).cast("long")),
+        }
+    ).drop("_word", "_over")
+
+
+def _seen(word: str, y: str = "y") -> Column:
+    return F.expr(f"(shiftrightunsigned({word}, {y} & 63) & 1L) = 0")
+
+
+def face_exposure(slabs: DataFrame, palette: DataFrame, camera: str = iso.DEFAULT_CAMERA) -> DataFrame:
+    """Visible faces of each slab voxel: hidden only by a known full-height occluder.
+
+    Voxels outside a slab are unknown and hide nothing, as do partial blocks.
+    """
+    rows = _column_words(slabs, palette, camera)
+    v = rows.select("dimension", "x", "z", "_up", "_left", "_right", F.explode("_voxels").alias("_v")).select("*", "_v.*").drop("_v")
+    v = v.withColumns({"top_face": _seen("_up"), "left_face": _seen("_left"), "right_face": _seen("_right")})
     return v.drop("_up", "_left", "_right")
 
 
@@ -204,23 +229,29 @@ def voxel_view(
     lies above the slice draw nothing; columns without a slab are drawn as height field.
     """
     ppu = 1 << (zoom - BASE_ZOOM)
-    above = {
-        "plant_id": ("y", 1, F.when(F.col("decoration"), F.col("block_id"))),
-        "plant_light": ("y", 1, "light"),
-    }
-    v = face_exposure(sliced(slabs, slice_y), palette, camera, above)
     cut = F.col("top_y") if slice_y is None else F.least(F.col("top_y"), F.lit(slice_y))
     # The plant on top of a column, if its top voxel is one, is painted on the voxel below.
-    planted = F.col("plant_id").isNotNull() & (F.col("y") + 1 == cut)
+    plant = F.when(F.col("decoration"), F.struct(F.col("block_id").alias("id"), F.col("light").alias("light")))
+    extra = {
+        "_crown": F.max(F.when(F.col("y") == cut, plant)),
+        "_foot": F.max(F.when((F.col("y") == cut) & (F.col("y").bitwiseAND(F.lit(63)) == 0), plant)),
+    }
+    rows = _column_words(sliced(slabs, slice_y), palette, camera, extra, {"_next": ("_part", 1, "_foot")})
+    v = rows.select("dimension", "x", "z", "_up", "_left", "_right", F.coalesce("_crown", "_next").alias("_crown"), F.explode("_voxels").alias("_v"))
+    v = v.select("*", "_v.*").drop("_v")
+    planted = F.col("_crown").isNotNull() & (F.col("y") + 1 == cut)
+    v = v.withColumns(
+        {"top_face": _seen("_up"), "left_face": _seen("_left"), "right_face": _seen("_right"), "_floor": F.col("top_y") - F.col("depth") + 1}
+    )
+    shown = ~F.col("decoration") & (F.col("top_face") | F.col("left_face") | F.col("right_face"))
+    v = v.withColumns({"_shown": shown, "_lowest": F.col("y") == F.col("_floor")}).filter(F.col("_shown") | F.col("_lowest"))
     v = v.withColumns(
         {
-            "_floor": F.col("top_y") - F.col("depth") + 1,
             "is_top": planted | (~F.col("decoration") & (F.col("y") == cut)),
-            "decoration_id": F.when(planted & F.col("top_face"), F.col("plant_id")),
-            "_shown": ~F.col("decoration") & (F.col("top_face") | F.col("left_face") | F.col("right_face")),
+            "decoration_id": F.when(planted & F.col("top_face"), F.col("_crown.id")),
+            "plant_light": F.when(planted, F.col("_crown.light")),
         }
-    ).withColumn("_lowest", F.col("y") == F.col("_floor"))
-    v = v.filter(F.col("_shown") | F.col("_lowest")).withColumnRenamed("light", "voxel_light")
+    ).drop("_crown", "_up", "_left", "_right", "biome_id").withColumnRenamed("light", "voxel_light")
 
     # Column facts: biome and water for colour, north and west for relief, walls for the skirt.
     on = ["dimension", "x", "z"]
