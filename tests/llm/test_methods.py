@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from voxelspark.llm import bpe, decontamination, exact_dedup, html_extraction, language_id, lm_scoring, pii, simhash_dedup, toxicity, url_filter
+from test_similarity import survivors
 from workload.compare import check, oracle_connection
 
 SF = "/root/testdata/sf0.001"
@@ -491,11 +492,6 @@ def test_pipeline_brute_force(spark, docs, texts, tmp_path):
     for i in sorted(lang):
         first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", texts[i]), i)
     kept = set(first.values())
-    fps = {i: brute_fingerprint(texts[i]) for i in kept}
-    root = classes(set(fps.values()), 2)
-    least = {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    kept = set(least.values())
+    kept = survivors([(i, texts[i]) for i in sorted(kept)])  # five-word shingles, similarity 0.8
     leaks = decontamination.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).select("doc_id").collect()
     assert got == kept - {r["doc_id"] for r in leaks}
