@@ -3,21 +3,22 @@
 Texts are split once, into blocks of one language: the block's distinct words with their counts,
 and its words as places in that list, 0 between pieces. Each length then takes one pass over the
 blocks. A stripe (language, prefix) holds next words and how often they follow; a task adds its
-blocks' stripes up before they travel, stripes of one prefix are merged elementwise as they come
-out of the sort, and entries below the least count go. From what stays come the extensions (an
-entry is the phrase of prefix and next word), the totals of prefixes and of the rests (both are
-entries of the length before, joined by key), and the subsumption maxima (the greatest entry of a
-stripe for extensions to the right, the greatest entry that ends alike for those to the left: a
-longer candidate as frequent as the phrase has one that is a single word longer).
+blocks' stripes up before they travel, in bundles of prefixes whose number follows the size of the
+corpus; the stripes of a bundle are merged elementwise, and entries below the least count go. From
+what stays come the extensions (an entry is the phrase of prefix and next word), the totals of
+prefixes and of the rests (both are entries of the length before, joined by key), and the
+subsumption maxima (the greatest entry of a stripe for extensions to the right, the greatest entry
+that ends alike for those to the left: a longer candidate as frequent as the phrase has one that is
+a single word longer).
 
 A part of a frequent phrase is as frequent, so a word sequence is only counted if its first and
 its last words, one fewer, are frequent. That is looked up in a bit table of 2**26 bits built by
 Spark; its errors let something be counted that then falls short, never the reverse.
 
 Words are known by 64-bit hashes until phrases are spelled again by joins; two of ten million
-words share one with a chance of about 10**-6. Stripes of prefixes that hold a ten-thousandth of
-all words (ten thousand at most) are cut into ``PARTS`` by next word; the empty prefix, whose
-counter is the vocabulary, is one row a word.
+words share one with a chance of about 10**-6. Stripes of prefixes that hold over a thousandth of
+all words (at most a thousand prefixes) are cut by next word, up to ``PARTS`` ways by their share;
+the empty prefix, whose counter is the vocabulary, is one row a word.
 
 Nulls: a null text counts as empty, a null language as ``und``; ids play no part. Repeated rows
 count as often as they stand. An empty table gives no row.
@@ -38,10 +39,11 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 BLOCK = 1 << 20  # bytes of text in a block, or one longer document
-HELD = 1 << 18  # stripe entries a task adds up before it passes them on
+HELD = 3 << 17  # stripe entries a task adds up before it passes them on
 PARTS = 64
+BUNDLE = 1 << 18  # words of the corpus per bundle of stripes: a bundle holds fewer distinct entries
 BITS = 26
-HOT = 10_000
+HOT = 1000
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # What ends a piece, and what separates words within one.
@@ -117,26 +119,27 @@ def _rolled(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.int64()), ("part", pa.int32()), ("first", pa.int64()), ("next", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64())), ("count", pa.list_(pa.int64()))])
+_STRIPES = pa.schema([("lang", pa.string()), ("bundle", pa.int32()), *[(c, pa.list_(pa.int64())) for c in ("prefix", "rest", "next")], ("count", pa.list_(pa.int32()))])
 
 
-def _stripes(n: int, bits, hot):
-    """Stripes of prefixes of ``n`` words. ``bits`` tells which runs of ``n`` may be frequent."""
+def _stripes(n: int, bits, hot, bundles: int):
+    """Stripes of prefixes of ``n`` words, each with the hash of the prefix without its first word,
+    bundled by prefix (hot ones by prefix and part). ``bits`` tells which runs of ``n`` may be
+    frequent; ``hot`` holds prefixes and their parts."""
 
-    def packed(lang, entries):
-        prefix, first, follow, suffix, count = entries
-        part = np.where(np.isin(prefix, hot.value), (mix(follow) % np.uint64(PARTS)).astype(np.int64), 0)
-        by = np.lexsort((part, prefix))
-        prefix, part = prefix[by], part[by]
-        new = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))
-        ends = np.append(new, len(prefix)).astype(np.int32)
-        for at in range(0, len(new), 2000):
-            rows = new[at : at + 2000]
-            span = slice(rows[0], ends[min(at + 2000, len(new))])
-            offsets = pa.array(ends[at : at + len(rows) + 1] - ends[at], pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[by][span].view(np.int64))) for c in (follow, suffix, count)]
-            flat = [pa.array([lang] * len(rows)), pa.array(prefix[rows].view(np.int64)), pa.array(part[rows], pa.int32()), pa.array(first[by][rows].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(flat + lists, schema=_STRIPES)
+    def packed(lang, prefix, rest, follow, count):
+        hashes, parts = hot.value
+        part = np.zeros(len(prefix), np.uint64)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, prefix), len(hashes) - 1)
+            part = mix(follow) % np.where(hashes[at] == prefix, parts[at], 1).astype(np.uint64)
+        bundle = (mix(prefix + part * _STEP) % np.uint64(bundles)).astype(np.int32)
+        by = np.argsort(bundle, kind="stable")  # prefixes stay in order inside
+        bundle = bundle[by]
+        new = np.flatnonzero(np.diff(bundle, prepend=-1))
+        offsets = pa.array(np.append(new, len(bundle)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (prefix[by].view(np.int64), rest[by].view(np.int64), follow[by].view(np.int64), count[by].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new)), pa.array(bundle[new]), *lists], schema=_STRIPES)
 
     def entries_of(lang, hashes, places):
         h = np.concatenate(([np.uint64(0)], hashes))[places]
@@ -149,8 +152,7 @@ def _stripes(n: int, bits, hot):
         slot = _slots(lang, runs)
         frequent = (known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
         at = np.flatnonzero(inside & (frequent[:-1] & frequent[1:]).astype(bool))
-        # The suffix of the longer run is the run one word on; it depends on (prefix, next) alone.
-        return runs[at], h[at], h[at + n], runs[at + 1]
+        return runs[at], _rolled(h, n - 1)[at + 1] if n > 1 else np.zeros(len(at), np.uint64), h[at + n]
 
     def run(batches):
         held: dict[str, list] = {}
@@ -169,89 +171,58 @@ def _stripes(n: int, bits, hot):
                     size = sum(len(k[0][0]) for k in held.values())
                     if size >= HELD // 2:
                         for key, (kept,) in held.items():
-                            yield from packed(key, kept)
+                            yield from packed(key, *kept)
                         held, size = {}, 0
         for key, kept in held.items():
-            yield from packed(key, _unify(*map(np.concatenate, zip(*kept))))
+            yield from packed(key, *_unify(*map(np.concatenate, zip(*kept))))
 
     return run
 
 
-def _unify(prefix, first, follow, suffix, count):
+def _unify(prefix, rest, follow, count):
+    """Equal (prefix, next word) entries as one, in the order of prefixes."""
     by = np.lexsort((follow, prefix))
     prefix, follow = prefix[by], follow[by]
     new = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (follow[1:] != follow[:-1]))))
-    return prefix[new], first[by][new], follow[new], suffix[by][new], np.add.reduceat(count[by], new)
+    return prefix[new], rest[by][new], follow[new], np.add.reduceat(count[by], new)
 
 
 _PHRASES = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("a", pa.int64())])
 
 
-def _merged(least: int):
-    """Stripes in the order of (lang, prefix, part), merged elementwise: entries of at least ``least``.
+def _merged(n: int, least: int):
+    """Bundles in order, their stripes merged elementwise: entries of at least ``least``."""
 
-    The last stripe of a batch waits for the next, as more rows of it may come.
-    """
-
-    def finish(lang, prefix, follow, suffix, count):
-        prefix, _, follow, suffix, count = _unify(prefix, prefix, follow, suffix, count)
+    def finish(lang, *entries):
+        prefix, rest, follow, count = _unify(*entries)
         stay = count >= least
-        prefix, follow, suffix, count = prefix[stay], follow[stay], suffix[stay], count[stay]
-        if len(prefix):
-            h = mix(prefix * _STEP + follow)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), *[pa.array(c.view(np.int64)) for c in (h, prefix, suffix, count)]], schema=_PHRASES)
+        if stay.any():
+            prefix, rest, follow, count = prefix[stay], rest[stay], follow[stay], count[stay]
+            suffix = mix(rest * _STEP + follow) if n > 1 else follow
+            columns = [c.view(np.int64) for c in (mix(prefix * _STEP + follow), prefix, suffix, count)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(prefix)), *map(pa.array, columns)], schema=_PHRASES)
 
     def run(batches):
-        last, open_ = None, []
+        last, held, size, most = None, [], 0, 2 * HELD
         for batch in batches:
-            langs = batch["lang"].to_pylist()
-            if not langs:
-                continue
-            keys = list(zip(langs, batch["prefix"].to_pylist(), batch["part"].to_pylist()))
-            sizes = np.diff(batch["next"].offsets.to_numpy())
-            columns = [np.repeat(batch["prefix"].to_numpy(), sizes), *[batch[c].flatten().to_numpy() for c in ("next", "suffix", "count")]]
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            if last is not None and keys[0] != last:
-                yield from finish(last[0], *map(np.concatenate, zip(*open_)))
-                open_ = []
-            # All complete stripes of one language together, then the open one.
-            start = 0
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                end = j == len(keys)
-                switch = end or langs[j] != langs[i]
-                if end and start < i:
-                    yield from finish(langs[start], *_joined(open_, columns, ends[start], ends[i]))
-                    open_, start = [], i
-                if end:
-                    open_.append(tuple(_typed(c[ends[start] : ends[j]]) for c in columns))
-                    if len(open_) > 64:
-                        open_ = [_again(open_)]
-                elif switch:
-                    yield from finish(langs[start], *_joined(open_, columns, ends[start], ends[j]))
-                    open_, start = [], j
-            last = keys[-1]
-        if last is not None and open_:
-            yield from finish(last[0], *map(np.concatenate, zip(*open_)))
+            for lang, bundle, *columns in zip(batch["lang"].to_pylist(), batch["bundle"].to_pylist(), *[batch[c] for c in ("prefix", "rest", "next", "count")]):
+                if (lang, bundle) != last and held:
+                    yield from finish(last[0], *map(np.concatenate, zip(*held)))
+                    held, size, most = [], 0, 2 * HELD
+                last = (lang, bundle)
+                prefix, rest, follow, count = (c.values.to_numpy() for c in columns)
+                held.append((prefix.view(np.uint64), rest.view(np.uint64), follow.view(np.uint64), count.astype(np.int64)))
+                size += len(prefix)
+                if size > most:  # elementwise so far, so that a bundle is held once, not once a task
+                    held = [_unify(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    most = max(2 * HELD, 2 * size)
+        if held:
+            yield from finish(last[0], *map(np.concatenate, zip(*held)))
 
     return run
 
 
-def _typed(c: np.ndarray) -> np.ndarray:
-    return c.view(np.uint64)
-
-
-def _joined(open_, columns, a, b):
-    new = tuple(_typed(c[a:b]) for c in columns)
-    return tuple(np.concatenate(c) for c in zip(*open_, new))
-
-
-def _again(open_):
-    prefix, follow, suffix, count = map(np.concatenate, zip(*open_))
-    prefix, _, follow, suffix, count = _unify(prefix, prefix, follow, suffix, count)
-    return prefix, follow, suffix, count
-
-
 # ---------------------------------------------------------------------- lengths
 
 
@@ -276,9 +247,13 @@ def _bits(spark: SparkSession, phrases: DataFrame):
 
 
 def _hot(spark: SparkSession, phrases: DataFrame, n: int):
-    """Prefixes with a ten-thousandth of all words: at most ``HOT`` by their count alone."""
-    found = phrases.where(F.col("a") >= max(1, -(-n // HOT))).select("h").distinct().toArrow()
-    return spark.sparkContext.broadcast(np.sort(found["h"].to_numpy().view(np.uint64)))
+    """Prefixes with over a ``HOT``-th of all words (fewer than ``HOT`` of them a length, by their
+    counts alone) and the parts of their stripes, which follow that share."""
+    found = phrases.where(F.col("a") * HOT > n).groupBy("h").agg(F.sum("a").alias("a")).orderBy("h").toArrow()
+    h = found["h"].to_numpy().view(np.uint64)
+    by = np.argsort(h)
+    parts = np.minimum(PARTS, found["a"].to_numpy() * HOT // max(1, n) + 1)
+    return spark.sparkContext.broadcast((h[by], parts[by]))
 
 
 def phrases(cut_texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
@@ -296,12 +271,13 @@ def phrases(cut_texts: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     nothing = F.lit(None).cast("long")
     first = words.where(F.col("a") >= least).select("lang", "h", nothing.alias("prefix"), nothing.alias("suffix"), "a", F.array("word").alias("words"), F.array("a").alias("heads"), F.array("a").alias("tails"))
     out = [written(first)]
-    stripe = "lang string, prefix long, part int, first long, next array<long>, suffix array<long>, count array<long>"
+    stripe = "lang string, bundle int, prefix array<long>, rest array<long>, next array<long>, count array<int>"
+    bundles = max(PARTS, total // BUNDLE)
     for size in range(1, longest):
         known = out[-1]
-        stripes = cut_texts.select("lang", "hashes", "places").mapInArrow(_stripes(size, _bits(spark, known), _hot(spark, known, total)), stripe)
-        ordered = stripes.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
-        found = ordered.mapInArrow(_merged(least), "lang string, h long, prefix long, suffix long, a long")
+        stripes = cut_texts.select("lang", "hashes", "places").mapInArrow(_stripes(size, _bits(spark, known), _hot(spark, known, total), bundles), stripe)
+        ordered = stripes.repartition("lang", "bundle").sortWithinPartitions("lang", "bundle")
+        found = ordered.mapInArrow(_merged(size, least), "lang string, h long, prefix long, suffix long, a long")
         head = known.select("lang", F.col("h").alias("prefix"), "words", "heads")
         tail = known.select("lang", F.col("h").alias("suffix"), F.element_at("words", -1).alias("word"), "tails")
         joined = found.join(head, ["lang", "prefix"]).join(tail, ["lang", "suffix"])
