@@ -13,18 +13,17 @@ from .views import define, oracle
 
 
 def world(spark, sf):
-    """A fresh world of region files; its one dimension lies in a namespaced folder."""
+    """A fresh world of region files, a folder for each dimension."""
     path = new_path(spark, "world")
-    region_writer.write_world(fx.voxels(spark, sf).withColumn("dimension", F.lit(fx.DIM)), fx.palette(spark), path)
+    region_writer.write_world(fx.voxels(spark, sf), fx.palette(spark), path)
     return path
 
 
-def folder() -> str:
-    return f"{fx.DIM.replace(':', '/')}/region"
+DIRECTORIES = {f"{d}/region": d for d in (fx.DIM, "view")}
 
 
 def scan(spark, sf, content="chunks", **options):
-    return region_source.read_world(spark, world(spark, sf), content, {folder(): fx.DIM}, **options)
+    return region_source.read_world(spark, world(spark, sf), content, DIRECTORIES, **options)
 
 
 def q_listed(spark, sf):

@@ -101,7 +101,7 @@ def old_document(v: pd.DataFrame, version: int = 2230) -> bytes:
         cube = np.zeros((16, 16, 16), np.int64)
         cube[part["y"] % 16, part["z"] % 16, part["x"] % 16] = part["name"].map(at)
         block, sky = _lights(int(sy))
-        sections.append({"Y": int(sy), "Palette": [{"Name": n} for n in names], "BlockStates": pack(cube.reshape(-1), len(names), crossing=True), "BlockLight": nibbles(block), "SkyLight": nibbles(sky)})
+        sections.append({"Y": int(sy), "Palette": [{"Name": n} for n in names], "BlockStates": pack(cube.reshape(-1), len(names), 1, crossing=True), "BlockLight": nibbles(block), "SkyLight": nibbles(sky)})
     z, x = np.indices((16, 16))
     biomes = np.where((x + z) % 3 == 0, 6, 1).astype(np.uint8).tobytes()
     return document({"DataVersion": version, "Level": {"Status": "full", "Biomes": biomes, "Sections": sections}})
