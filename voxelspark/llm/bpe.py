@@ -9,11 +9,8 @@ map-side join where the vocabulary file bounds the table (about 50,000 pieces).
 
 Shuffled are the word lists of blocks, their ids, and the blocks' places; never a row a word.
 A block holds ``BLOCK`` bytes of text, or one longer document. The number of encoding buckets
-follows the session's shuffle partitions.
-
-The documents are read twice, for the lists and for the places, and must come in the same order
-both times, as from files; documents out of a shuffle are to be written first (if blocks differ,
-that is an error, never a wrong row).
+follows the session's shuffle partitions. The texts are read and split once: places travel
+beside the lists and pass the encoding untouched.
 
 Nulls: a null text counts as empty and has no ids. Repeated rows are encoded as they stand.
 """
@@ -107,32 +104,49 @@ def _unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _blocks(path: str, buckets: int, limit: int, lists: bool):
-    """Blocks of whole documents. Either the places of their words (bucket -1), or their lists of
-    distinct words, one row a bucket. A block is named after its documents, so both passes over
-    the input, and a task that runs again, name it alike."""
-    fields = [("block", pa.binary()), ("bucket", pa.int32()), ("data", pa.binary()), ("head", pa.binary())]
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: small numbers pack well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers_of(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _blocks(path: str, buckets: int, limit: int):
+    """Blocks of whole documents: one row with the places of their words (``places``), and their
+    lists of distinct words, one row a bucket. A block is named after its documents, so that a
+    task that runs again names it alike; frequent words have small numbers."""
+    fields = [("block", pa.binary()), ("places", pa.bool_()), ("bucket", pa.int32()), ("data", pa.binary()), ("head", pa.binary())]
 
     def cut(docs: list, texts: list[str]) -> list[tuple]:
         split, number = _splitter(path), {}
         add = number.setdefault
-        places = [np.array([add(w, len(number)) for w in split(t)], np.uint32) for t in texts]
+        ends, every = [], []
+        for t in texts:
+            found = np.array([add(w, len(number)) for w in split(t)], np.uint32)
+            ends.append(len(found))
+            every.append(found)
+        places = np.concatenate(every)
         words = [w.encode("utf-8", "surrogatepass") for w in number]
+        rank = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
+        words = [words[i] for i in rank.tolist()]
+        renamed = np.empty(len(words), np.uint32)
+        renamed[rank] = np.arange(len(words), dtype=np.uint32)
         name = hashlib.blake2b(json.dumps(docs).encode(), digest_size=16)
         for t in texts:
             name.update(t.encode("utf-8", "surrogatepass") + b"\xff")
-        owner = np.array([zlib.crc32(w) % buckets for w in words], np.uint16)
-        if not lists:
-            head = json.dumps([len(words), docs]).encode()
-            ends = np.array([len(p) for p in places], np.uint32)
-            return [(name.digest(), -1, _pack(ends.tobytes(), owner.tobytes(), *(p.tobytes() for p in places)), head)]
+        name = name.digest()
+        owner = np.array([zlib.crc32(w) % buckets for w in words], np.uint32)
+        head = json.dumps([len(words), docs]).encode()
+        at = int.from_bytes(name[:4], "little") % buckets
+        rows = [(name, True, at, _pack(_planes(np.array(ends, np.uint32)), _planes(owner), _planes(renamed[places])), head)]
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(buckets + 1))
-        rows = []
         for k in np.flatnonzero(np.diff(cuts)):
             own = [words[i] for i in order[cuts[k] : cuts[k + 1]].tolist()]
             sizes = np.array([len(w) for w in own], np.uint32).tobytes()
-            rows.append((name.digest(), int(k), _pack(sizes, *own), len(own).to_bytes(4, "little")))
+            rows.append((name, False, int(k), _pack(sizes, *own), len(own).to_bytes(4, "little")))
         return rows
 
     def run(batches):
@@ -146,13 +160,17 @@ def _blocks(path: str, buckets: int, limit: int, lists: bool):
 
 
 def _encoded(path: str):
-    """One bucket: every distinct word of all its lists encoded once, ids back list by list."""
+    """One bucket: every distinct word of all its lists encoded once, ids back list by list.
+    Rows of places pass as they are."""
 
     def run(frames):
         known: dict[bytes, bytes] = {}
         for pdf in frames:
             out = []
-            for blob, count in zip(pdf.data, pdf["head"]):
+            for blob, count, places in zip(pdf.data, pdf["head"], pdf.places):
+                if places:
+                    out.append(blob)
+                    continue
                 n = int.from_bytes(count, "little")
                 raw = _unpack(blob)
                 edges = np.concatenate(([0], np.cumsum(np.frombuffer(raw[: 4 * n], np.uint32), dtype=np.int64))) + 4 * n
@@ -162,7 +180,7 @@ def _encoded(path: str):
                     known[w] = np.array(ids, "<u2" if len(pieces(path)) <= 65536 else "<u4").tobytes()
                 found = [known[w] for w in words]
                 out.append(_pack(np.array([len(f) for f in found], np.uint32).tobytes(), *found))
-            yield pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "data": out, "head": pdf["head"]})
+            yield pdf.assign(data=out)
 
     return run
 
@@ -172,18 +190,18 @@ def _assembled(path: str, finish, names: list[str]):
     width = 2 if len(pieces(path)) <= 65536 else 4
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = pdf[pdf.bucket >= 0].drop_duplicates("bucket").sort_values("bucket")
+        lists = pdf[~pdf.places].drop_duplicates("bucket").sort_values("bucket")
         rows: list[tuple] = []
         listed = sum(int.from_bytes(count, "little") for count in lists["head"])
-        if not (pdf.bucket == -1).any() or any(json.loads(h)[0] != listed for h in pdf.loc[pdf.bucket == -1, "head"]):
-            raise ValueError("two readings of the documents differ in their blocks; write the documents first")
         # Blocks of one name hold the same documents, repeated; each copy has its own rows.
-        for blob, head in pdf.loc[pdf.bucket == -1, ["data", "head"]].itertuples(index=False):
+        for blob, head in pdf.loc[pdf.places, ["data", "head"]].itertuples(index=False):
             words, docs = json.loads(head)
+            if words != listed:
+                raise ValueError("a block lacks words of its own")
             raw = _unpack(blob)
-            at = 4 * len(docs) + 2 * words
-            ends, places = np.frombuffer(raw[: 4 * len(docs)], np.uint32), np.frombuffer(raw[at:], np.uint32)
-            order = np.argsort(np.frombuffer(raw[4 * len(docs) : at], np.uint16), kind="stable").tolist()
+            a, b = 4 * len(docs), 4 * (len(docs) + words)
+            ends, places = _numbers_of(raw[:a]), _numbers_of(raw[b:])
+            order = np.argsort(_numbers_of(raw[a:b]), kind="stable").tolist()
             ids_of: list = [b""] * words
             seen = 0
             for got, count in lists[["data", "head"]].itertuples(index=False):
@@ -206,12 +224,10 @@ def _assembled(path: str, finish, names: list[str]):
 def assemble(docs: DataFrame, finish, columns: str, path: str | None = None, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: ``doc_id`` and what ``finish`` makes of its array of ids."""
     path = path or vocabulary()
-    n = min(2048, buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = "block binary, bucket int, data binary, head binary"
+    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "block binary, places boolean, bucket int, data binary, head binary"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lists = docs.mapInArrow(_blocks(path, n, block, True), schema)
-    ids = lists.repartition("bucket").mapInPandas(_encoded(path), schema)
-    both = docs.mapInArrow(_blocks(path, n, block, False), schema).union(ids)
+    both = docs.mapInArrow(_blocks(path, n, block), schema).repartition("bucket").mapInPandas(_encoded(path), schema)
     names = [c.split()[0] for c in columns.split(", ")]
     return both.groupBy("block").applyInPandas(_assembled(path, finish, names), f"doc_id long, {columns}")
 
@@ -229,14 +245,17 @@ def piece_table(spark, path: str | None = None) -> DataFrame:
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``text`` of rows (doc_id, ids): the ids joined with the id-to-piece table.
 
-    Unknown ids are left out; bytes that are no UTF-8 become the replacement character.
+    Rows are told apart by a digest of their ids besides ``doc_id``, so rows that repeat an id keep
+    their own pieces. Unknown ids are left out; bytes that are no UTF-8 become the replacement
+    character.
     """
     spark = encoded.sparkSession
-    rows = encoded.select("doc_id", F.posexplode("ids").alias("place", "id")).join(piece_table(spark, path), "id")
-    joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))
+    named = encoded.select("doc_id", "ids", F.sha2(F.array_join("ids", ",", "?"), 256).alias("row"))
+    rows = named.dropDuplicates(["row"]).select("row", F.posexplode("ids").alias("place", "id")).join(piece_table(spark, path), "id")
+    joined = rows.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))
     text = F.decode(F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), "")), "UTF-8")
-    out = joined.select("doc_id", text.alias("text"))
-    return encoded.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = joined.select("row", text.alias("text"))
+    return named.select("doc_id", "row").join(out, "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def digests(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
