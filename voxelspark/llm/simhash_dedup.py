@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.common import chunks, encoded, hashed_batches, mix, written
@@ -197,6 +197,10 @@ def near_groups(docs: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFr
 # Beyond a few bits the fingerprints tell too little: sets of ``STAGE_SHINGLE``-word shingles with a
 # similarity of 0.8 differ in 15 % of the bits. So ``WIDTH`` fingerprints make segments of 16 bits,
 # each indexed with one wildcard as above, and what meets there is held against the shingles.
+#
+# Two rounds keep the pairs linear in a group of copies without losing a link. The first checks the
+# ``NEAREST`` neighbours of each node over all its keys, which joins such a group. The second meets
+# under the keys again, and checks every pair whose ends are still in different components.
 
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
@@ -254,31 +258,38 @@ def _shingled(words: int, width: int, sets: bool):
     return run
 
 
-def _neighbours(width: int, bits: int, limit: int, nearest: int):
-    """Rows sorted by key and fingerprints -> pairs (a, b) of nodes within ``bits``.
+def _neighbours(width: int, bits: int, limit: int, nearest: int, rooted: bool):
+    """Rows sorted by key and fingerprints -> pairs (a, b) of nodes within ``bits``, and their bits.
 
     Every row is compared with the ``limit`` rows after it under its key. A pair counts under the
-    first key that it shares, and every row gives the ``nearest`` of its pairs there, so that a
-    large group gives as many rows as it has members, not their square.
+    first key that it shares. Without roots every row gives the ``nearest`` of its pairs there;
+    with them it gives all pairs of different roots.
     """
+    names = ["a", "b", "distance"]
+
+    def pairs(a, b, distance):
+        ends = np.unique(np.concatenate([np.sort(np.stack([a, b]), axis=0), distance[None].astype(np.int64)]), axis=1)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(e)) for e in ends[:2]), pa.array(ends[2].astype(np.int32))], names)
 
     def run(batches):
-        key, fps = np.zeros(0, np.int32), np.zeros((0, width), np.uint64)
+        key, fps, root = np.zeros(0, np.int32), np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
         for b in batches:
             key = np.concatenate([key, b["key"].to_numpy()])
             fps = np.concatenate([fps, np.stack([b[f"g{k}"].to_numpy().view(np.uint64) for k in range(width)], axis=1)])
+            if rooted:
+                root = np.concatenate([root, b["root"].to_numpy()])
             if len(key) < 1 << 16:
                 continue
             last = int(np.searchsorted(key, key[-1]))
             if not last and len(key) >= 8 * limit:  # a hot key need not be held
-                yield from inside(key, fps)
+                yield from inside(key, fps, root)
                 last = len(key) - limit
             else:
-                yield from inside(key[:last], fps[:last])
-            key, fps = key[last:], fps[last:]
-        yield from inside(key, fps)
+                yield from inside(key[:last], fps[:last], root[:last])
+            key, fps, root = key[last:], fps[last:], root[last:]
+        yield from inside(key, fps, root)
 
-    def inside(key, fps):
+    def inside(key, fps, root):
         if len(key) < 2:
             return
         segment, wild = key >> 20, (key >> 16) & 15
@@ -288,11 +299,12 @@ def _neighbours(width: int, bits: int, limit: int, nearest: int):
             own[np.arange(len(key)), (word + 1 + k) % width] = fps[:, k]
         far = np.full((len(key), nearest), bits + 1, np.int16)
         who = np.zeros((len(key), nearest), np.int64)
+        node = _nodes(own)
         left, step = np.flatnonzero(key[:-1] == key[1:]), 1
         while len(left):
             differ = own[left] ^ own[left + step]
             distance = np.bitwise_count(differ).sum(axis=1, dtype=np.int16)
-            near = np.flatnonzero(distance <= bits)
+            near = np.flatnonzero((distance <= bits) & (root[left] != root[left + step]) if rooted else distance <= bits)
             if len(near):
                 i, d = left[near], distance[near]
                 parts = np.ascontiguousarray(differ[near]).view("<u2")
@@ -301,7 +313,9 @@ def _neighbours(width: int, bits: int, limit: int, nearest: int):
                 there = parts[np.arange(len(i)), at]
                 first = (at == segment[i]) & np.where(there == 0, wild[i] == 0, there == 1 << wild[i])
                 i, d = i[first], d[first]
-                for a, b in ((i, i + step), (i + step, i)):
+                if rooted and len(i):
+                    yield pairs(node[i], node[i + step], d)
+                for a, b in () if rooted else ((i, i + step), (i + step, i)):
                     worst = far[a].argmax(axis=1)
                     nearer = d < far[a, worst]
                     far[a[nearer], worst[nearer]], who[a[nearer], worst[nearer]] = d[nearer], b[nearer]
@@ -312,28 +326,35 @@ def _neighbours(width: int, bits: int, limit: int, nearest: int):
             left = left[key[left] == key[left + step]]
         a, slot = np.nonzero(far <= bits)
         if len(a):
-            node = _nodes(own)
-            ends = np.sort(np.stack([node[a], node[who[a, slot]]]), axis=0)
-            ends = np.unique(ends, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[1])), pa.array(np.ascontiguousarray(ends[0]))], ["a", "b"])
+            yield pairs(node[a], node[who[a, slot]], far[a, slot])
 
     return run
 
 
 def candidates(distinct: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, limit: int = LIMIT, nearest: int = NEAREST) -> DataFrame:
-    """Pairs (a, b) of nodes of the distinct fingerprints ``f0``, ``f1``... that may be similar."""
+    """Pairs (a, b) of nodes of the distinct fingerprints ``f0``, ``f1``... that may be similar, and
+    their differing bits: the nearest under each key, or, where the rows have a ``root``, all
+    between different roots."""
+    rooted = ["root"] if "root" in distinct.columns else []
     chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of a bit to differ, at most
     bits = int(64 * width * chance + 4 * np.sqrt(64 * width * chance * (1 - chance)))
     # Each word of 64 bits comes last in a row of its own: large keys are sorted by the other words.
-    turns = [F.struct(F.lit(w).alias("w"), *(F.col(f"f{(w + 1 + k) % width}").alias(f"g{k}") for k in range(width))) for w in range(width)]
+    turns = [F.struct(F.lit(w).alias("w"), *(F.col(f"f{(w + 1 + k) % width}").alias(f"g{k}") for k in range(width)), *rooted) for w in range(width)]
     turned = distinct.select(F.explode(F.array(*turns)).alias("t")).select("t.*")
     keys = []
     for q in range(4):
         part = F.shiftrightunsigned(F.col(f"g{width - 1}"), 16 * q).bitwiseAND(F.lit(0xFFFF)).cast("int")
         keys += [(F.col("w") * (4 << 20) + F.lit(q << 20 | at << 16)).bitwiseOR(part.bitwiseAND(F.lit(0xFFFF - (1 << at)))) for at in range(16)]
     names = [f"g{k}" for k in range(width)]
-    keyed = turned.select(F.explode(F.array(*keys)).alias("key"), *names)
-    return keyed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(_neighbours(width, bits, limit, nearest), "a long, b long")
+    keyed = turned.select(F.explode(F.array(*keys)).alias("key"), *names, *rooted)
+    return keyed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(_neighbours(width, bits, limit, nearest, bool(rooted)), "a long, b long, distance int")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least ``similarity``."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    return counted.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, width: int = WIDTH, limit: int = LIMIT, nearest: int = NEAREST) -> DataFrame:
@@ -343,14 +364,19 @@ def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
     schema = f"doc_id {kind}, node long, " + ", ".join(f"{c} long" for c in longs)
     found = written(docs.select("doc_id", "text").mapInArrow(_shingled(shingle, width, False), schema))
     first = written(found.groupBy("node", *longs).agg(F.min("doc_id").alias("first")))
-    pairs = written(candidates(first.select(*longs), similarity, width, limit, nearest))
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    met = candidates(first.select(*longs), similarity, width, limit, nearest)
+    ends = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), "distance").select("e.*", "distance")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
+    near = ends.withColumn("rank", rank).where(F.col("rank") <= nearest)
+    tried = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Whatever has a pair in the second round has its nearest in the first, so these sets serve both.
+    nodes = written(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = docs.select("text").mapInArrow(_shingled(shingle, width, True), "node long, shingles array<long>")
     sets = written(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    close = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("n")).where(F.col("i") / (F.col("n") - F.col("i")) >= similarity)
-    root = components(close.select("a", "b"))
+    links = written(_close(tried, sets, similarity))
+    joined = first.join(components(links), "node", "left").select(*longs, F.coalesce("root", "node").alias("root"))
+    rest = candidates(written(joined), similarity, width, 8 * limit, nearest).select("a", "b").join(tried, ["a", "b"], "left_anti").distinct()
+    root = components(written(links.unionByName(_close(written(rest), sets, similarity))))
     named = written(first.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return found.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
