@@ -374,7 +374,7 @@ def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
     sets = docs.select("text").mapInArrow(_shingled(shingle, width, True), "node long, shingles array<long>")
     sets = written(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
     links = written(_close(tried, sets, similarity))
-    joined = first.join(components(links), "node", "left").select(*longs, F.coalesce("root", "node").alias("root"))
+    joined = first.join(nodes, "node", "left_semi").join(components(links), "node", "left").select(*longs, F.coalesce("root", "node").alias("root"))
     rest = candidates(written(joined), similarity, width, 8 * limit, nearest).select("a", "b").join(tried, ["a", "b"], "left_anti").distinct()
     root = components(written(links.unionByName(_close(written(rest), sets, similarity))))
     named = written(first.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
