@@ -79,3 +79,14 @@ def test_packs_layer_and_missing_ones_are_skipped(spark, tmp_path):
     files = assets.read_packs(spark, [str(tmp_path / n) for n in ("a", "gone", "b")])
     got = {r.asset: bytes(r.content) for r in assets.effective_assets(files).collect()}
     assert got == {"m/x.json": b"2", "m/y.json": b"1"}
+
+
+def test_bounded_reads_its_rows_once(spark):
+    """Keys below, at and beyond the limit; one exchange, so the rows are evaluated once."""
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 2), ("b", 3), ("c", 9)) for i in range(n)], "k string, i int")
+    got = overlay.bounded(rows.repartition(4), ["k"], ["i"], 3)
+    flags = {(r["k"], r["truncated"]): r["n"] for r in got.groupBy("k", "truncated").agg(F.count("*").alias("n")).collect()}
+    assert flags == {("a", False): 2, ("b", False): 3, ("c", True): 3}
+    plan = overlay.bounded(rows, ["k"], ["i"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan and "Join" not in plan
+    assert overlay.bounded(rows, ["k"], ["i"], 0).count() == 0

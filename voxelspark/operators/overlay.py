@@ -91,13 +91,15 @@ def players_in_views(views: DataFrame, players: DataFrame) -> DataFrame:
 def bounded(rows: DataFrame, keys: list[str], order: list, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The first ``limit`` rows per key with a flag telling whether more existed.
 
-    The rank is computed with Spark's group-limit pushdown, so a hot key is cut
-    inside each task before the shuffle.
+    One row beyond the limit is kept to tell, so ``rows`` is evaluated once. The rank is
+    computed with Spark's group-limit pushdown: a hot key is cut inside each task before
+    the shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
-    sizes = rows.groupBy(*keys).agg((F.count("*") > limit).alias("truncated"))
-    return first.drop("_n").join(sizes, keys)
+    w = Window.partitionBy(*keys)
+    first = rows.withColumn("_n", F.row_number().over(w.orderBy(*order))).filter(F.col("_n") <= limit + 1)
+    flagged = first.withColumn("truncated", F.max("_n").over(w) > limit).filter(F.col("_n") <= limit)
+    others = [c for c in rows.columns if c not in keys]
+    return flagged.select(*keys, *others, "truncated")
 
 
 def area_chunk_rows(areas: DataFrame, members: DataFrame) -> DataFrame:
