@@ -2,7 +2,8 @@
 
 Every letter has a random vector of +1 and -1. A trigram is bound from its letters' vectors,
 permuted by place and multiplied; a document is the bundle (sum) of its trigrams, and a
-language's prototype the bundle of its documents, each with the same weight. The language of
+language's prototype the sum of its documents' bundles, each brought to the same length first, so
+that short and very long documents weigh the same. The language of
 the nearest prototype by cosine is predicted; the score is that cosine, at least 0.
 
 Letters outside a-z share 37 vectors by a hash of the code point, so the trigrams' codes are
@@ -92,12 +93,15 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, held_out: int = 5) -> d
                     continue
                 used, place = _columns(codes)
                 names, which = np.unique(langs[part].astype(str), return_inverse=True)
-                sizes = np.diff(first)
-                weight = np.repeat(np.rint(WEIGHT / np.maximum(sizes, 1)), sizes)
-                counts = np.bincount(np.repeat(which, sizes) * len(used) + place, weight, len(names) * len(used))
-                found = counts.reshape(len(names), -1) @ trigram_vectors(used, dimensions).astype(np.float64)
-                for name, v in zip(names, found):
-                    sums[name] = sums.get(name, 0) + v
+                vectors = trigram_vectors(used, dimensions).astype(np.float64)
+                for at in range(0, len(first) - 1, 256):
+                    bounds = first[at : at + 257]
+                    counts = np.array([np.bincount(place[x:y], minlength=len(used)) for x, y in zip(bounds, bounds[1:])], float)
+                    # Whole numbers below 2**53 have exact products and sums, in any order.
+                    bundle = counts @ vectors
+                    unit = bundle / np.maximum(np.sqrt((bundle * bundle).sum(axis=1, keepdims=True)), 1e-9)
+                    for k, v in zip(which[at : at + 256].tolist(), np.rint(WEIGHT * unit)):
+                        sums[names[k]] = sums.get(names[k], 0) + v
         if sums:
             rows = [list(sums), [v.astype(np.int64).tolist() for v in sums.values()]]
             yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1], pa.list_(pa.int64()))], ["lang", "v"])
