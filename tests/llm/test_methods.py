@@ -495,3 +495,37 @@ def test_pipeline_brute_force(spark, docs, texts, tmp_path):
     kept = survivors([(i, texts[i]) for i in sorted(kept)])  # five-word shingles, similarity 0.8
     leaks = decontamination.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).select("doc_id").collect()
     assert got == kept - {r["doc_id"] for r in leaks}
+
+
+def test_training_grows_and_averages(spark, docs, monkeypatch):
+    """Replicas in tasks of their own: one network comes out, near the one of a single replica."""
+    counted = lm_scoring.counts(docs)
+    lex, total = lm_scoring.lexicon(counted, 300), sum(r["c"] for r in counted.collect())
+    opens = np.ones(lm_scoring.SHAPES + 1)
+    monkeypatch.setattr(lm_scoring, "AVERAGED", 2)
+    start = lm_scoring.Network(lex.closed, lm_scoring.CLASSES, lex.share, opens)
+    one, many = (lm_scoring.Network.loaded(lm_scoring.train(docs, lex, opens, total, share=0.5, replica=r)) for r in (10**9, total // 30))
+    assert all(np.abs(many.p[k] - start.p[k]).max() > 0 for k in ("E", "U", "C", "W"))
+    rng = np.random.default_rng(1)
+    tokens, first = rng.integers(0, start.ids, 500), np.array([0, 500])
+    assert np.isfinite([n.score(tokens, first)[0] for n in (one, many)]).all()
+
+
+def test_averaged_networks_weigh_by_tokens():
+    import pandas as pd
+
+    nets = [lm_scoring.Network(6, 2, np.ones(6), hidden=4, seed=s) for s in (1, 2)]
+    rows = pd.DataFrame({"id": [1, 0], "weight": [3, 1], "net": [n.dumped() for n in nets]})
+    out = lm_scoring.Network.loaded(lm_scoring._averaged((0,), rows)["net"][0])
+    for k in out.p:
+        assert np.allclose(out.p[k], 0.75 * nets[0].p[k] + 0.25 * nets[1].p[k], atol=1e-6)
+
+
+def test_language_of_documents_beyond_two_million_trigrams(spark):
+    long = "ein langer text mit vielen worten und noch mehr davon " * 45_000
+    rows = [(i, t, n) for i, (t, n) in enumerate([(long, "de"), ("the quick brown fox and the other dogs", "en")] * 4)]
+    docs = spark.createDataFrame([(i, t, n) for i, t, n in rows], "doc_id long, text string, lang string")
+    learned = language_id.learn(docs)
+    assert set(learned) == {"de", "en"} and all(np.linalg.norm(v) == pytest.approx(1) for v in learned.values())
+    langs, scores = language_id.predict(["mit vielen worten und noch mehr", "the brown dogs"], learned)
+    assert langs == ["de", "en"] and (scores > 0.3).all()

@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -41,6 +42,7 @@ BLOCK = frozenset(
 RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg")
 # Elements whose start ends an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADS = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
@@ -92,16 +94,18 @@ def parse(page: str):
     """Nodes in order of their starts (parents before children), and the pieces (node, text) of
     visible text; None marks a block's end."""
     nodes, pieces, stack = [Node("root", -1, "")], [], [0]
-    at, silent = 0, 0
+    at, silent, opened = 0, 0, Counter()
 
     def say(text: str):
         if text and not silent:
-            pieces.append((stack[-1], text))
+            # References end with the piece: markup inside one keeps it from being one.
+            pieces.append((stack[-1], entities.unescape(text)))
 
     def close(k: int):
         nonlocal silent
         for i in stack[k:]:
             silent -= nodes[i].tag in SILENT or nodes[i].hidden
+            opened[nodes[i].tag] -= 1
         if any(nodes[i].tag in BLOCK for i in stack[k:]):
             pieces.append(None)
         del stack[k:]
@@ -113,20 +117,21 @@ def parse(page: str):
         if not name:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    close(k)
-                    break
-            else:
-                if name in BLOCK:
-                    pieces.append(None)
+            # Looking is paid for by what closes; an end without an open element looks nowhere.
+            if opened[name]:
+                k = len(stack) - 1
+                while nodes[stack[k]].tag != name:
+                    k -= 1
+                close(k)
+            elif name in BLOCK:
+                pieces.append(None)
             continue
         if name in BLOCK:
             pieces.append(None)
             if nodes[stack[-1]].tag == "head":
                 close(len(stack) - 1)
             # A paragraph, with what is open in it, ends where a block starts.
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in HEADS) else ():
                 tag = nodes[stack[k]].tag
                 if tag == "p" or re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", name):
                     close(k)
@@ -134,7 +139,7 @@ def parse(page: str):
                 if tag in BLOCK:
                     break
         if name in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ENDS[name]) else ():
                 tag = nodes[stack[k]].tag
                 if tag in ENDS[name]:
                     close(k)
@@ -155,6 +160,7 @@ def parse(page: str):
         nodes.append(Node(name, stack[-1], attributes))
         nodes[stack[-1]].children += 1
         stack.append(len(nodes) - 1)
+        opened[name] += 1
         silent += name in SILENT or nodes[-1].hidden
     say(page[at:])
     return nodes, pieces
@@ -189,7 +195,7 @@ def _tag(name: str) -> str:
     return "other"
 
 
-FEATURES = [*(f"tag {t}" for t in TAGS), *(f"cue {c}" for c in CUES), "links", "no links", "short", "long", "very long", "share", "plain", "plain text", "under tag", "under cue", "one"]
+FEATURES = [*(f"tag {t}" for t in TAGS), *(f"cue {c}" for c in CUES), "links", "no links", "short", "long", "very long", "share", "plain", "plain text", "under tag", "under cue", "under main", "links under main", "one"]
 PLACE = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -233,6 +239,10 @@ def features(nodes: list[Node], parents: list[int]) -> np.ndarray:
         share = n.links / n.text if n.text else 0.0
         row[PLACE["links"]] = share > 0.5
         row[PLACE["no links"]] = n.text > 0 and share < 0.1
+        # Below an article and no aside of it: links may well be part of the text.
+        aside = row[PLACE["under tag"]] or row[PLACE["under cue"]]
+        row[PLACE["under main"]] = not aside and (x[parents[i], PLACE["under main"]] or above.tag in ("article", "main") or "main" in above.cues)
+        row[PLACE["links under main"]] = row[PLACE["links"]] and row[PLACE["under main"]]
         row[PLACE["short"]] = n.text < 30
         row[PLACE["long"]] = n.text >= 120
         row[PLACE["very long"]] = n.text >= 600
@@ -323,6 +333,12 @@ LAYOUTS = (
     "~body(-div.topnav(links) ~div.container(+div.post-content(h paras -div.advertisement(para) paras -div.share(links) list) -div.comments-area(h remark remark)))",
     "~body(-header(logo links) ~div.layout(-div.sidebar(h links para h line) +div.story(h paras quote) -div.widget(links)) -div.notice(text) -footer(links small))",
     "~body(-nav(links) ~section(+article(h paras list -div.comments(h remark remark)) -aside(text)) -div.newsletter-signup(line) -footer(small))",
+    "~body(-nav(links) +article(h paras captioned paras linklist -footer.entry-meta(text)) -footer(small links))",
+    "~body(-header(logo -nav(links)) +main(h linklist details terms address paras) -footer(para))",
+    "~body(-div.header(logo links) ~div.wrap(+div.content(h captioned linklist details paras -footer(para)) -div.sidebar(h links)) -div.footer(small))",
+    "~body(-nav(links) +main(+article(-header(small) h paras details -footer.meta(line)) -nav.pager(links) -aside(h linklist)) -footer(links))",
+    "~body(-header(logo links) +div.entry(terms para captioned paras linklist) -div.related(h linklist) -div.comments(h remark remark) -footer(small))",
+    "~body(-ul.nav(links) +article(h para linklist address terms -div.tags(links) -form.subscribe(line)) -section.related(captioned linklist) -footer(address para))",
     "~body(-div.banner(line) -div.breadcrumbs(links) +div.article-body(h para) -div.sponsored(para line) -div.disqus(remark para))",
 )
 PART = re.compile(r"([+\-~]?)([a-z0-9]+)((?:\.[a-z-]+)?)(\(?)|(\))|\s+")
@@ -363,6 +379,36 @@ def labelled_page(layout: str, rng: np.random.Generator) -> tuple[str, list[int]
                 element("a", words(1, 3), y)
                 out.append("</li>")
             out.append("</ul>")
+        elif kind == "linklist":
+            name = "ol" if rng.random() < 0.5 else "ul"
+            out.append(f"<{name}>")
+            labels.append(y)
+            for _ in range(rng.integers(2, 8)):
+                out.append("<li>")
+                labels.append(y)
+                element("a", words(2, 9), y)
+                out.append("</li>")
+            out.append(f"</{name}>")
+        elif kind == "captioned":
+            out.append('<figure><img src="x.png">')
+            labels.append(y)
+            element("figcaption", words(2, 16), y)
+            out.append("</figure>")
+        elif kind == "details":
+            out.append("<details>")
+            labels.append(y)
+            element("summary", words(1, 6), y)
+            element("p", words(3, 120), y)
+            out.append("</details>")
+        elif kind == "terms":
+            out.append("<dl>")
+            labels.append(y)
+            for _ in range(rng.integers(1, 5)):
+                element("dt", words(1, 4), y)
+                element("dd", words(2, 25), y)
+            out.append("</dl>")
+        elif kind == "address":
+            element("address", words(2, 12), y)
         elif kind == "remark":
             out.append('<div class="comment">')
             labels.append(y)
@@ -435,7 +481,7 @@ def main_text(page: str | None, model: TreeModel) -> str:
     blocks, parts, own = [], [], []
 
     def end():
-        text = " ".join(entities.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text and own and sum(own) * 2 >= len(own):
             blocks.append(text)
         parts.clear()
