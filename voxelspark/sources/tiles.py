@@ -6,9 +6,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions.grid import TILE_PIXELS, x_shard
@@ -21,24 +24,23 @@ STORE_KEYS = ("dimension_id", "mode", "variant", "style", "zoom", "x_shard")
 def pack_tiles(tiled: DataFrame, fill: tuple, size: int = TILE_PIXELS) -> DataFrame:
     """One row per tile with its raw RGBA bytes, row by row; unstored pixels are fill.
 
-    Pixels first join into rows of the tile, then rows into the tile, so no list ever
-    holds more than ``size`` elements.
+    A pixel travels as its place in the tile and one number; each tile is one buffer that
+    its pixels are scattered into. A tile holds at most ``size`` squared of them.
     """
-    hex2 = lambda c: F.lpad(F.hex(c), 2, "0")
-    pixel = F.concat(*[hex2(F.col(c)) for c in "rgba"])
-    blank = "".join(f"{v:02X}" for v in fill)
-    lines = tiled.groupBy(*TILE_KEYS, "py").agg(
-        F.map_from_entries(F.collect_list(F.struct("px", pixel.alias("v")))).alias("_m")
-    )
-    across = F.sequence(F.lit(0), F.lit(size - 1))
-    line = F.array_join(F.transform(across, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(blank))), "")
-    lines = lines.select(*TILE_KEYS, "py", line.alias("_line"))
-    whole = lines.groupBy(*TILE_KEYS).agg(
-        F.map_from_entries(F.collect_list(F.struct("py", "_line"))).alias("_m")
-    )
-    empty = F.lit(blank * size)
-    text = F.array_join(F.transform(across, lambda i: F.coalesce(F.try_element_at("_m", i), empty)), "")
-    return whole.select(*TILE_KEYS, F.unhex(text).alias("rgba"))
+    inside = F.col("px").between(0, size - 1) & F.col("py").between(0, size - 1)
+    color = sum((F.shiftleft(F.col(c).cast("long"), n) for c, n in zip("gba", (16, 8, 0))), F.shiftleft(F.col("r").cast("long"), 24))
+    rows = tiled.select(*TILE_KEYS, F.when(inside, F.col("py") * size + F.col("px")).cast("int").alias("at"), color.alias("rgba"))
+    blank = int.from_bytes(bytes(fill), "big")
+
+    def scatter(key: tuple, pixels: pa.Table) -> pa.Table:
+        stored = pixels.select(["at", "rgba"]).drop_null()
+        tile = np.full(size * size, blank, ">u4")
+        tile[stored["at"].to_numpy()] = stored["rgba"].to_numpy()
+        return pa.table({**{name: [k.as_py()] for name, k in zip(TILE_KEYS, key)}, "rgba": [tile.tobytes()]}, schema)
+
+    kinds = {name: rows.schema[name].dataType for name in TILE_KEYS}
+    schema = pa.schema([(name, to_arrow_type(t)) for name, t in kinds.items()] + [("rgba", pa.binary())])
+    return rows.groupBy(*TILE_KEYS).applyInArrow(scatter, ", ".join([*(f"{n} {t.simpleString()}" for n, t in kinds.items()), "rgba binary"]))
 
 
 def stored_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:

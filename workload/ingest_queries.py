@@ -135,7 +135,7 @@ def q_extended(spark, sf):
 def q_pack(spark, sf):
     t = pyramid.with_tiles(pyramid.averaged_pixels(colors(spark, sf), 4))
     packed = tiles.pack_tiles(t, UNEXPLORED)
-    return packed.select("dimension", "zoom", "tile_x", "tile_y", F.length("rgba").alias("bytes"), F.hex(F.substring("rgba", 1, 96)).alias("head"))
+    return packed.select("dimension", "zoom", "tile_x", "tile_y", F.length("rgba").alias("bytes"), F.sha2(F.hex("rgba").cast("binary"), 256).alias("digest"))
 
 
 QUERIES = {
@@ -270,7 +270,7 @@ ORACLE = {
         ", p AS (SELECT dimension,CAST(floor(x/4.0) AS INTEGER) AS gx,CAST(floor(z/4.0) AS INTEGER) AS gy,"
         + ",".join(f"CAST(floor(sum({c})/count(*)) AS INTEGER) AS {c}" for c in "rgb")
         + " FROM o_color_terrain GROUP BY 1,2,3), t AS (SELECT *,CAST(floor(gx/512.0) AS INTEGER) AS tile_x,CAST(floor(gy/512.0) AS INTEGER) AS tile_y FROM p), "
-        "k AS (SELECT DISTINCT dimension,tile_x,tile_y FROM t), h AS (SELECT k.*,i,coalesce(printf('%02X%02X%02XFF',r,g,b),'14161AFF') AS v FROM k JOIN (SELECT unnest(range(24)) AS i) s ON true LEFT JOIN t ON t.dimension=k.dimension AND t.gx=k.tile_x*512+i AND t.gy=k.tile_y*512) "
-        "SELECT dimension,4 AS zoom,tile_x,tile_y,1048576 AS bytes,string_agg(v,'' ORDER BY i) AS head FROM h GROUP BY 1,2,3,4",
+        "k AS (SELECT DISTINCT dimension,tile_x,tile_y FROM t), h AS (SELECT k.*,i,coalesce(printf('%02X%02X%02XFF',r,g,b),'14161AFF') AS v FROM k JOIN (SELECT unnest(range(262144)) AS i) s ON true LEFT JOIN t ON t.dimension=k.dimension AND t.gx=k.tile_x*512+i%512 AND t.gy=k.tile_y*512+i//512) "
+        "SELECT dimension,4 AS zoom,tile_x,tile_y,1048576 AS bytes,sha256(string_agg(v,'' ORDER BY i)) AS digest FROM h GROUP BY 1,2,3,4",
     ),
 }
