@@ -76,11 +76,12 @@ def _carried(summary: DataFrame, value: str, forward: bool = True) -> DataFrame:
     return rows.select("player", "_fine", F.coalesce("_near", "_far").alias("_carry"))
 
 
-def segments(updates: DataFrame, transition_ms: int = 900, stale_ms: int = 30_000) -> DataFrame:
+def segments(updates: DataFrame, transition_ms: int = 900, stale_ms: int = 30_000, repeats: bool = False) -> DataFrame:
     """One gliding segment per changed update: drawn start, target and start time.
 
     ``updates`` has ``player, event_id, ts, x, y, z, rotation``. A player unseen for
-    longer than ``stale_ms`` starts afresh at the new position.
+    longer than ``stale_ms`` starts afresh at the new position. An update that repeats the
+    position before it changes nothing; with ``repeats`` it is a segment of its own.
 
     The update before is found inside a bucket of time, or carried into it from the last bucket
     that has one, and so is the start of the chain. A chain of one update starts from where the
@@ -100,7 +101,7 @@ def segments(updates: DataFrame, transition_ms: int = 900, stale_ms: int = 30_00
         same = same & F.col(n).eqNullSafe(F.col(f"_before.{n}"))
     starts = F.when(fresh | (gap >= transition_ms), F.col("at"))
     rows = rows.withColumns(
-        {"_start": starts, "_moved": fresh | ~same, **{f"prev_{n}": F.when(fresh, F.col(n)).otherwise(F.col(f"_before.{n}")) for n in _TARGET}}
+        {"_start": starts, "_moved": F.lit(True) if repeats else fresh | ~same, **{f"prev_{n}": F.when(fresh, F.col(n)).otherwise(F.col(f"_before.{n}")) for n in _TARGET}}
     ).drop("_before")
     # A player's chains are known by the time they start at; no two start at once.
     begun = rows.groupBy("player", "_coarse", "_fine").agg(F.max("_start").alias("_start"))
