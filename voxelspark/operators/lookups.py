@@ -35,7 +35,13 @@ def resolve_aliases(entries: DataFrame, keys: list[str] = ["name"]) -> DataFrame
     alias = entries.filter(F.col("alias").isNotNull()).select(
         F.col("name").alias("_from"), F.col("alias").alias("_to"), F.col("layer").alias("_layer")
     )
-    found = direct.join(alias, (direct["name"] == alias["_to"]) & (direct["layer"] <= alias["_layer"]))
+    # Targets and questions of a name in one order of layers, one row a layer: no pairs of the two.
+    target = last_wins(direct, ["name", "layer"], ["layer"])
+    target = target.select(F.col("name").alias("_to"), F.col("layer").alias("_layer"), F.lit(0).alias("_ask"), F.struct(*entries.columns).alias("_e"))
+    asked = alias.select("_to", "_layer").distinct().select("_to", "_layer", F.lit(1).alias("_ask"), F.lit(None).cast(target.schema["_e"].dataType).alias("_e"))
+    so_far = Window.partitionBy("_to").orderBy("_layer", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    answer = target.unionByName(asked).withColumn("_e", F.last("_e", ignorenulls=True).over(so_far)).filter("_ask = 1 AND _e IS NOT NULL")
+    found = alias.join(answer, ["_to", "_layer"]).select("_from", "_layer", "_e.*")
     found = last_wins(found, ["_from", "_layer"], ["layer"])
     found = found.withColumns({"name": F.col("_from"), "layer": F.col("_layer")}).select(
         *entries.columns, F.lit(1).alias("_late")
