@@ -1,7 +1,7 @@
 """Joins whose rows must not grow with the square of the input."""
 
 from pyspark.sql import functions as F
-from voxelspark.operators import lookups
+from voxelspark.operators import lookups, overlay
 
 
 def most_rows(df):
@@ -32,3 +32,23 @@ def test_aliases_of_a_name_with_many_layers(spark):
     got = {(r["name"], r["layer"]): r["id"] for r in out.filter("_late = 1").collect()}
     assert got == {(f"a{(2 * k + 1) % 7}", k): 2 * k for k in range(n)}
     assert most_rows(out) <= 4 * n
+
+
+def test_first_areas_without_all_pairs(spark, monkeypatch):
+    rows = []
+    original = overlay.areas_in_views
+    monkeypatch.setattr(overlay, "areas_in_views", lambda v, a, *rest: rows.append(v.count() * a.count()) or original(v, a, *rest))
+    box = [F.lit(v).cast("int").alias(c) for c, v in zip(("min_x", "min_z", "max_x", "max_z"), (0, 0, 100, 100))]
+    views = spark.range(20).select(F.col("id").alias("view_id"), F.lit("d").alias("dimension"), *box, F.lit(-1).alias("zoom"))
+    # The last view meets few areas, and late ones; one meets just as many as the limit, one none.
+    views = views.withColumn("max_x", F.when(F.col("view_id") == 19, 1).otherwise(F.col("max_x")))
+    views = views.unionByName(views.filter("view_id = 0").withColumns({"view_id": F.lit(20).cast("long"), "min_x": F.lit(500), "max_x": F.lit(501)}))
+    views = views.unionByName(views.filter("view_id = 0").withColumns({"view_id": F.lit(21).cast("long"), "min_x": F.lit(900), "max_x": F.lit(901)}))
+    x = F.when(F.col("id").isin(3990, 3995, 3999), 0).when(F.col("id").isin(5, 3000, 3001), 500).otherwise(50).cast("int")
+    areas = spark.range(4000).select("id", F.lit("d").alias("dimension"), F.lit("claim").alias("kind"), x.alias("min_x"), F.lit(0).alias("min_z"),
+                                     (x + 1).alias("max_x"), F.lit(1).alias("max_z"), F.lit(None).cast("int").alias("min_zoom"), F.lit(None).cast("int").alias("max_zoom"))
+    got = overlay.first_areas_in_views(views, areas, 3)
+    got = sorted((r["view_id"], r["r_id"], r["truncated"]) for r in got.collect())
+    want = overlay.bounded(original(views, areas), ["view_id"], ["r_id"], 3)
+    assert got == sorted((r["view_id"], r["r_id"], r["truncated"]) for r in want.collect()) and len(got) == 63
+    assert len(rows) > 1 and sum(rows) < 22 * 4000 / 4

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.grid import CHUNK_BLOCKS, col, floor_div
+from ..shared import written
 from .spatial import BOUNDS, points_in_rectangles, rectangle_join
 
 DEFAULT_LIMIT = 5000
+GROWTH = 8  # of the areas from round to round
 
 
 def kind_matches(kind, kinds: list[str]) -> Column:
@@ -102,6 +106,37 @@ def bounded(rows: DataFrame, keys: list[str], order: list, limit: int = DEFAULT_
     return flagged.select(*keys, *others, "truncated")
 
 
+def first_areas_in_views(
+    views: DataFrame, areas: DataFrame, limit: int = DEFAULT_LIMIT, kinds: list[str] = [], max_zoom: str | None = "r_max_zoom"
+) -> DataFrame:
+    """``bounded`` areas of each viewport by id, without all pairs of the two.
+
+    The areas come in rounds of rising ids, each ``GROWTH`` times as many as all before; a viewport
+    that has met more than ``limit`` takes no part in later rounds. Any cut of the ids is right.
+    """
+    areas = written(areas, "areas")
+    n, size, shares = areas.count(), 64 * limit, []
+    while size < n:
+        shares.append(size / n)
+        size *= GROWTH
+    cuts = sorted(set(areas.approxQuantile("id", shares, shares[0] / 4))) if shares else []
+    left, found = views.withColumn("_seen", F.lit(0).cast("long")), []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = areas if high is None else areas.filter((F.col("id") < high) | F.col("id").isNull())
+        part = part if low is None else part.filter(F.col("id") >= low)
+        rank = F.row_number().over(Window.partitionBy("view_id").orderBy("r_id"))
+        hits = areas_in_views(left, part, kinds, max_zoom).drop("_seen").withColumn("_n", rank).filter(F.col("_n") <= limit + 1).drop("_n")
+        found.append(written(hits, "hits"))
+        if high is None:
+            break
+        more = found[-1].groupBy("view_id").agg(F.count("*").alias("_more"))
+        seen = F.col("_seen") + F.coalesce("_more", F.lit(0))
+        left = written(left.join(more, "view_id", "left").withColumn("_seen", seen).filter(F.col("_seen") <= limit).drop("_more"), "views")
+        if left.isEmpty():
+            break
+    return bounded(reduce(DataFrame.unionByName, found), ["view_id"], ["r_id"], limit)
+
+
 def area_chunk_rows(areas: DataFrame, members: DataFrame) -> DataFrame:
     """Exact chunks of chunk-shaped claims."""
     return members.join(areas.filter("kind = 'claim'").select(F.col("id").alias("area_id")), "area_id", "left_semi")

@@ -86,8 +86,8 @@ def q_unclaim(spark, sf):
 
 
 def q_bounded(spark, sf):
-    hits = overlay.areas_in_views(fx.viewports(spark, sf), fx.areas(spark, sf))
-    return overlay.bounded(hits, ["view_id"], ["r_id"], 40).select("view_id", F.col("r_id").alias("id"), "truncated")
+    first = overlay.first_areas_in_views(fx.viewports(spark, sf), fx.areas(spark, sf), 40)
+    return first.select("view_id", F.col("r_id").alias("id"), "truncated")
 
 
 def q_force(spark, sf):
