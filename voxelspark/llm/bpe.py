@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm.common import chunks
 
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 # Fixed value: the splitting rule of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -97,7 +97,7 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
 
 
 def _pack(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes) -> bytes:
