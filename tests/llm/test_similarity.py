@@ -65,3 +65,33 @@ def test_large_keys_and_missing_values(spark):
     got = [r["doc_id"] for r in simhash_dedup.deduplicated(docs, limit=8).select("doc_id").collect()]
     assert sum(i is not None and i < 9000 for i in got) <= 4 and 9000 in got and got.count(None) == 2
     assert simhash_dedup.deduplicated(docs.where(F.lit(False))).count() == 0
+
+
+def test_no_pair_is_left_out(spark):
+    """The groups of brute force over all pairs, whatever the first round meets and which shingles are frequent."""
+    rows = planted()
+    rng = np.random.default_rng(5)
+    text = rows[0][1].split()
+    for _ in range(150):  # a family too unlike for one group, with a few pairs that are alike
+        near = list(text)
+        for at in rng.choice(150, 8, replace=False):
+            near[at] = f"w{rng.integers(10**6)}"
+        rows.append((len(rows), " ".join(near)))
+        if rng.random() < 0.1:
+            near[3] = "other"
+            rows.append((len(rows), " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = survivors(rows)
+    got = {r["doc_id"] for r in simhash_dedup.deduplicated(docs, limit=1).select("doc_id").collect()}
+    assert got == want
+
+
+def test_pairs_at_the_least_similarity(spark):
+    """Pairs that share 178 of 222 shingles, far apart in their fingerprints: all are joined."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(400):
+        text = [f"a{x}" for x in rng.integers(10**7, size=204)]
+        near = text[:90] + [f"b{x}" for x in rng.integers(10**7, size=18)] + text[108:]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_dedup.deduplicated(docs).select("doc_id").collect()} == {2 * k for k in range(400)}

@@ -10,8 +10,8 @@ A key with more than ``LIMIT`` members (a hot segment) is not compared pairwise:
 are indexed by all pairs of wildcards over the whole fingerprint. Two fingerprints under such
 a key differ by two bits at most without any check, so each is tied to the key's smallest.
 
-``deduplicated`` takes shingles of any length and a similarity of the shingle sets: more segments
-find the candidates, and the shingles of both documents decide.
+``deduplicated`` takes shingles of any length and a similarity of the shingle sets: SimHash finds the
+near copies, an index by shingles every other pair, and the shingles of both documents decide.
 
 Nulls: a null text counts as empty and has the fingerprint zero, linked like any other. Rows
 that repeat an id are one document if their texts agree.
@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm.common import chunks, encoded, hashed_batches, mix, written
@@ -143,11 +143,16 @@ def _compare(bits: int, limit: int):
     return run
 
 
+def _tied(distinct: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
+    """What ``_compare`` finds under all keys."""
+    keyed = distinct.select(F.explode(variants(F.col("fp"), bits)).alias("key"), "fp")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits, limit), "a long, b long").distinct()
+
+
 def links(distinct: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
     """Links (a, b), a != b, between distinct fingerprints ``fp`` that join exactly those groups
     that all pairs within ``bits`` (2 or 3) join."""
-    keyed = distinct.select(F.explode(variants(F.col("fp"), bits)).alias("key"), "fp")
-    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits, limit), "a long, b long").distinct())
+    found = written(_tied(distinct, bits, limit))
     pairs, hot = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("fp"))
     if hot.isEmpty():
         return pairs
@@ -194,19 +199,21 @@ def near_groups(docs: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFr
 
 
 # ------------------------------------------------------------------- shingle similarity
-# Beyond a few bits the fingerprints tell too little: sets of ``STAGE_SHINGLE``-word shingles with a
-# similarity of 0.8 differ in 15 % of the bits. So ``WIDTH`` fingerprints make segments of 16 bits,
-# each indexed with one wildcard as above, and what meets there is held against the shingles.
-#
-# Two rounds keep the pairs linear in a group of copies without losing a link. The first checks the
-# ``NEAREST`` neighbours of each node over all its keys, which joins such a group. The second meets
-# under the keys again, and checks every pair whose ends are still in different components.
+# The pipeline's stage joins texts whose sets of ``STAGE_SHINGLE``-word shingles have a similarity of
+# 0.8, in two rounds. The first finds near copies: by SimHash as above, and the nearest of the next rows under
+# the last keys of each text. The second checks every pair that is left, by an index that misses none:
+# two sets of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, whatever
+# the order, as long as it is one for all. Frequent shingles come last, so texts of a family that are
+# not similar enough rarely meet; ends that the first round has joined need no check.
 
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
-WIDTH = 3
 NEAREST = 4
-_MASKS = np.random.default_rng(20240301).integers(1, 2**63, 16, dtype=np.uint64)
+FREQUENT = 8
+WINDOW = 256
+BITMAP = 1024
+RANKED = 1 << 19  # frequent shingles with a place of their own in the order, 8 bytes each
+_MASK = np.uint64(np.random.default_rng(20240301).integers(1, 2**63))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,133 +228,189 @@ def shingle_sets(texts: list[bytes], words: int = STAGE_SHINGLE):
             yield np.unique(mix(s))
 
 
-def wide_fingerprint(shingles: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """``width`` SimHashes of 64 bits of a set of shingles."""
-    counts = np.zeros((width, 64), np.int64)
+def set_fingerprint(shingles: np.ndarray) -> np.uint64:
+    """SimHash of a set of shingles."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(shingles), 1 << 16):
-        for k in range(width):
-            h = mix(shingles[at : at + (1 << 16)] ^ _MASKS[k])
-            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(shingles), axis=1, bitorder="little").view("<u8").ravel()
-
-
-def _nodes(fps: np.ndarray) -> np.ndarray:
-    """One long for each row of fingerprints."""
-    out = np.zeros(len(fps), np.uint64)
-    for k in range(fps.shape[1]):
-        out = mix((out + fps[:, k]) * _TIMES)
-    return out.view(np.int64)
+        h = mix(shingles[at : at + (1 << 16)] ^ _MASK)
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0]
 
 
-def _shingled(words: int, width: int, sets: bool):
-    """Batches -> doc_id, node and fingerprints, or node and shingles."""
+def _shingled(words: int):
+    """Batches -> doc_id, node (a hash of the whole set), fp and shingles."""
 
     def run(batches):
         for b in batches:
             raw = encoded(b["text"].to_pylist())
             for part in chunks(raw, map(len, raw), 1 << 20):
                 own = list(shingle_sets(raw[part], words))
-                fps = np.array([wide_fingerprint(s, width) for s in own], np.uint64).reshape(-1, width)
-                node = pa.array(_nodes(fps))
-                if sets:
-                    yield pa.RecordBatch.from_arrays([node, pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], ["node", "shingles"])
-                else:
-                    longs = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(width)]
-                    yield pa.RecordBatch.from_arrays([b["doc_id"].slice(part.start, part.stop - part.start), node, *longs], ["doc_id", "node", *(f"f{k}" for k in range(width))])
+                node = np.array([mix(s * _TIMES + _MASK).sum(dtype=np.uint64) for s in own], np.uint64)
+                fps = np.array([set_fingerprint(s) for s in own], np.uint64)
+                sets = pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))
+                ids = b["doc_id"].slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in (node, fps)), sets], ["doc_id", "node", "fp", "shingles"])
 
     return run
 
 
-def _neighbours(width: int, bits: int, limit: int, nearest: int, rooted: bool):
-    """Rows sorted by key and fingerprints -> pairs (a, b) of nodes within ``bits``, and their bits.
-
-    Every row is compared with the ``limit`` rows after it under its key. A pair counts under the
-    first key that it shares. Without roots every row gives the ``nearest`` of its pairs there;
-    with them it gives all pairs of different roots.
-    """
-    names = ["a", "b", "distance"]
-
-    def pairs(a, b, distance):
-        ends = np.unique(np.concatenate([np.sort(np.stack([a, b]), axis=0), distance[None].astype(np.int64)]), axis=1)
-        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(e)) for e in ends[:2]), pa.array(ends[2].astype(np.int32))], names)
+def _frequent(own: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Halves of frequent shingles, sorted, and their places from 1 by rising count. All shingles are
+    counted; more than ``most`` frequent ones leave those of the lower powers of two without a place."""
+    half = own.select(F.explode("shingles").alias("s")).select(F.shiftright("s", 32).cast("int").alias("h"))
+    counted = written(half.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT))
+    power = F.floor(F.log2("c")).cast("int")
+    low, total = 63, 0
+    for p, n in sorted(map(tuple, counted.groupBy(power.alias("p")).agg(F.count(F.lit(1))).collect()), reverse=True):
+        if total + n > most:
+            break
+        low, total = p, total + n
+    rows = counted.where(power >= low).toPandas()
+    h, c = rows["h"].to_numpy(np.int32), rows["c"].to_numpy(np.int64)
+    place = np.empty(len(h), np.int32)
+    place[np.lexsort((h, c))] = np.arange(1, len(h) + 1, dtype=np.int32)
+    order = np.argsort(h)
+    return h[order], place[order]
+
+
+def _prefixes(shared, similarity: float):
+    """Sets -> index rows: key, node, n (shingles of the set), pos (of the key in its order), and whether
+    the key is one of its last two."""
 
     def run(batches):
-        key, fps, root = np.zeros(0, np.int32), np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
+        frequent, places = shared.value
         for b in batches:
-            key = np.concatenate([key, b["key"].to_numpy()])
-            fps = np.concatenate([fps, np.stack([b[f"g{k}"].to_numpy().view(np.uint64) for k in range(width)], axis=1)])
-            if rooted:
-                root = np.concatenate([root, b["root"].to_numpy()])
-            if len(key) < 1 << 16:
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            if not last and len(key) >= 8 * limit:  # a hot key need not be held
-                yield from inside(key, fps, root)
-                last = len(key) - limit
-            else:
-                yield from inside(key[:last], fps[:last], root[:last])
-            key, fps, root = key[last:], fps[last:], root[last:]
-        yield from inside(key, fps, root)
-
-    def inside(key, fps, root):
-        if len(key) < 2:
-            return
-        segment, wild = key >> 20, (key >> 16) & 15
-        word = segment >> 2
-        own = np.empty_like(fps)
-        for k in range(width):  # undo the rotation
-            own[np.arange(len(key)), (word + 1 + k) % width] = fps[:, k]
-        far = np.full((len(key), nearest), bits + 1, np.int16)
-        who = np.zeros((len(key), nearest), np.int64)
-        node = _nodes(own)
-        left, step = np.flatnonzero(key[:-1] == key[1:]), 1
-        while len(left):
-            differ = own[left] ^ own[left + step]
-            distance = np.bitwise_count(differ).sum(axis=1, dtype=np.int16)
-            near = np.flatnonzero((distance <= bits) & (root[left] != root[left + step]) if rooted else distance <= bits)
-            if len(near):
-                i, d = left[near], distance[near]
-                parts = np.ascontiguousarray(differ[near]).view("<u2")
-                ones = np.bitwise_count(parts)
-                at = (ones <= 1).argmax(axis=1)
-                there = parts[np.arange(len(i)), at]
-                first = (at == segment[i]) & np.where(there == 0, wild[i] == 0, there == 1 << wild[i])
-                i, d = i[first], d[first]
-                if rooted and len(i):
-                    yield pairs(node[i], node[i + step], d)
-                for a, b in () if rooted else ((i, i + step), (i + step, i)):
-                    worst = far[a].argmax(axis=1)
-                    nearer = d < far[a, worst]
-                    far[a[nearer], worst[nearer]], who[a[nearer], worst[nearer]] = d[nearer], b[nearer]
-            step += 1
-            if step > limit:
-                break
-            left = left[left + step < len(key)]
-            left = left[key[left] == key[left + step]]
-        a, slot = np.nonzero(far <= bits)
-        if len(a):
-            yield pairs(node[a], node[who[a, slot]], far[a, slot])
+            node, sets = b["node"].to_numpy(), b["shingles"]
+            n, s = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+            rank = np.zeros(len(s), np.int32)
+            if len(frequent):
+                h = (s >> 32).astype(np.int32)
+                at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                rank = np.where(frequent[at] == h, places[at], 0)
+            which = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((s, rank, which))
+            pos = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+            last = n - np.ceil(similarity * n - 1e-9).astype(np.int64)
+            keep = np.flatnonzero(pos <= last[which])
+            doc, pos = which[keep], pos[keep]
+            arrays = [s[order[keep]], node[doc], n[doc].astype(np.int32), pos.astype(np.int32), pos >= last[doc] - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "node", "n", "pos", "last"])
 
     return run
 
 
-def candidates(distinct: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, limit: int = LIMIT, nearest: int = NEAREST) -> DataFrame:
-    """Pairs (a, b) of nodes of the distinct fingerprints ``f0``, ``f1``... that may be similar, and
-    their differing bits: the nearest under each key, or, where the rows have a ``root``, all
-    between different roots."""
-    rooted = ["root"] if "root" in distinct.columns else []
-    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of a bit to differ, at most
-    bits = int(64 * width * chance + 4 * np.sqrt(64 * width * chance * (1 - chance)))
-    # Each word of 64 bits comes last in a row of its own: large keys are sorted by the other words.
-    turns = [F.struct(F.lit(w).alias("w"), *(F.col(f"f{(w + 1 + k) % width}").alias(f"g{k}") for k in range(width)), *rooted) for w in range(width)]
-    turned = distinct.select(F.explode(F.array(*turns)).alias("t")).select("t.*")
-    keys = []
-    for q in range(4):
-        part = F.shiftrightunsigned(F.col(f"g{width - 1}"), 16 * q).bitwiseAND(F.lit(0xFFFF)).cast("int")
-        keys += [(F.col("w") * (4 << 20) + F.lit(q << 20 | at << 16)).bitwiseOR(part.bitwiseAND(F.lit(0xFFFF - (1 << at)))) for at in range(16)]
-    names = [f"g{k}" for k in range(width)]
-    keyed = turned.select(F.explode(F.array(*keys)).alias("key"), *names, *rooted)
-    return keyed.repartition("key").sortWithinPartitions("key", *names).mapInArrow(_neighbours(width, bits, limit, nearest, bool(rooted)), "a long, b long, distance int")
+def _whole_keys(batches, names: list[str]):
+    """Batches sorted by the first column as arrays that hold whole keys."""
+    parts, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts.append([b[c].to_numpy(zero_copy_only=False) for c in names])
+        size += b.num_rows
+        if size >= 1 << 16 and parts[0][0][0] != parts[-1][0][-1]:
+            rows = [np.concatenate(c) for c in zip(*parts)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield [c[:cut] for c in rows]
+            parts, size = [[c[cut:] for c in rows]], size - cut
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
+def _shared_keys(batches):
+    """Index rows sorted by key and node -> those of keys that several nodes share, each once."""
+    names = ["key", "node", "n", "pos", "last"]
+    for rows in _whole_keys(batches, names):
+        key, node = rows[:2]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        rows = [c[once] for c in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        some = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in rows], names)
+
+
+def _bits(batches):
+    """Sets -> node and ``BITMAP`` bits, in which every shingle sets one."""
+    for b in batches:
+        sets = b["shingles"]
+        n, s = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy().view(np.uint64)
+        for at in range(0, len(n), 1 << 12):
+            size = n[at : at + (1 << 12)]
+            flat = s[n[:at].sum() : n[: at + (1 << 12)].sum()]
+            bits = np.zeros((len(size), BITMAP), bool)
+            bits[np.repeat(np.arange(len(size)), size), (flat % np.uint64(BITMAP)).astype(np.int64)] = True
+            packed = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["node"].slice(at, len(size)), packed], ["node", "bits"])
+
+
+def _met(similarity: float, window: int | None, nearest: int = NEAREST):
+    """Index rows sorted by key -> pairs (a, b) of nodes that may be similar. With a window, each row
+    gives the ``nearest`` of its next rows; without, all pairs of different roots that may be similar
+    if this is the first key that they share.
+
+    A bit of one side that the other lacks is a shingle that it lacks, so bits bound what two sets share.
+    """
+    need = similarity / (1 + similarity)
+    names = ["key", "node", "n", "pos", "bits"] + ([] if window else ["root"])
+
+    def pairs(node, i, j):
+        ends = np.unique(np.sort(np.stack([node[i], node[j]]), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e)) for e in ends], ["a", "b"])
+
+    def run(batches):
+        for key, node, n, pos, bits, *root in _whole_keys(batches, names):
+            root, bits = root[0] if root else node, np.frombuffer(b"".join(bits), "<u8").reshape(len(key), -1)
+            after = n - pos
+
+            def fit(i, j):
+                """Which of these pairs may be similar."""
+                at = np.arange(len(i))
+                if window is None:
+                    at = np.flatnonzero((root[i] != root[j]) & (np.minimum(after[i], after[j]) >= need * (n[i] + n[j]) - 1e-9))
+                i, j = i[at], j[at]
+                common = bits[i] & bits[j]
+                lack = [np.bitwise_count(bits[k] & ~common).sum(axis=1, dtype=np.int32) for k in (i, j)]
+                return at[np.minimum(n[i] - lack[0], n[j] - lack[1]) >= need * (n[i] + n[j]) - 1e-9]
+
+            far = np.full((len(key), nearest), 8 * BITMAP, np.int32)
+            who = np.zeros((len(key), nearest), np.int64)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+            sizes = np.diff(edges)
+            large = np.repeat((sizes > 64) & (window is None), sizes)
+            left, step = np.flatnonzero((key[:-1] == key[1:]) & ~large[:-1]), 1
+            while len(left) and (window is None or step <= window):
+                i = left[fit(left, left + step)]
+                if len(i) and window is None:
+                    yield pairs(node, i, i + step)
+                elif len(i):
+                    distance = np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int32)
+                    for a, b in ((i, i + step), (i + step, i)):
+                        worst = far[a].argmax(axis=1)
+                        nearer = distance < far[a, worst]
+                        far[a[nearer], worst[nearer]], who[a[nearer], worst[nearer]] = distance[nearer], b[nearer]
+                step += 1
+                left = left[left + step < len(key)]
+                left = left[key[left] == key[left + step]]
+            a, slot = np.nonzero(far < 8 * BITMAP)
+            if len(a):
+                yield pairs(node, a, who[a, slot])
+            for at, size in zip(edges[:-1], sizes) if window is None else ():
+                if size <= 64:
+                    continue
+                # Only the rows outside the largest group meet the others.
+                _, group, count = np.unique(root[at : at + size], return_inverse=True, return_counts=True)
+                outside, every = group != count.argmax(), np.arange(at, at + size)
+                rest = every[outside]
+                block = max(1, (1 << 18) // size)
+                for k in range(0, len(rest), block):
+                    i = np.repeat(rest[k : k + block], size)
+                    j = np.tile(every, len(rest[k : k + block]))
+                    once = ~(outside[j - at] & (j <= i))
+                    i, j = i[once], j[once]
+                    ok = fit(i, j)
+                    if len(ok):
+                        yield pairs(node, i[ok], j[ok])
+
+    return run
 
 
 def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -357,36 +420,42 @@ def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return counted.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, width: int = WIDTH, limit: int = LIMIT, nearest: int = NEAREST) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, limit: int = WINDOW, ranked: int = RANKED) -> DataFrame:
     """One row per row of ``docs``: doc_id and component_id, the smallest id of those linked by
-    pairs whose shingle sets have at least ``similarity`` (shared by all shingles of both)."""
-    kind, longs = docs.schema["doc_id"].dataType.simpleString(), [f"f{k}" for k in range(width)]
-    schema = f"doc_id {kind}, node long, " + ", ".join(f"{c} long" for c in longs)
-    found = written(docs.select("doc_id", "text").mapInArrow(_shingled(shingle, width, False), schema))
-    first = written(found.groupBy("node", *longs).agg(F.min("doc_id").alias("first")))
-    met = candidates(first.select(*longs), similarity, width, limit, nearest)
-    ends = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), "distance").select("e.*", "distance")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    near = ends.withColumn("rank", rank).where(F.col("rank") <= nearest)
-    tried = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # Whatever has a pair in the second round has its nearest in the first, so these sets serve both.
-    nodes = written(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = docs.select("text").mapInArrow(_shingled(shingle, width, True), "node long, shingles array<long>")
-    sets = written(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    pairs whose shingle sets have at least ``similarity``. No pair is left out."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    own = written(docs.select("doc_id", "text").mapInArrow(_shingled(shingle), f"doc_id {kind}, node long, fp long, shingles array<long>"))
+    first = written(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    order = spark.sparkContext.broadcast(_frequent(own, ranked))
+    index = own.select("node", "shingles").mapInArrow(_prefixes(order, similarity), "key long, node long, n int, pos int, last boolean")
+    index = written(index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, index.schema))
+
+    near = written(first.groupBy("fp").agg(F.min("node").alias("node"), F.max("node").alias("other")))
+    ties = _tied(near.select("fp")).where("a <> b")
+    node = near.select("fp", "node")
+    ties = written(ties.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select("x", "y"))
+    nodes = written(ties.select("x").union(ties.select("y")).union(near.where("node <> other").select("other")).union(index.select("node")).toDF("node").distinct())
+    sets = written(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    index = written(index.join(sets.mapInArrow(_bits, "node long, bits binary"), "node"))
+    next_ = index.where("last").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(_met(similarity, limit), "a long, b long")
+    tried = ties.union(near.where("node <> other").select("node", "other")).union(next_).toDF("a", "b")
+    tried = written(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = written(_close(tried, sets, similarity))
-    joined = first.join(nodes, "node", "left_semi").join(components(links), "node", "left").select(*longs, F.coalesce("root", "node").alias("root"))
-    rest = candidates(written(joined), similarity, width, 8 * limit, nearest).select("a", "b").join(tried, ["a", "b"], "left_anti").distinct()
-    root = components(written(links.unionByName(_close(written(rest), sets, similarity))))
+
+    rooted = index.join(components(links), "node", "left").select("key", "node", "n", "pos", "bits", F.coalesce("root", "node").alias("root"))
+    rest = rooted.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_met(similarity, None), "a long, b long")
+    rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"))
+    root = components(written(links.unionByName(_close(rest, sets, similarity))))
     named = written(first.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return own.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, limit: int = WINDOW, ranked: int = RANKED) -> DataFrame:
     """The rows of ``docs`` that stay: in each group of ``similar_groups``, the one with the smallest
     id. Rows without an id share one fate, as do rows that repeat one."""
     row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
-    fate = similar_groups(docs, shingle, similarity, width, limit).groupBy(row.alias("__row_id")).agg(stays)
+    fate = similar_groups(docs, shingle, similarity, limit, ranked).groupBy(row.alias("__row_id")).agg(stays)
     gone = written(fate.where(~F.col("stays")).select("__row_id"))
     return docs.withColumn("__row_id", row).join(gone, "__row_id", "left_anti").drop("__row_id")
