@@ -511,6 +511,19 @@ def test_training_grows_and_averages(spark, docs, monkeypatch):
     assert np.isfinite([n.score(tokens, first)[0] for n in (one, many)]).all()
 
 
+def test_replicas_of_one_task_stay_apart():
+    """Every training document is learned from, and a task gives one network for each of its replicas."""
+    import pyarrow as pa
+
+    class Shared:
+        value = (lm_scoring.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0), lm_scoring.Network(0, 1, np.zeros(0)).dumped())
+
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(i, pa.int32()), "text": t}) for i, t in (([0, 0, 4], ["a b", "c", "d e f"]), ([4, 7], ["g", None]))]
+    got = [(b["id"][0].as_py(), b["weight"][0].as_py()) for b in lm_scoring._replica(Shared, 0.01)(iter(batches))]
+    assert got == [(0, 5), (4, 6), (7, 1)] and lm_scoring.SHARE == 1
+    assert lm_scoring.segments(np.array([0, 3, 10, 12]), 3).tolist() == [0, 3, 6, 9, 10, 12]
+
+
 def test_averaged_networks_weigh_by_tokens():
     import pandas as pd
 

@@ -7,9 +7,9 @@ open classes by its script and length, in which its chance is its smoothed count
 chosen first, then the word within it, so the chances of all words, known or not, and of the
 end sum to 1. Classes of the closed words hold equal shares of the training tokens.
 
-Training is truncated backpropagation on windows of ``WINDOW`` tokens over lanes of whole
-documents. Its work grows with the corpus: a fixed share of all training documents (``SHARE``, by a
-hash of id and text), the same at every size, is split into ``ROUNDS`` parts. In each round replicas
+Training is truncated backpropagation on windows of ``WINDOW`` tokens over lanes of segments of
+``SEGMENT`` tokens. It covers every token of all training documents, which are split into ``ROUNDS``
+parts by a hash of id and text. In each round replicas
 of the network, one for about ``REPLICA_TOKENS`` tokens, start from the same weights, pass once over
 their own documents in their own tasks, and are averaged by their tokens in groups of
 ``AVERAGED``, level by level; one network reaches the driver. The first weights give every class and
@@ -31,7 +31,6 @@ import io
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +41,12 @@ CLASSES = 64
 HIDDEN = 24
 WINDOW = 32
 LANES = 256
-TRAIN_LANES = 128
-SHARE = 0.125
+TRAIN_LANES = 256
+SEGMENT = 512  # tokens after which training starts afresh, so that long documents fill the lanes too
+SHARE = 1.0
 ROUNDS = 3
 RATE = 0.03  # of the first round; it falls evenly with the rounds
-REPLICA_TOKENS = 500_000
+REPLICA_TOKENS = 2_000_000
 AVERAGED = 32  # networks of under 2 MB that meet in one task
 KNOWN = 1 << 18  # words whose counts are broadcast, 16 bytes each
 BATCH = 12 << 20  # bytes of text scored at once; a longer document stands alone
@@ -198,11 +198,12 @@ class Network:
             drh = dnew @ p["U"][:, 2 * n :].T
             dr = drh * before * r * (1 - r)
             gates = np.concatenate([dz, dr], axis=1)
-            g["U"][:, : 2 * n] += before.T @ gates
-            g["U"][:, 2 * n :] += rh.T @ dnew
             dgiven[t] = np.concatenate([gates, dnew], axis=1)
             dh = (dh * (1 - z) + drh * r + gates @ p["U"][:, : 2 * n].T) * ~fresh[t][:, None]
         g["b"] = dgiven.sum(axis=(0, 1))
+        before, rh = (np.stack([step[k] for step in saved]).reshape(-1, n) for k in (0, 3))
+        g["U"][:, : 2 * n] = before.T @ dgiven.reshape(-1, 3 * n)[:, : 2 * n]
+        g["U"][:, 2 * n :] = rh.T @ dgiven.reshape(-1, 3 * n)[:, 2 * n :]
         flat = x.ravel()
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
@@ -222,7 +223,7 @@ class Network:
                 continue
             g, loss, h = self.gradients(x[part], y[part], real[part], fresh[part], h)
             losses.append(float(loss))
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            norm = float(np.sqrt(sum(float((a * a).sum()) for a in g.values())))
             now = rate * (1 - 0.9 * step / windows) * min(1.0, 1.0 / max(norm, 1e-6))
             for k, a in g.items():
                 m[k] += 0.1 * (a - m[k])
@@ -352,15 +353,16 @@ def train(docs: DataFrame, lex: Lexicon, opens: np.ndarray, total: int, held_out
     spark = docs.sparkSession
     place = F.pmod("h", F.lit(1_000_000))
     limit = max(1, int(share * 1_000_000))
-    sample = docs.where(fold("doc_id", held_out) != 0).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    sample = written(sample.where(place < limit))  # one scan of the corpus, whatever the rounds
+    chosen = docs.where(fold("doc_id", held_out) != 0).select("text", F.xxhash64("doc_id", "text").alias("h"))
     replicas = max(1, -(-int(total * share / rounds) // replica))
     blob = Network(lex.closed, CLASSES, lex.share, opens).dumped()
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((lex, blob))
-        part = sample.where((place >= limit * k // rounds) & (place < limit * (k + 1) // rounds))
+        part = chosen.where((place >= limit * k // rounds) & (place < limit * (k + 1) // rounds))
         # Another hash than the one that picks, or few replicas would get all documents.
-        nets = part.repartition(replicas, F.xxhash64("h")).sortWithinPartitions("h").select("text").mapInArrow(_replica(shared, RATE * (rounds - k) / rounds), "id int, weight long, net binary")
+        part = part.withColumn("id", F.pmod(F.xxhash64("h"), F.lit(replicas)).cast("int"))
+        part = part.repartition(replicas, "id").sortWithinPartitions("id", "h").select("id", "text")
+        nets = part.mapInArrow(_replica(shared, RATE * (rounds - k) / rounds), "id int, weight long, net binary")
         left = replicas
         while left > 1:
             left = -(-left // AVERAGED)
@@ -372,24 +374,42 @@ def train(docs: DataFrame, lex: Lexicon, opens: np.ndarray, total: int, held_out
 
 
 def _replica(shared, rate: float):
-    """One pass of one replica; without a document there is no row."""
+    """One pass of each replica of a task, one after the other, over rows sorted by ``id``."""
 
     def run(batches):
         lex, blob = shared.value
-        ids, first = [], [np.zeros(1, np.int64)]
+        now, ids, first = None, [], [np.zeros(1, np.int64)]
+
+        def trained():
+            net, tokens, starts = Network.loaded(blob), np.concatenate(ids), np.concatenate(first)
+            net.train(tokens, segments(starts), lanes=TRAIN_LANES, rate=rate)
+            arrays = [pa.array([now], pa.int32()), pa.array([len(tokens)]), pa.array([net.dumped()], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["id", "weight", "net"])
+
         for b in batches:
-            for _, h, shape, f in tokens_of(encoded(b["text"].to_pylist())):
-                ids.append(lex.ids(lex.rank(h), h, shape))
-                first.append(f[1:] + first[-1][-1])
+            who = b["id"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(who)) + 1).tolist(), len(who)]
+            for x, y in zip(cuts, cuts[1:]) if len(who) else ():
+                if now is not None and who[x] != now:
+                    yield trained()
+                    ids, first = [], [np.zeros(1, np.int64)]
+                now = int(who[x])
+                for _, h, shape, f in tokens_of(encoded(b["text"].slice(x, y - x).to_pylist())):
+                    ids.append(lex.ids(lex.rank(h), h, shape))
+                    first.append(f[1:] + first[-1][-1])
         if ids:
-            net, ids = Network.loaded(blob), np.concatenate(ids)
-            net.train(ids, np.concatenate(first), lanes=TRAIN_LANES, rate=rate)
-            arrays = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(ids)]), pa.array([net.dumped()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "weight", "net"])
+            yield trained()
 
     return run
 
 
+def segments(first: np.ndarray, most: int = SEGMENT) -> np.ndarray:
+    """The starts of documents, and every ``most`` tokens within them."""
+    count = -(-np.diff(first) // most)
+    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.append(np.repeat(first[:-1], count) + most * at, first[-1])
+
+
 def _averaged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The mean network of a group, by weight and in the order of the ids."""
     rows = rows.sort_values("id")
