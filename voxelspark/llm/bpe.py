@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from functools import cache
 
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspark.llm.common import chunks
+from voxelspark.llm.common import packed
 
 BLOCK = 8 << 20
 # Fixed value: the splitting rule of byte-level BPE vocabularies of this family.
@@ -45,6 +46,8 @@ def vocabulary() -> str:
 
 @cache
 def _tokenizer(path: str):
+    # A task has one core; threads of its own would each keep memory.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -90,7 +93,8 @@ def pieces(path: str) -> list[bytes]:
 
 
 def encode_words(words: list[str], path: str) -> list[list[int]]:
-    return [e.ids for e in _tokenizer(path).encode_batch(words, add_special_tokens=False)]
+    encode = _tokenizer(path).encode_batch
+    return [e.ids for at in range(0, len(words), 4096) for e in encode(words[at : at + 4096], add_special_tokens=False)]
 
 
 # ---------------------------------------------------------------- blocks and word lists
@@ -129,6 +133,7 @@ def _blocks(path: str, buckets: int, limit: int):
             every.append(found)
         places = np.concatenate(every)
         words = [w.encode("utf-8", "surrogatepass") for w in number]
+        del number, add, every
         rank = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
         words = [words[i] for i in rank.tolist()]
         renamed = np.empty(len(words), np.uint32)
@@ -150,11 +155,9 @@ def _blocks(path: str, buckets: int, limit: int):
         return rows
 
     def run(batches):
-        for b in batches:
-            docs, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
-            for part in chunks(texts, map(len, texts), limit):
-                if rows := cut(docs[part], texts[part]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), fields)], [f for f, _ in fields])
+        for docs, texts in packed(batches, limit):
+            rows = cut(docs, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), fields)], [f for f, _ in fields])
 
     return run
 

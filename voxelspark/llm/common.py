@@ -52,6 +52,33 @@ def chunks(values: list, sizes, limit: int):
         yield slice(start, len(values))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most ``rows`` rows in a batch for Python from here on. Whole texts are long: of the 10,000 rows
+    that are usual, the executor and its Python workers hold several copies at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def packed(batches, limit: int):
+    """Lists of ``doc_id`` and of texts (null: empty) of about ``limit`` characters, whatever the
+    batches; a longer text stands alone."""
+    docs, texts, total = [], [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            for doc, text in zip(b["doc_id"].slice(at, 256).to_pylist(), b["text"].slice(at, 256).to_pylist()):
+                text = text or ""
+                if total and total + len(text) > limit:
+                    yield docs, texts
+                    docs, texts, total = [], [], 0
+                docs.append(doc)
+                texts.append(text)
+                total += len(text)
+    if docs:
+        yield docs, texts
+
+
 # ---------------------------------------------------------------------- hashed words
 
 _RNG = np.random.default_rng(20240229)

@@ -237,27 +237,61 @@ def set_fingerprint(shingles: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0]
 
 
+def _sets_of(batches, words: int):
+    """Batches -> (batch, slice, sets) of about 1 MB of text each."""
+    for b in batches:
+        raw = encoded(b["text"].to_pylist())
+        for part in chunks(raw, map(len, raw), 1 << 20):
+            yield b, part, list(shingle_sets(raw[part], words))
+
+
+def _nodes(own: list[np.ndarray]) -> np.ndarray:
+    """A hash of each whole set."""
+    return np.array([mix(s * _TIMES + _MASK).sum(dtype=np.uint64) for s in own], np.uint64).view(np.int64)
+
+
+def _described(words: int):
+    """Batches -> doc_id, node, fp, n (shingles of the set) and ``BITMAP`` bits, in which every shingle sets one."""
+
+    def run(batches):
+        for b, part, own in _sets_of(batches, words):
+            fps = np.array([set_fingerprint(s) for s in own], np.uint64).view(np.int64)
+            bits = np.zeros((len(own), BITMAP), bool)
+            for row, s in zip(bits, own):
+                row[(s % np.uint64(BITMAP)).astype(np.int64)] = True
+            packed = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
+            n = pa.array([len(s) for s in own], pa.int32())
+            ids = b["doc_id"].slice(part.start, part.stop - part.start)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_nodes(own)), pa.array(fps), n, packed], ["doc_id", "node", "fp", "n", "bits"])
+
+    return run
+
+
 def _shingled(words: int):
-    """Batches -> doc_id, node (a hash of the whole set), fp and shingles."""
+    """Batches -> node and shingles."""
 
     def run(batches):
-        for b in batches:
-            raw = encoded(b["text"].to_pylist())
-            for part in chunks(raw, map(len, raw), 1 << 20):
-                own = list(shingle_sets(raw[part], words))
-                node = np.array([mix(s * _TIMES + _MASK).sum(dtype=np.uint64) for s in own], np.uint64)
-                fps = np.array([set_fingerprint(s) for s in own], np.uint64)
-                sets = pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))
-                ids = b["doc_id"].slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in (node, fps)), sets], ["doc_id", "node", "fp", "shingles"])
+        for _, _, own in _sets_of(batches, words):
+            sets = pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(_nodes(own)), sets], ["node", "shingles"])
 
     return run
 
 
-def _frequent(own: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Halves of frequent shingles, sorted, and their places from 1 by rising count. All shingles are
+def _halves(words: int):
+    """Batches -> the upper halves of all shingles."""
+
+    def run(batches):
+        for _, _, own in _sets_of(batches, words):
+            flat = np.concatenate(own).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((flat >> 32).astype(np.int32))], ["h"])
+
+    return run
+
+
+def _frequent(half: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the halves ``h`` of all shingles: the halves of frequent shingles, sorted, and their places from 1 by rising count. All shingles are
     counted; more than ``most`` frequent ones leave those of the lower powers of two without a place."""
-    half = own.select(F.explode("shingles").alias("s")).select(F.shiftright("s", 32).cast("int").alias("h"))
     counted = written(half.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT))
     power = F.floor(F.log2("c")).cast("int")
     low, total = 63, 0
@@ -273,15 +307,14 @@ def _frequent(own: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], place[order]
 
 
-def _prefixes(shared, similarity: float):
-    """Sets -> index rows: key, node, n (shingles of the set), pos (of the key in its order), and whether
-    the key is one of its last two."""
+def _prefixes(shared, similarity: float, words: int):
+    """Batches -> index rows: key, node, pos (of the key in its order), and whether the key is one of its
+    last two."""
 
     def run(batches):
         frequent, places = shared.value
-        for b in batches:
-            node, sets = b["node"].to_numpy(), b["shingles"]
-            n, s = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+        for _, _, own in _sets_of(batches, words):
+            node, n, s = _nodes(own), np.array([len(x) for x in own]), np.concatenate(own).view(np.int64)
             rank = np.zeros(len(s), np.int32)
             if len(frequent):
                 h = (s >> 32).astype(np.int32)
@@ -293,8 +326,8 @@ def _prefixes(shared, similarity: float):
             last = n - np.ceil(similarity * n - 1e-9).astype(np.int64)
             keep = np.flatnonzero(pos <= last[which])
             doc, pos = which[keep], pos[keep]
-            arrays = [s[order[keep]], node[doc], n[doc].astype(np.int32), pos.astype(np.int32), pos >= last[doc] - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "node", "n", "pos", "last"])
+            arrays = [s[order[keep]], node[doc], pos.astype(np.int32), pos >= last[doc] - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "node", "pos", "last"])
 
     return run
 
@@ -318,7 +351,7 @@ def _whole_keys(batches, names: list[str]):
 
 def _shared_keys(batches):
     """Index rows sorted by key and node -> those of keys that several nodes share, each once."""
-    names = ["key", "node", "n", "pos", "last"]
+    names = ["key", "node", "pos", "last"]
     for rows in _whole_keys(batches, names):
         key, node = rows[:2]
         once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
@@ -328,20 +361,6 @@ def _shared_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in rows], names)
 
 
-def _bits(batches):
-    """Sets -> node and ``BITMAP`` bits, in which every shingle sets one."""
-    for b in batches:
-        sets = b["shingles"]
-        n, s = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy().view(np.uint64)
-        for at in range(0, len(n), 1 << 12):
-            size = n[at : at + (1 << 12)]
-            flat = s[n[:at].sum() : n[: at + (1 << 12)].sum()]
-            bits = np.zeros((len(size), BITMAP), bool)
-            bits[np.repeat(np.arange(len(size)), size), (flat % np.uint64(BITMAP)).astype(np.int64)] = True
-            packed = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["node"].slice(at, len(size)), packed], ["node", "bits"])
-
-
 def _met(similarity: float, window: int | None, nearest: int = NEAREST):
     """Index rows sorted by key -> pairs (a, b) of nodes that may be similar. With a window, each row
     gives the ``nearest`` of its next rows; without, all pairs of different roots that may be similar
@@ -413,39 +432,47 @@ def _met(similarity: float, window: int | None, nearest: int = NEAREST):
     return run
 
 
-def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least ``similarity``."""
+def _close(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least ``similarity``. Sets are made anew, from the
+    texts of one document each (``first``: node, doc_id) of the nodes that pairs name."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    named = written(first.join(named, "node", "left_semi").select(F.col("first").alias("asked")).distinct())
+    texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("asked")), "left_semi")
+    sets = texts.select("text").mapInArrow(_shingled(shingle), "node long, shingles array<long>")
+    # Repeated rows have equal sets; so has each of several texts under one node.
+    sets = written(sets.dropDuplicates(["node"]))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return counted.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("a", "b")
+    return written(counted.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("a", "b"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, limit: int = WINDOW, ranked: int = RANKED) -> DataFrame:
     """One row per row of ``docs``: doc_id and component_id, the smallest id of those linked by
-    pairs whose shingle sets have at least ``similarity``. No pair is left out."""
+    pairs whose shingle sets have at least ``similarity``. No pair is left out.
+
+    ``docs`` is read five times; the shingle sets of all texts are larger than the texts and never stored."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    own = written(docs.select("doc_id", "text").mapInArrow(_shingled(shingle), f"doc_id {kind}, node long, fp long, shingles array<long>"))
-    first = written(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
-    order = spark.sparkContext.broadcast(_frequent(own, ranked))
-    index = own.select("node", "shingles").mapInArrow(_prefixes(order, similarity), "key long, node long, n int, pos int, last boolean")
+    text = docs.select("text")
+    own = written(docs.select("doc_id", "text").mapInArrow(_described(shingle), f"doc_id {kind}, node long, fp long, n int, bits binary"))
+    first = written(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    order = spark.sparkContext.broadcast(_frequent(text.mapInArrow(_halves(shingle), "h int"), ranked))
+    index = text.mapInArrow(_prefixes(order, similarity, shingle), "key long, node long, pos int, last boolean")
     index = written(index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, index.schema))
 
     near = written(first.groupBy("fp").agg(F.min("node").alias("node"), F.max("node").alias("other")))
     ties = _tied(near.select("fp")).where("a <> b")
     node = near.select("fp", "node")
     ties = written(ties.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select("x", "y"))
-    nodes = written(ties.select("x").union(ties.select("y")).union(near.where("node <> other").select("other")).union(index.select("node")).toDF("node").distinct())
-    sets = written(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
-    index = written(index.join(sets.mapInArrow(_bits, "node long, bits binary"), "node"))
+    index = written(index.join(first.select("node", "n", "bits"), "node"))
     next_ = index.where("last").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(_met(similarity, limit), "a long, b long")
     tried = ties.union(near.where("node <> other").select("node", "other")).union(next_).toDF("a", "b")
     tried = written(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = written(_close(tried, sets, similarity))
+    links = _close(tried, docs, first, shingle, similarity)
 
     rooted = index.join(components(links), "node", "left").select("key", "node", "n", "pos", "bits", F.coalesce("root", "node").alias("root"))
     rest = rooted.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_met(similarity, None), "a long, b long")
     rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"))
-    root = components(written(links.unionByName(_close(rest, sets, similarity))))
+    root = components(links.unionByName(_close(rest, docs, first, shingle, similarity)))
     named = written(first.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
