@@ -5,7 +5,7 @@ import gzip
 import pytest
 
 from voxelspark.sources import metadata, worlds
-from workload import region_writer
+from workload import metadata_queries, region_writer
 
 
 def levels(spark, rows):
@@ -47,3 +47,27 @@ def test_described(spark, overrides, name):
     assert [(r.min_y, r.max_y) for r in rows] == [(-64, 320), (0, 128), (-32, 64)]
     assert [r.border for r in rows] == [500, 1024, 1024] and [r.spawn_x for r in rows] == [8, 0, 0]
     assert rows[0].name == name
+
+
+def test_a_world_is_encoded_once(spark, sf, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    table = region_writer.region_table
+
+    def counted(*args):
+        files = table(*args)
+
+        def run(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return files.mapInArrow(run, files.schema)
+
+    expected = sorted(map(str, metadata_queries.q_described(spark, sf).collect()))
+    monkeypatch.setattr(region_writer, "region_table", counted)
+    voxels = metadata_queries.fx.voxels(spark, sf)
+    overworld = voxels.where("dimension = 'overworld'").selectExpr("'o' AS d", "x >> 9 AS x", "z >> 9 AS z")
+    moved = voxels.selectExpr("'v' AS d", "(x + 640) >> 9 AS x", "z >> 9 AS z")
+    own = voxels.where("dimension = 'view'").selectExpr("'v' AS d", "x >> 9 AS x", "z >> 9 AS z")
+    assert sorted(map(str, metadata_queries.q_described(spark, sf).collect())) == expected
+    assert made.value == overworld.union(moved).union(own).distinct().count()

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.shared import written
 from voxelspark.sources import metadata, regions, worlds
 
 from . import region_writer
@@ -46,6 +47,8 @@ def q_described(spark, sf):
     moved = voxels.withColumns({"dimension": F.lit("view"), "x": F.col("x") + 640, "y": F.col("y") + 32})
     table = region_writer.region_table(voxels.unionByName(moved), fx.palette(spark), fx.biomes(spark))
     rows: DataFrame = regions.with_region(table.withColumn("path", F.concat(folder, F.regexp_extract("path", "(/[^/]+)$", 1))))
+    # The world's files are made once; what follows reads names of all, and bodies of a few.
+    rows = written(rows, "regions")
     found = worlds.discover(worlds.region_directories(rows), WORLD)
     place = F.regexp_replace("path", "/[^/]*$", "").alias("directory")
     named = rows.drop("dimension").withColumn("directory", place).join(found.select("directory", "dimension"), "directory")
