@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -95,3 +96,15 @@ def test_pairs_at_the_least_similarity(spark):
         rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in simhash_dedup.deduplicated(docs).select("doc_id").collect()} == {2 * k for k in range(400)}
+
+
+def test_pairs_that_share_many_keys_are_given_once():
+    """Ten sets of different roots under ten keys, each key a task of its own: 45 pairs, not 45 a key."""
+    node, n, keys = np.arange(10), np.full(10, 100), np.arange(1, 11) * 7
+    given = []
+    for pos, key in enumerate(keys):
+        e1, e2 = (int(keys[pos - k]) if pos >= k else 0 for k in (1, 2))
+        columns = {"key": [key] * 10, "node": node, "n": n, "pos": np.full(10, pos), "bits": [b"\xff" * 128] * 10, "root": node, "e1": [e1] * 10, "e2": [e2] * 10}
+        batch = pa.RecordBatch.from_pydict(columns)
+        given += [(a, b) for out in simhash_dedup._met(0.8, None)([batch]) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    assert sorted(given) == list(combinations(range(10), 2))

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.llm.common import chunks, encoded, hashed_batches, mix, written
@@ -212,6 +212,7 @@ NEAREST = 4
 FREQUENT = 8
 WINDOW = 256
 BITMAP = 1024
+EARLIER = ("e1", "e2")  # the shared keys before a row's own in its text's order; 0 where there is none
 RANKED = 1 << 19  # frequent shingles with a place of their own in the order, 8 bytes each
 _MASK = np.uint64(np.random.default_rng(20240301).integers(1, 2**63))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -367,17 +368,20 @@ def _met(similarity: float, window: int | None, nearest: int = NEAREST):
     if this is the first key that they share.
 
     A bit of one side that the other lacks is a shingle that it lacks, so bits bound what two sets share.
+    ``EARLIER`` keys before each row's own tell of a key that a pair has met under before: whatever passes here
+    passed there too, as positions only grow, so the pair is not given again.
     """
     need = similarity / (1 + similarity)
-    names = ["key", "node", "n", "pos", "bits"] + ([] if window else ["root"])
+    names = ["key", "node", "n", "pos", "bits"] + ([] if window else ["root", *EARLIER])
 
     def pairs(node, i, j):
         ends = np.unique(np.sort(np.stack([node[i], node[j]]), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e)) for e in ends], ["a", "b"])
 
     def run(batches):
-        for key, node, n, pos, bits, *root in _whole_keys(batches, names):
-            root, bits = root[0] if root else node, np.frombuffer(b"".join(bits), "<u8").reshape(len(key), -1)
+        for key, node, n, pos, bits, *more in _whole_keys(batches, names):
+            root, bits = more[0] if more else node, np.frombuffer(b"".join(bits), "<u8").reshape(len(key), -1)
+            earlier = more[1:]
             after = n - pos
 
             def fit(i, j):
@@ -385,6 +389,12 @@ def _met(similarity: float, window: int | None, nearest: int = NEAREST):
                 at = np.arange(len(i))
                 if window is None:
                     at = np.flatnonzero((root[i] != root[j]) & (np.minimum(after[i], after[j]) >= need * (n[i] + n[j]) - 1e-9))
+                    met = np.zeros(len(at), bool)
+                    for x in earlier:
+                        own = x[i[at]]
+                        for y in earlier:
+                            met |= (own == y[j[at]]) & (own != 0)
+                    at = at[~met]
                 i, j = i[at], j[at]
                 common = bits[i] & bits[j]
                 lack = [np.bitwise_count(bits[k] & ~common).sum(axis=1, dtype=np.int32) for k in (i, j)]
@@ -463,13 +473,15 @@ def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: fl
     ties = _tied(near.select("fp")).where("a <> b")
     node = near.select("fp", "node")
     ties = written(ties.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select("x", "y"))
-    index = written(index.join(first.select("node", "n", "bits"), "node"))
+    along = Window.partitionBy("node").orderBy("pos")
+    earlier = {c: F.coalesce(F.lag("key", k).over(along), F.lit(0)) for k, c in enumerate(EARLIER, 1)}
+    index = written(index.join(first.select("node", "n", "bits"), "node").withColumns(earlier))
     next_ = index.where("last").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(_met(similarity, limit), "a long, b long")
     tried = ties.union(near.where("node <> other").select("node", "other")).union(next_).toDF("a", "b")
     tried = written(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = _close(tried, docs, first, shingle, similarity)
 
-    rooted = index.join(components(links), "node", "left").select("key", "node", "n", "pos", "bits", F.coalesce("root", "node").alias("root"))
+    rooted = index.join(components(links), "node", "left").select("key", "node", "n", "pos", "bits", F.coalesce("root", "node").alias("root"), *EARLIER)
     rest = rooted.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_met(similarity, None), "a long, b long")
     rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"))
     root = components(links.unionByName(_close(rest, docs, first, shingle, similarity)))
