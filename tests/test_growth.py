@@ -1,7 +1,7 @@
 """Joins whose rows must not grow with the square of the input."""
 
 from pyspark.sql import functions as F
-from voxelspark.operators import lookups, overlay
+from voxelspark.operators import lookups, overlay, surface
 
 
 def most_rows(df):
@@ -52,3 +52,30 @@ def test_first_areas_without_all_pairs(spark, monkeypatch):
     want = overlay.bounded(original(views, areas), ["view_id"], ["r_id"], 3)
     assert got == sorted((r["view_id"], r["r_id"], r["truncated"]) for r in want.collect()) and len(got) == 63
     assert len(rows) > 1 and sum(rows) < 22 * 4000 / 4
+
+
+def test_window_sums_without_pairs(spark):
+    n = 6000
+    k = F.col("id")
+    cut = lambda c: F.when(k % 50 > 0, c)
+    points = spark.range(n).select(
+        cut(F.lit("d")).alias("dimension"), (k * 37 % 301 - 150).cast("int").alias("x"), (k * 53 % 911 - 300).cast("int").alias("z"), F.when(k % 7 > 0, k % 90).cast("int").alias("height")
+    )
+    low_x, low_z = (k * 29 % 301 - 150).cast("int"), (k * 31 % 701 - 300).cast("int")
+    size = lambda m: (k * m % 517 - 3).cast("int")  # some are empty or inverted
+    windows = spark.range(300).select(
+        (k % 299).alias("window_id"), F.when(k != 9, "d").alias("dimension"), low_x.alias("min_x"), low_z.alias("min_z"), (low_x + size(11)).alias("max_x"), (low_z + size(7)).alias("max_z")
+    )
+    got = surface.window_sums(points, windows, "height")
+    want = surface.window_columns(points, windows).groupBy("window_id").agg(F.count("*").alias("n"), F.sum("height").alias("height"))
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > 200 and sum(r[1] for r in rows) > 150_000
+    assert most_rows(got) < 60_000
+    assert surface.window_sums(points, windows.limit(0)).count() == 0
+
+
+def test_window_assembly_makes_no_pairs(spark, monkeypatch):
+    from workload import surface_queries
+
+    monkeypatch.setattr(surface, "window_columns", None)
+    assert surface_queries.QUERIES["j3_window_assembly"](spark, "/root/testdata/sf0.001").columns == ["window_id", "n", "height", "chunk_errors"]
