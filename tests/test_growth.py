@@ -79,3 +79,19 @@ def test_window_assembly_makes_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(surface, "window_columns", None)
     assert surface_queries.QUERIES["j3_window_assembly"](spark, "/root/testdata/sf0.001").columns == ["window_id", "n", "height", "chunk_errors"]
+
+
+def test_pairs_of_one_cell_are_dealt_to_every_partition(spark):
+    from voxelspark.operators import spatial
+
+    k = F.col("id")
+    at = lambda m: (k * m % 1500).cast("int")
+    points = spark.range(600).coalesce(1).select(k.alias("point"), F.when(k % 97 > 0, "d").alias("dimension"), at(37).alias("x"), at(53).alias("z"))
+    box = dict(zip(spatial.BOUNDS, (at(11), at(7), at(11) + 1200, at(7) + 1100)))
+    views = spark.range(1300).coalesce(1).select(k.alias("view"), F.when(k % 89 > 0, "d").alias("dimension"), *[c.cast("int").alias(n) for n, c in box.items()])
+    got = spatial.points_in_rectangles(points, views).select("point", "r_view", F.spark_partition_id().alias("part")).collect()
+    inside = (F.col("x") >= F.col("min_x")) & (F.col("x") < F.col("max_x")) & (F.col("z") >= F.col("min_z")) & (F.col("z") < F.col("max_z"))
+    want = points.join(views, "dimension").filter(inside).select("point", "view")
+    assert sorted(r[:2] for r in got) == sorted(map(tuple, want.collect())) and len(got) > 100_000
+    parts = [sum(r["part"] == p for r in got) for p in {r["part"] for r in got}]
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < len(got) / 2

@@ -8,12 +8,14 @@ no result needs deduplicating. A huge area costs four rows like any other.
 
 A cell of a high level can hold a large part of all small rectangles. From ``SALTED_LEVEL`` on,
 the smaller rectangles are therefore spread over ``SALTS`` parts of their cell, and the few
-large ones are copied to each part.
+large ones are copied to each part. The large ones travel in arrays of at most ``HELD``, so a pair
+costs a step along an array, and all tables keep the session's number of partitions: their few
+bytes tell nothing of the pairs they make.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import bounds_intersect
@@ -21,8 +23,9 @@ from ..functions.grid import bounds_intersect
 BOUNDS = ("min_x", "min_z", "max_x", "max_z")
 FIRST_LEVEL = 9  # 512 blocks
 LAST_LEVEL = 27  # beyond any world
-SALTED_LEVEL = 13  # 8192 blocks
+SALTED_LEVEL = 10  # 1024 blocks
 SALTS = 32
+HELD = 1024
 
 
 def _level(b: list[Column]) -> Column:
@@ -62,10 +65,13 @@ def rectangle_join(
     lb = [F.col(c) for c in left_bounds]
     rb = [F.col(names[c]) for c in right_bounds]
     full = lambda b: (b[2] > b[0]) & (b[3] > b[1])
-    left = left.filter(full(lb)).withColumn("_own", _level(lb))
-    right = right.filter(full(rb)).withColumn("_other", _level(rb))
-    on = [*keys, "_level", "_cx", "_cz", "_part"]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    left = left.filter(known & full(lb)).withColumn("_own", _level(lb))
+    right = right.filter(known & full(rb)).withColumn("_other", _level(rb))
     first = (F.greatest(lb[0], rb[0]), F.greatest(lb[1], rb[1]))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(low: DataFrame, low_bounds, own: str, high: DataFrame, high_bounds, top: str, strict: bool) -> DataFrame:
         """Pairs at the level of ``high``; ``low`` is lifted to every such level."""
@@ -77,7 +83,13 @@ def rectangle_join(
         spread, all_parts = F.pmod(F.xxhash64(*low_bounds), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
         a = _cells(lifted, low_bounds, F.col("_to")).drop("_to").withColumn("_part", F.when(hot, spread).otherwise(0))
         b = _cells(high, high_bounds, F.col(top)).withColumn("_part", F.explode(F.when(hot, all_parts).otherwise(F.array(F.lit(0)))))
-        pairs = a.join(b, on) if low is left else b.join(a, on)
+        # One column for all of a cell's key: Spark keeps both tables where it puts them.
+        a, b = (side.withColumn("_spot", F.struct(*keys, "_level", "_cx", "_cz", "_part")).repartition(n, "_spot") for side in (a, b))
+        place = F.row_number().over(Window.partitionBy("_spot").orderBy(*high_bounds)) - 1
+        held = b.withColumn("_slice", F.floor(place / HELD)).groupBy("_spot", "_slice").agg(
+            F.collect_list(F.struct(*[c for c in high.columns if c not in keys])).alias("_held")
+        )
+        pairs = a.join(held.drop("_slice"), "_spot").withColumn("_held", F.explode("_held")).select("*", "_held.*")
         once = (F.col("_cx") == _cell(first[0], F.col("_level"))) & (F.col("_cz") == _cell(first[1], F.col("_level")))
         return pairs.filter(bounds_intersect(lb, rb) & once)
 
