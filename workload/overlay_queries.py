@@ -155,7 +155,7 @@ def q_area_rings(spark, sf):
 
 QUERIES = {
     "j5_areas_in_viewport": lambda s, sf: overlay.areas_in_views(fx.viewports(s, sf), fx.areas(s, sf).drop("owner", "name")).select("view_id", F.col("r_id").alias("id")),
-    "j5_markers_in_viewport": lambda s, sf: overlay.markers_in_views(fx.viewports(s, sf), fx.markers(s, sf), ["POI"]).select("view_id", F.col("r_id").alias("id")),
+    "j5_markers_in_viewport": lambda s, sf: overlay.markers_in_views(fx.viewports(s, sf), fx.markers(s, sf).drop("name", "y"), ["POI"]).select("view_id", F.col("r_id").alias("id")),
     "j6_points_in_rectangles": lambda s, sf: overlay.players_in_views(
         fx.viewports(s, sf), fx.positions(s, sf).select("event_id", F.lit(fx.DIM).alias("dimension"), "x", "z", "hidden")).select("event_id", F.col("r_view_id").alias("view_id")),
     "j7_claim_conflicts": conflicts,
