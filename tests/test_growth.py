@@ -95,3 +95,68 @@ def test_pairs_of_one_cell_are_dealt_to_every_partition(spark):
     assert sorted(r[:2] for r in got) == sorted(map(tuple, want.collect())) and len(got) > 100_000
     parts = [sum(r["part"] == p for r in got) for p in {r["part"] for r in got}]
     assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < len(got) / 2
+
+
+def shuffled(df):
+    """Rows written by all shuffles of the plan that ran."""
+    list(df.toLocalIterator())
+    total, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        metric = node.metrics().get("shuffleRecordsWritten")
+        total += metric.get().value() if metric.isDefined() else 0
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_voxel_view_shuffles_faces_not_pixels(spark, sf):
+    from voxelspark.plans import isometric
+    from workload import surface_queries, views
+
+    slabs, columns = surface_queries.slabs(spark, sf), surface_queries.columns(spark, sf)
+    tables = views.palette(spark), views.biomes(spark), views.dimensions(spark)
+    view = isometric.voxel_view(slabs, columns, *tables, zoom=8)
+    assert shuffled(view) < view.count() / 4  # the former code: more rows than pixels
+
+
+def test_slice_below_slabs_draws_nothing(spark, sf):
+    from voxelspark.plans import isometric, style
+    from workload import surface_queries, views
+
+    slabs, columns = surface_queries.slabs(spark, sf), surface_queries.columns(spark, sf)
+    tables = views.palette(spark), views.biomes(spark), views.dimensions(spark)
+    assert isometric.voxel_view(slabs, columns, *tables, slice_y=0).count() == 0
+    cut = slabs.filter("x % 3 > 0")  # the others are drawn as height field, whatever the slice
+    flat = isometric.voxel_view(cut, columns, *tables, slice_y=0)
+    on = ["dimension", "x", "z"]
+    bare = isometric.with_exposure(columns).join(cut.select(*on).distinct(), on, "left_anti")
+    want = isometric.height_field_cells(isometric.face_colors(bare, *tables, "terrain", style.StyleOptions()), 7)
+    assert sorted(flat.collect()) == sorted(isometric.nearest(want, 7).collect()) and flat.count() > 0
+
+
+def test_placed_world_needs_one_shuffle_and_equals_the_other(spark, sf):
+    from voxelspark.operators import surface
+    from voxelspark.plans import isometric
+    from workload import surface_queries, views
+
+    pal, tables = views.palette(spark), (views.palette(spark), views.biomes(spark), views.dimensions(spark))
+    v = views.voxels(spark, sf, 5)
+    same = lambda a, b: a.count() == b.count() > 0 and a.select(sorted(a.columns)).exceptAll(b.select(sorted(a.columns))).isEmpty()
+    columns = surface.surface_scan(v, pal, views.placed(views.sections(spark, sf), 5))
+    slabs = surface_queries.placed_slabs(v, pal)
+    assert same(columns, surface_queries.columns(spark, sf)) and same(slabs.drop("chunk_x", "chunk_z"), surface_queries.slabs(spark, sf))
+    lines = views.table(spark, sf, "lineitem").count()
+    assert shuffled(slabs) == lines and shuffled(columns) < 1.2 * lines
+    how = {"camera": "nw", "slice_y": 30, "style": "height"}
+    placed = isometric.voxel_view(slabs, columns, *tables, partitions=5, **how)
+    assert same(placed, isometric.voxel_view(surface_queries.slabs(spark, sf), surface_queries.columns(spark, sf), *tables, **how))
+    # Sections of nothing but air-like blocks count for no top; nor do they in the other.
+    odd = v.filter("y < 16 or block_id = 6")
+    flat = odd.drop("chunk_x", "chunk_z")
+    spans = surface.canopy_spans(flat, pal)
+    assert same(surface_queries.placed_slabs(odd, pal).drop("chunk_x", "chunk_z"), surface.extract_slabs(flat, spans, surface_queries.slab_depths(spans)))
