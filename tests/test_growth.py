@@ -160,3 +160,10 @@ def test_placed_world_needs_one_shuffle_and_equals_the_other(spark, sf):
     flat = odd.drop("chunk_x", "chunk_z")
     spans = surface.canopy_spans(flat, pal)
     assert same(surface_queries.placed_slabs(odd, pal).drop("chunk_x", "chunk_z"), surface.extract_slabs(flat, spans, surface_queries.slab_depths(spans)))
+
+
+def test_sliced_view_shuffles_fewer_rows_than_it_has_pixels(spark, sf):
+    from workload import iso_queries
+
+    view = iso_queries.QUERIES["r6_sliced_view"](spark, sf)
+    assert shuffled(view) < view.count() / 4
